@@ -70,3 +70,18 @@ def with_running(
     else:
         total = F.greatest("_inside", "_carry")
     return joined.withColumn(name, total).select(*df.columns, name)
+
+
+def with_latest(
+    points: DataFrame, marks: DataFrame, group: Sequence[str], at: str, payload: str, width: int = 1 << 16
+) -> DataFrame:
+    """As-of lookup: the ``payload`` struct of the last mark at or before each point, per group.
+
+    Points and marks share the ``group`` and ``at`` columns; ``payload`` must grow with ``at`` inside a
+    group. Points and marks meet on one ordered line that is cut into blocks, so there is no range join.
+    """
+    line = points.withColumn("_kind", F.lit(1)).unionByName(
+        marks.select(*group, at, F.lit(0).alias("_kind"), F.col(payload).alias("_mark")), allowMissingColumns=True
+    )
+    found = with_running(line, F.col("_mark"), payload, group, [at, "_kind"], id_block(at, width), "max")
+    return found.where(F.col("_kind") == 1).select(*points.columns, payload)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.operators.carry import id_block, with_previous, with_running
+from batchloom.operators.carry import with_latest, with_previous
 from batchloom.operators.positions import grouped_positions, id_positions, range_positions
 
 
@@ -110,10 +110,8 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
         "_at", F.col("_over_from") + F.col(pos) - F.col("_share")
     )
     gap = F.struct(F.col("_short_from").alias("start"), (F.col("_short_from") + F.col("_short")).alias("end"), F.col("_m").alias("who"))
-    gaps = levels.where(F.col("_short") > 0).select(F.col("_short_from").alias("_at"), F.lit(0).alias("_kind"), gap.alias("_gap"))
-    # the latest gap that starts at or before each surplus batch, found along one ordered line
-    line = surplus.withColumn("_kind", F.lit(1)).unionByName(gaps, allowMissingColumns=True)
-    filled = with_running(line, F.col("_gap"), "_open", [], ["_at", "_kind"], id_block("_at"), "max").where(F.col("_kind") == 1)
+    gaps = levels.where(F.col("_short") > 0).select(F.col("_short_from").alias("_at"), gap.alias("_open"))
+    filled = with_latest(surplus, gaps, [], "_at", "_open")
     taken = filled.withColumn("consumer", F.when(F.col("_at") < F.col("_open.end"), F.col("_open.who")))
     columns = [*batches.columns, "consumer"]
     return own.select(columns).unionByName(taken.select(columns))
