@@ -138,7 +138,11 @@ def ensemble_teachers(
         df,
     )
     scale = sum(w for _, w in teachers)
-    weighted = [F.transform(n, lambda x, w=w: x * (w / scale)) for n, (_, w) in zip(names, teachers)]
+
+    def share(name, weight):
+        return F.transform(name, lambda x: x * (weight / scale))
+
+    weighted = [share(n, w) for n, (_, w) in zip(names, teachers)]
     return scored.withColumn(fetch, reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), weighted)).drop(*names)
 
 

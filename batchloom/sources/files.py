@@ -110,3 +110,15 @@ def load_version(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete version."""
     version = valid_versions(spark, path)[-1]
     return spark.read.parquet(f"{path}/version={version}").withColumn("version", F.lit(version).cast("bigint"))
+
+
+def write_metric_log(passes: DataFrame, path: str, trainers: int, batch_size: int) -> None:
+    """Result of a run from one row per pass: last accuracies, history, top speed of all trainers, batch size."""
+    history = F.collect_list(F.struct("epoch", F.col("mean_acc1").alias("acc1"), F.col("mean_acc5").alias("acc5")))
+    passes.agg(
+        F.max_by("mean_acc1", "epoch").alias("acc1"),
+        F.max_by("mean_acc5", "epoch").alias("acc5"),
+        history.alias("result_log"),
+        (F.max("speed") * trainers).alias("max_speed"),
+        F.lit(batch_size).alias("batch_size"),
+    ).write.json(path)
