@@ -69,9 +69,14 @@ def day_stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd")
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone is."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
+
+
 def epoch_seconds(ts: Column) -> Column:
-    return F.unix_seconds(ts.cast("timestamp"))
+    return F.floor(epoch_micros(ts) / 1_000_000)
 
 
 def epoch_millis(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+    return F.floor(epoch_micros(ts) / 1_000)

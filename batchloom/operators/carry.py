@@ -14,11 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def micros_block(ts: str, seconds: int = 86400) -> Column:
-    """Block of a timestamp column as a whole number of slices since the epoch."""
-    return F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {seconds * 1_000_000}")
-
-
 def id_block(column: str, width: int = 1 << 16) -> Column:
     """Block of an integer column."""
     return F.expr(f"`{column}` div {width}")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchloom.functions.scalars import epoch_micros
 from batchloom.operators.positions import grouped_positions, range_positions
 
 ROLES = ("master", "pserver", "trainer")  # fixed values: the roles of a job's pods
@@ -193,7 +194,7 @@ def median(df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str],
 
 def throughput(df: DataFrame, epoch: Column, ts: str, batch_size: int) -> DataFrame:
     """Rows per second of each pass, counting each row as a batch."""
-    seconds = (F.max(F.unix_micros(F.col(ts).cast("timestamp"))) - F.min(F.unix_micros(F.col(ts).cast("timestamp")))) / 1e6
+    seconds = (F.max(epoch_micros(F.col(ts))) - F.min(epoch_micros(F.col(ts)))) / 1e6
     return df.groupBy(epoch.alias("epoch")).agg(F.count(F.lit(1)).alias("batches"), seconds.alias("seconds")).withColumn(
         "speed", F.when(F.col("seconds") > 0, F.col("batches") * batch_size / F.col("seconds"))
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchloom.functions.scalars import epoch_micros
 from batchloom.operators.carry import id_block, with_previous
 from batchloom.operators.positions import id_positions
 
@@ -24,16 +25,16 @@ def every_n_steps_mean(df: DataFrame, run: str, step_id: str, ts: str, n: int, b
     """Mean step period and speed of each run at its steps 0, n, 2n, ...; a step's period runs from the step before."""
     steps = id_positions(df.select(run, step_id, ts), step_id, [run], "step")
     timed = with_previous(steps, {ts: "_before"}, [run], [step_id], id_block(step_id))
-    period = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) / 1e6
-    marks = timed.withColumn("period", period).groupBy(run, F.expr(f"(step + {n - 1}) div {n} * {n}").alias("step"))
-    means = marks.agg(F.count("period").alias("steps"), F.avg("period").alias("period"))
+    span = epoch_micros(F.col(ts)) - epoch_micros(F.col("_before"))
+    marks = timed.withColumn("_us", span).groupBy(run, F.expr(f"(step + {n - 1}) div {n} * {n}").alias("step"))
+    means = marks.agg(F.count("_us").alias("steps"), (F.sum("_us") / F.count("_us") / 1e6).alias("period"))
     return means.where(F.col("steps") > 0).withColumn("speed", F.lit(float(batch_size)) / F.col("period"))
 
 
 def op_durations(df: DataFrame, process: str, op: str, ts: str, order: Sequence[str], block: Column) -> DataFrame:
     """Milliseconds since the process's previous record; null for its first one."""
     timed = with_previous(df, {ts: "_before"}, [process], order, block)
-    span = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
+    span = epoch_micros(F.col(ts)) - epoch_micros(F.col("_before"))
     return timed.withColumn("ms", span / 1000.0).drop("_before")
 
 

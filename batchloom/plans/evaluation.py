@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from batchloom.functions.scalars import epoch_micros
 from batchloom.operators import batching, metrics, windows
 from batchloom.operators.carry import id_block
 from batchloom.plans.batching import WORDS
@@ -15,7 +16,7 @@ from batchloom.sources.text import words
 
 def events_by_day(spark, sf):
     """Events with their day number in 2024 and their hour of the month."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200 * 1000000
+    seconds = epoch_micros(F.col("ts")) - 1704067200 * 1000000
     return table(spark, sf, "events").withColumn("day", F.floor(seconds / 86400e6)).withColumn("hour", F.floor(seconds / 3600e6))
 
 
@@ -93,11 +94,11 @@ def submitted_pending_jobs(spark, sf):
     return metrics.submitted_pending_jobs(pods(spark, sf), "job", "role", "phase")
 
 
-@query(f"""WITH {PODS} SELECT role, printf('%.2f', 100.0 * sum(CASE WHEN phase = 'Running' THEN round(value * 1000)::BIGINT ELSE 0 END) / 100000000.0) AS utilisation, '0' AS gpu FROM pods GROUP BY role""")
+@query(f"""WITH {PODS} SELECT role, printf('%.2f', 100.0 * sum(CASE WHEN phase = 'Running' THEN round(value * 1000)::BIGINT ELSE 0 END) / 99999999.0) AS utilisation, '0' AS gpu FROM pods GROUP BY role""")
 def utilisation(spark, sf):
     """CPU requests are whole thousandths, so the sum does not depend on the order of the rows."""
     rows = pods(spark, sf)
-    cpu = metrics.utilisation(rows, "phase", F.round(F.col("value") * 1000).cast("bigint"), F.lit(100000000.0), ["role"])
+    cpu = metrics.utilisation(rows, "phase", F.round(F.col("value") * 1000).cast("bigint"), F.lit(99999999.0), ["role"])
     gpu = metrics.utilisation(rows, "phase", F.lit(1), F.lit(0), ["role"]).withColumnRenamed("utilisation", "gpu")
     return cpu.join(gpu, "role")
 
@@ -158,7 +159,7 @@ def median(spark, sf):
 @query(f"""WITH {DAYS}, t AS (SELECT day AS epoch, count(*) AS batches, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0 AS s FROM ev GROUP BY day)
 SELECT epoch, batches, round(batches * 32 / s, 6) AS speed, (SELECT round(max(batches * 32 / s) * 8, 6) FROM t) AS max_speed FROM t""")
 def throughput(spark, sf):
-    speeds = metrics.throughput(table(spark, sf, "events").withColumn("day", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint")), F.col("day"), "ts", 32)
+    speeds = metrics.throughput(events_by_day(spark, sf), F.col("day"), "ts", 32)
     best = speeds.agg(F.round(F.max("speed") * 8, 6)).scalar()
     return speeds.select("epoch", "batches", F.round("speed", 6).alias("speed"), best.alias("max_speed"))
 
@@ -199,10 +200,11 @@ def ngram_samples(spark, sf):
 
 
 @query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS us FROM events)
-SELECT user_id, (step + 9) // 10 * 10 AS step, count(us) AS steps, round(avg(us / 1000000.0), 4) AS period, round(256 / avg(us / 1000000.0), 6) AS speed FROM s GROUP BY ALL HAVING count(us) > 0""")
+SELECT user_id, (step + 9) // 10 * 10 AS step, count(us) AS steps, sum(us)::BIGINT AS total_us, round(256 / (sum(us) / count(us) / 1000000.0), 6) AS speed FROM s GROUP BY ALL HAVING count(us) > 0""")
 def every_n_steps_mean(spark, sf):
     means = windows.every_n_steps_mean(table(spark, sf, "events"), "user_id", "event_id", "ts", 10, 256)
-    return means.withColumn("period", F.round("period", 4)).withColumn("speed", F.round("speed", 6))
+    total = F.round(F.col("period") * F.col("steps") * 1e6).cast("bigint")
+    return means.select("user_id", "step", "steps", total.alias("total_us"), F.round("speed", 6).alias("speed"))
 
 
 @query("""WITH s AS (SELECT user_id, event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) AS us FROM events)
