@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def id_block(column: str, width: int = 1 << 16) -> Column:
+def id_block(column: str, width: int = 1 << 18) -> Column:
     """Block of an integer column."""
     return F.expr(f"`{column}` div {width}")
 
@@ -68,7 +68,7 @@ def with_running(
 
 
 def with_latest(
-    points: DataFrame, marks: DataFrame, group: Sequence[str], at: str, payload: str, width: int = 1 << 16
+    points: DataFrame, marks: DataFrame, group: Sequence[str], at: str, payload: str, width: int = 1 << 18
 ) -> DataFrame:
     """As-of lookup: the ``payload`` struct of the last mark at or before each point, per group.
 

@@ -8,17 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_latest
+from batchloom.session import fits
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """Look up ``table`` by ``key`` for rows in which some keys are very frequent.
+def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Keys that hold more than one row in ``share``; there are fewer than ``share`` of them."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") * share > counts.agg(F.sum("_n")).scalar()).select(key)
 
-    The table is repeated once per salt and the rows are dealt to the salts, so a hot key is shared by
-    ``salts`` tasks. A table that is small at run time is broadcast by AQE instead.
+
+def skewed_lookup(
+    rows: DataFrame, table: DataFrame, key: str, how: str = "left", small: int = 100_000, salts: int = 64
+) -> DataFrame:
+    """Look up ``table``, which has one row per key, for rows in which some keys are very frequent.
+
+    A table of at most ``small`` rows is broadcast. For a larger one the rows of the hot keys are
+    dealt to ``salts`` tasks, and only the hot entries of the table are repeated that often.
     """
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+    if fits(table, small):
+        return rows.join(F.broadcast(table), key, how)
+    hot = F.broadcast(hot_keys(rows, key).withColumn("_hot", F.lit(True)))  # fewer than 1000 keys
+    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", deal).drop("_hot")
+    every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+    copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint")))
+    spread = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
 def vocab_lookup(docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame, unknown: str = "[UNK]") -> DataFrame:
@@ -28,7 +43,7 @@ def vocab_lookup(docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame
     """
     unk = vocabulary.where(F.col("word") == unknown).select("id").scalar()
     tokens = docs.select(doc, F.posexplode(words).alias("_pos", "word"))
-    found = salted_lookup(tokens, vocabulary, "word").withColumn("id", F.coalesce("id", unk))
+    found = skewed_lookup(tokens, vocabulary, "word").withColumn("id", F.coalesce("id", unk))
     ids = found.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_pos", "id")))["id"].alias("ids"))
     return docs.join(ids, doc, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 
@@ -40,7 +55,7 @@ def pooled_slots(rows: DataFrame, row: str, slots: Sequence[str], table: DataFra
     """
     ids = F.array(*[F.struct(F.lit(n).alias("slot"), F.col(s).alias("ids")) for n, s in enumerate(slots)])
     pairs = rows.select(row, F.explode(ids).alias("_s")).select(row, "_s.slot", F.explode_outer("_s.ids").alias("id"))
-    found = salted_lookup(pairs, table, "id")
+    found = skewed_lookup(pairs, table, "id")
     zeros = F.array_repeat(F.lit(0.0), dim)
     vectors = F.collect_list(F.col("vec").cast("array<double>"))
     added = F.aggregate("_v", zeros, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
@@ -60,7 +75,7 @@ def embedding_lookup_pool(rows: DataFrame, row: str, slots: Sequence[str], dense
 
 def kv_multi_get(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Value of each requested key; null when the table does not hold it."""
-    return salted_lookup(keys, table, key)
+    return skewed_lookup(keys, table, key)
 
 
 def check_against_manifest(client: DataFrame, server: DataFrame, idx: str, path: str, strict: bool = False) -> DataFrame:

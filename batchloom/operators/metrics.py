@@ -220,10 +220,10 @@ def bag_of_words_pool(ids: DataFrame, doc: str, id_col: str, table: DataFrame, d
 
     Ids are counted per document first, so a frequent id is looked up once per document.
     """
-    from batchloom.operators.lookups import salted_lookup
+    from batchloom.operators.lookups import skewed_lookup
 
     counted = ids.where(F.col(id_col) != 0).groupBy(doc, F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    found = salted_lookup(counted, table, "id", "inner")
+    found = skewed_lookup(counted, table, "id", "inner")
     sums = found.groupBy(doc).agg(*[F.sum(F.col("_n") * F.col("vec")[i].cast("double")).alias(f"_{i}") for i in range(dim)])
     pooled = ids.select(doc).distinct().join(sums, doc, "left")
     total = F.array(*[F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(dim)])

@@ -45,7 +45,7 @@ def _number_blocks(df: DataFrame, group: Sequence[str], order: Sequence, name: s
 
 
 def id_positions(
-    df: DataFrame, id_col: str, group: Sequence[str] = (), name: str = "pos", base: int = 0, width: int = 1 << 16
+    df: DataFrame, id_col: str, group: Sequence[str] = (), name: str = "pos", base: int = 0, width: int = 1 << 18
 ) -> DataFrame:
     """Positions in the order of a unique integer column, per ``group``; a block holds at most ``width`` ids."""
     blocks = df.withColumn("_block", F.expr(f"`{id_col}` div {width}"))
@@ -53,7 +53,7 @@ def id_positions(
 
 
 def hash_positions(
-    df: DataFrame, key: Column, ties: Sequence[str], name: str = "pos", base: int = 0, digits: int = 3
+    df: DataFrame, key: Column, ties: Sequence[str], name: str = "pos", base: int = 0, digits: int = 4
 ) -> DataFrame:
     """Positions in md5 order of ``key``; the hash prefix spreads unique keys evenly over the blocks."""
     hashed = df.withColumn("_hash", F.md5(key)).withColumn("_block", F.substring("_hash", 1, digits))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from batchloom.operators.carry import id_block, with_running
 
 
-def merge_ranges(ranges: DataFrame, file: str, begin: str, end: str, width: int = 1 << 16) -> DataFrame:
+def merge_ranges(ranges: DataFrame, file: str, begin: str, end: str, width: int = 1 << 18) -> DataFrame:
     """Smallest set of ranges per file: ranges that overlap or touch become one."""
     rows, order, block = ranges.select(file, begin, end), [begin, end], id_block(begin, width)
     seen = with_running(rows, F.col(end), "_reach", [file], order, block, "max", include_current=False)

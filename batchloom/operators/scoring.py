@@ -37,12 +37,19 @@ def output_schema(df: DataFrame, fetches: dict[str, str], more: Sequence[tuple[s
 
 
 def score_with_teacher(
-    df: DataFrame, open_teacher: Callable[[], Teacher], feeds: dict[str, str], fetches: dict[str, str], batch_size: int
+    df: DataFrame,
+    open_teacher: Callable[[], Teacher],
+    feeds: dict[str, str],
+    fetches: dict[str, str],
+    batch_size: int,
+    together: str | None = None,
 ) -> DataFrame:
     """Add the fetched columns to every row.
 
     The model is opened once per task. Arrow batches are re-cut, so the teacher sees exactly
-    ``batch_size`` rows at a time. ``feeds`` maps feed names to columns, ``fetches`` fetch names to types.
+    ``batch_size`` rows at a time; with ``together`` it sees runs of equal values of that column instead,
+    by which the rows must be partitioned and sorted. ``feeds`` maps feed names to columns, ``fetches``
+    fetch names to types.
     """
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,18 +60,27 @@ def score_with_teacher(
         for frame in frames:
             teacher = teacher or open_teacher()
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            whole = len(held) // batch_size * batch_size
-            if whole:
-                yield answer(teacher, held.iloc[:whole], np)
-                held = held.iloc[whole:].reset_index(drop=True)
+            ends = cuts(held, np)
+            if ends:
+                yield answer(teacher, held.iloc[: ends[-1]], ends, np)
+                held = held.iloc[ends[-1] :].reset_index(drop=True)
         if held is not None and len(held):
-            yield answer(teacher, held, np)
+            yield answer(teacher, held, [*cuts(held, np), len(held)], np)
 
-    def answer(teacher, frame, np):
+    def cuts(frame, np):
+        """Ends of the batches that are known to be complete."""
+        if together is None:
+            return list(range(batch_size, len(frame) + 1, batch_size))
+        keys = frame[together].to_numpy()
+        return (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+
+    def answer(teacher, frame, ends, np):
         out = frame.copy()
         parts = {name: [] for name in fetches}
-        for at in range(0, len(frame), batch_size):
-            rows = frame.iloc[at : at + batch_size]
+        for start, end in zip([0, *ends], ends):
+            if start == end:
+                continue
+            rows = frame.iloc[start:end]
             fetched = teacher({name: np.stack(rows[column].to_list()) for name, column in feeds.items()})
             for name in fetches:
                 parts[name].extend(fetched[name])
@@ -207,9 +223,11 @@ class Distillation:
         return batching.rebatch_lists(rows, self.keys[0], "item", self.batch_size)
 
     def scored(self) -> DataFrame:
-        """Scored rows; the rows of a task are scored together."""
-        placed = self.tasks().repartition("task_id").sortWithinPartitions("task_id", "place")
-        return score_with_teacher(placed, self.teacher, self.feeds, self.predicts, self.batch_size)
+        """Scored rows. Tasks of lists are scored one by one; single samples in any batches of the right size."""
+        placed, together = self.tasks(), None
+        if self.form != "sample":
+            placed, together = placed.repartition("task_id").sortWithinPartitions("task_id", "place"), "task_id"
+        return score_with_teacher(placed, self.teacher, self.feeds, self.predicts, self.batch_size, together)
 
     def run(self) -> DataFrame:
         """Samples in input order, or lists and columnar batches with their predictions."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.operators.carry import with_latest, with_previous
+from batchloom.operators.carry import id_block, with_latest, with_previous, with_running
 from batchloom.operators.positions import grouped_positions, id_positions, range_positions
+from batchloom.session import fits
 
 
 def total(df: DataFrame) -> Column:
@@ -69,10 +70,15 @@ def hash_ring(nodes: DataFrame, node: str, virtual: int = 300, digits: int = 3)
 def consistent_hash_assign(
     keys: DataFrame, key: Column, nodes: DataFrame, node: str, name: str = "node", virtual: int = 300, digits: int = 3
 ) -> DataFrame:
-    """The node of the first virtual node at or after the key's md5, around the ring."""
+    """The node of the first virtual node at or after the key's md5, around the ring.
+
+    The ring of up to 1000 nodes is broadcast, a larger one is joined by hash prefix.
+    """
     ring = hash_ring(nodes, node, virtual, digits).select(
         F.col("prefix").alias("_prefix"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("node").alias(name)
     )
+    if fits(nodes, 1000):
+        ring = F.broadcast(ring)
     hashed = keys.withColumn("_slot", F.md5(key)).withColumn("_p", F.conv(F.substring("_slot", 1, digits), 16, 10).cast("int"))
     inside = (F.col("_p") == F.col("_prefix")) & (F.col("_slot") > F.col("_lo")) & (F.col("_slot") <= F.col("_hi"))
     return hashed.join(ring, inside).drop("_slot", "_p", "_prefix", "_lo", "_hi")
@@ -95,15 +101,15 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
         batches.groupBy(F.col(producer).alias("_p")).agg(F.count(F.lit(1)).alias("_size")), F.col("_m") == F.col("_p"), "left"
     ).select("_m", F.coalesce("_size", F.lit(0)).alias("_size"))
     share = sizes.agg(F.floor(F.sum("_size") / F.count(F.lit(1)))).scalar()
-    # one row per member
-    earlier = Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    levels = (
+    levels = range_positions(
         sizes.withColumn("_share", share)
         .withColumn("_over", F.greatest(F.col("_size") - F.col("_share"), F.lit(0)))
-        .withColumn("_short", F.greatest(F.col("_share") - F.col("_size"), F.lit(0)))
-        .withColumn("_over_from", F.coalesce(F.sum("_over").over(earlier), F.lit(0)))
-        .withColumn("_short_from", F.coalesce(F.sum("_short").over(earlier), F.lit(0)))
+        .withColumn("_short", F.greatest(F.col("_share") - F.col("_size"), F.lit(0))),
+        ["_m"],
+        "_rank",
     )
+    for amount in ("_over", "_short"):
+        levels = with_running(levels, F.col(amount), f"{amount}_from", [], ["_rank"], id_block("_rank"), include_current=False)
     queued = batches.join(levels.select("_m", "_share", "_over_from"), F.col(producer) == F.col("_m"))
     own = queued.where(F.col(pos) < F.col("_share")).withColumn("consumer", F.col(producer))
     surplus = queued.where(F.col(pos) >= F.col("_share")).withColumn(
@@ -143,7 +149,8 @@ def shard_table(df: DataFrame, key: str, shards: int, path: str) -> None:
     """Write a table split by key hash, one folder per shard."""
     hashed = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
     spread = df.withColumn("shard", F.pmod(hashed, F.lit(shards)))
-    spread.repartition("shard", key).write.partitionBy("shard").parquet(path)
+    # AQE splits the partitions of large shards after this hint
+    spread.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
 def rank_members(members: DataFrame, job: str, member: str, leaders: DataFrame, leader: str, min_nodes: int, max_nodes: int) -> DataFrame:

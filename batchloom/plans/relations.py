@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from batchloom.operators import batching, filters, lookups, sets, sharding
-from batchloom.operators.metrics import build_vocabulary
-from batchloom.operators.ranges import merge_ranges
+from batchloom.operators import batching, filters, lookups, metrics, ranges, sets, sharding
+
 from batchloom.plans.batching import QUEUED, WORDS, array_sum, supplier_batch_data
 from batchloom.plans.registry import query
 from batchloom.plans.sharding import RECORD_ORDER, SQL_ORDER, supplier_records
@@ -59,8 +58,8 @@ def processed_ranges(spark, sf):
 
 
 @query(f"WITH {RANGES} SELECT l_suppkey, begin_no, end_no FROM merged")
-def merge_ranges_per_file(spark, sf):
-    merged = merge_ranges(processed_ranges(spark, sf), "l_suppkey", "begin", "end")
+def merge_ranges(spark, sf):
+    merged = ranges.merge_ranges(processed_ranges(spark, sf), "l_suppkey", "begin", "end")
     return merged.select("l_suppkey", F.col("begin").alias("begin_no"), F.col("end").alias("end_no"))
 
 
@@ -69,7 +68,7 @@ SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE NOT
   (SELECT 1 FROM merged m WHERE m.l_suppkey = l.l_suppkey AND l.l_orderkey BETWEEN begin_no AND end_no)""")
 def skip_processed_records(spark, sf):
     records = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
-    merged = merge_ranges(processed_ranges(spark, sf), "l_suppkey", "begin", "end")
+    merged = ranges.merge_ranges(processed_ranges(spark, sf), "l_suppkey", "begin", "end")
     return lookups.skip_processed_records(records, merged, "l_suppkey", "l_orderkey")
 
 
@@ -131,11 +130,11 @@ VOCABULARY = f"""
 
 
 def document_vocabulary(spark, sf):
-    return build_vocabulary(table(spark, sf, "documents"), words(F.col("text")), 3)
+    return metrics.build_vocabulary(table(spark, sf, "documents"), words(F.col("text")), 3)
 
 
 @query(f"WITH {VOCABULARY} SELECT word, n, id FROM vocabulary")
-def build_vocabulary_by_count(spark, sf):
+def build_vocabulary(spark, sf):
     return document_vocabulary(spark, sf)
 
 

@@ -25,14 +25,19 @@ def event_parts(spark, sf):
     return [events.where(ts < first), events.where((ts >= first) & (ts < second)), events.where(ts >= second)]
 
 
-def arriving(spark, parts, name, files_per_batch=1):
-    """A folder in which the parts have arrived one after the other, as a stream."""
-    path = scratch(spark, name)
+def replay(spark, parts, name, run):
+    """Let the parts arrive one after the other; after each one ``run(stream, checkpoint)`` takes what is new."""
+    path, checkpoint = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
     for part in parts:
         part.write.mode("append").parquet(path)
-    # every part may have several files; each micro-batch takes the files of one part here
-    per_part = max(1, -(-len(spark.read.parquet(path).inputFiles()) // len(parts)))
-    return streams.watch_folder(spark, path, parts[0].schema, files_per_batch * per_part)
+        run(streams.watch_folder(spark, path, parts[0].schema), checkpoint)
+
+
+def replay_to_table(spark, parts, name, operator):
+    """What a stream operator appends while the parts arrive."""
+    out = scratch(spark, f"{name}-out")
+    replay(spark, parts, name, lambda stream, checkpoint: streams.run_to_file(operator(stream), name, out, checkpoint))
+    return spark.read.parquet(out)
 
 
 SESSIONS = """b AS (SELECT user_id, event_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
@@ -49,16 +54,22 @@ def lease_liveness(spark, sf):
 @query(f"WITH {SESSIONS} SELECT user_id, start_us, end_us, beats FROM sessions WHERE end_us <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000")
 def lease_liveness_stream(spark, sf):
     """Closed intervals only: those whose end the watermark has passed."""
-    stream = arriving(spark, event_parts(spark, sf), "beats")
-    path = streams.run_to_file(leases.stream_alive_intervals(stream, "user_id", "ts", TTL, "10 minutes"), "leases")
-    return spark.read.parquet(path)
+    return replay_to_table(
+        spark, event_parts(spark, sf), "beats", lambda s: leases.stream_alive_intervals(s, "user_id", "ts", TTL, "10 minutes")
+    )
 
 
 @query(FOLDED)
 def watch_changes(spark, sf):
     op = F.when(F.col("event_type") == "error", "remove").otherwise("add")
-    stream = arriving(spark, event_parts(spark, sf), "changes")
-    return changes.watch_changes(stream, scratch(spark, "change-log"), ["user_id"], op, "value", "event_id")
+    log = scratch(spark, "change-log")
+    replay(
+        spark,
+        event_parts(spark, sf),
+        "changes",
+        lambda s, checkpoint: changes.watch_changes(s, log, ["user_id"], op, "value", "event_id", checkpoint=checkpoint),
+    )
+    return changes.folded_log(spark, log, ["user_id"])
 
 
 VERSIONS = """WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events),
@@ -74,20 +85,19 @@ def versioned_delta(spark, sf):
 
 @query(VERSIONS)
 def versioned_delta_stream(spark, sf):
-    stream = arriving(spark, event_parts(spark, sf), "states")
     with streams.RocksDB(spark):
-        path = streams.run_to_file(changes.stream_versioned_delta(stream, "user_id", "event_type", "event_id"), "versions")
-    return spark.read.parquet(path)
+        return replay_to_table(
+            spark, event_parts(spark, sf), "states", lambda s: changes.stream_versioned_delta(s, "user_id", "event_type", "event_id")
+        )
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(spark, sf):
     """Every third report is sent twice in the same part."""
     parts = [p.unionByName(p.where("event_id % 3 = 0")) for p in event_parts(spark, sf)]
-    stream = arriving(spark, parts, "reports")
     at = F.timestamp_micros(epoch_micros(F.col("ts")))
-    path = streams.run_to_file(changes.stream_dedup(stream, ["event_id"], at, "1 hour"), "dedup")
-    return spark.read.parquet(path).select("event_id", "user_id", "event_type")
+    kept = replay_to_table(spark, parts, "reports", lambda s: changes.stream_dedup(s, ["event_id"], at, "1 hour"))
+    return kept.select("event_id", "user_id", "event_type")
 
 
 @query("""SELECT count(*) - count(*) % 8 AS handed, count(*) % 8 AS waiting, count(*) AS distinct_batches,
@@ -97,7 +107,9 @@ def stream_barrier_balance(spark, sf):
     parts = [p.select((F.col("user_id") % 8).alias("member"), "event_id") for p in event_parts(spark, sf)]
     members = table(spark, sf, "events").select((F.col("user_id") % 8).alias("member")).distinct()
     path = scratch(spark, "balance")
-    balance.stream_barrier_balance(spark, arriving(spark, parts, "reports"), path, "member", "event_id", members)
+    replay(
+        spark, parts, "reports", lambda s, cp: balance.stream_barrier_balance(spark, s, path, "member", "event_id", members, cp)
+    )
     handed = spark.read.parquet(f"{path}/handed")
     sizes = handed.groupBy("consumer").agg(F.count(F.lit(1)).alias("n"))
     waiting = spark.read.parquet(f"{path}/waiting/batch=2")
@@ -127,7 +139,12 @@ def snapshot_plus_watch(spark, sf):
         return batch.select(F.col("user_id").alias("member"), kind.alias("kind"))
 
     path = scratch(spark, "members")
-    changes.snapshot_plus_watch(spark, arriving(spark, event_parts(spark, sf), "watch"), path, "member", "kind", kinds)
+    replay(
+        spark,
+        event_parts(spark, sf),
+        "watch",
+        lambda s, checkpoint: changes.snapshot_plus_watch(spark, s, path, "member", "kind", kinds, checkpoint),
+    )
     return spark.read.parquet(f"{path}/version=2").select("member")
 
 
@@ -139,7 +156,7 @@ def resume_from_checkpoint(spark, sf):
     for arrived in (parts[:1], parts[1:]):
         for part in arrived:
             part.write.mode("append").parquet(path)
-        stream = streams.watch_folder(spark, path, parts[0].schema, 16)
+        stream = streams.watch_folder(spark, path, parts[0].schema)
         streams.run_to_file(stream, "resume", out, checkpoint)
     rows = spark.read.parquet(out)
     return rows.groupBy("event_type").agg(
@@ -152,33 +169,36 @@ def resume_from_checkpoint(spark, sf):
 FROM events WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000 GROUP BY 1""")
 def metric_ticks(spark, sf):
     """One report per hour, given out when the hour is over for the watermark."""
-    stream = arriving(spark, event_parts(spark, sf), "ticks")
-    timed = stream.withColumn("at", F.timestamp_micros(epoch_micros(F.col("ts")))).withWatermark("at", "10 minutes")
     running = F.col("event_type") == "view"
     used = F.sum(F.when(running, F.round(F.col("value") * 1000).cast("bigint")).otherwise(0))
-    ticks = timed.groupBy(F.window("at", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("submitted"), F.count_if(running).alias("running"), used.alias("used")
-    )
-    path = streams.run_to_file(ticks.select(F.unix_micros("w.start").alias("tick_us"), "submitted", "running", "used"), "ticks")
+
+    def hourly(stream):
+        timed = stream.withColumn("at", F.timestamp_micros(epoch_micros(F.col("ts")))).withWatermark("at", "10 minutes")
+        ticks = timed.groupBy(F.window("at", "1 hour").alias("w")).agg(
+            F.count(F.lit(1)).alias("submitted"), F.count_if(running).alias("running"), used.alias("used")
+        )
+        return ticks.select(F.unix_micros("w.start").alias("tick_us"), "submitted", "running", "used")
+
     percent = F.format_string("%.2f", 100.0 * F.col("used") / 70001.0)
-    return spark.read.parquet(path).select("tick_us", "submitted", "running", percent.alias("utilisation"))
+    ticks = replay_to_table(spark, event_parts(spark, sf), "ticks", hourly)
+    return ticks.select("tick_us", "submitted", "running", percent.alias("utilisation"))
 
 
 @query(f"WITH {STUDENT} SELECT vec_id, label, {place_sum_sql('s')} AS logit_sum FROM lg")
 def stream_scoring(spark, sf):
     samples = table(spark, sf, "embeddings")
-    stream = arriving(spark, [samples.where("vec_id % 2 = 0"), samples.where("vec_id % 2 = 1")], "samples")
-    scored = scoring.score_with_teacher(stream, teacher(), {"img": "embedding"}, FETCH, 16)
-    path = streams.run_to_file(scored, "scored")
-    return spark.read.parquet(path).select("vec_id", "label", place_sum(F.col("prediction")).alias("logit_sum"))
+    parts = [samples.where("vec_id % 2 = 0"), samples.where("vec_id % 2 = 1")]
+    scored = replay_to_table(
+        spark, parts, "samples", lambda s: scoring.score_with_teacher(s, teacher(), {"img": "embedding"}, FETCH, 16)
+    )
+    return scored.select("vec_id", "label", place_sum(F.col("prediction")).alias("logit_sum"))
 
 
 @query("""WITH e AS (SELECT user_id, min(event_id) FILTER (event_type = 'error') AS ending FROM events GROUP BY user_id)
 SELECT events.user_id, count(*) FILTER (ending IS NULL OR event_id < ending) AS n_before_end, bool_and(ending IS NOT NULL) AS ended FROM events JOIN e ON events.user_id = e.user_id GROUP BY events.user_id""")
 def end_of_data(spark, sf):
     """An error event is a member's end marker; its later rows are not read."""
-    path = streams.run_to_file(arriving(spark, event_parts(spark, sf), "members"), "ended")
-    rows = spark.read.parquet(path).select("user_id", "event_id", "event_type")
+    rows = replay_to_table(spark, event_parts(spark, sf), "members", lambda s: s.select("user_id", "event_id", "event_type"))
     markers = rows.where(F.col("event_type") == "error").groupBy("user_id").agg(F.min("event_id").alias("ending"))
     placed = rows.join(markers, "user_id", "left")
     open_rows = F.count_if(F.col("ending").isNull() | (F.col("event_id") < F.col("ending")))
@@ -205,7 +225,12 @@ def fenced_upsert(spark, sf):
     fence = F.expr("event_id div 100 + (event_id * 7919) % 40").alias("fence")
     parts = [p.select("event_id", "user_id", fence) for p in event_parts(spark, sf)]
     path = scratch(spark, "fenced")
-    changes.fenced_upsert(spark, arriving(spark, parts, "writes"), path, "user_id", "fence", "event_id", id_block("event_id"))
+    replay(
+        spark,
+        parts,
+        "writes",
+        lambda s, cp: changes.fenced_upsert(spark, s, path, "user_id", "fence", "event_id", id_block("event_id"), cp),
+    )
     sides = [spark.read.parquet(f"{path}/{n}").withColumn("accepted", F.lit(n == "accepted")) for n in ("accepted", "refused")]
     return sides[0].unionByName(sides[1]).select("event_id", "user_id", "fence", "accepted")
 
@@ -221,15 +246,18 @@ def user_state_hook(spark, sf):
             "errors": state["errors"] + int((frame["event_type"] == "error").sum()),
         }
 
-    stream = arriving(spark, [p.select("user_id", "event_id", "event_type") for p in event_parts(spark, sf)], "hook")
+    parts = [p.select("user_id", "event_id", "event_type") for p in event_parts(spark, sf)]
     out = scratch(spark, "user-state")
 
     def each(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/run={batch_id}")
 
-    with streams.RocksDB(spark):
+    def run(stream, checkpoint):
         states = changes.user_state(stream, "user_id", {"n": 0, "last_id": -1, "errors": 0}, adjust)
-        streams.run_batches(states, each, "hook", mode="update")
+        streams.run_batches(states, each, "hook", checkpoint, "update")
+
+    with streams.RocksDB(spark):
+        replay(spark, parts, "hook", run)
     last = spark.read.parquet(out).groupBy("user_id").agg(F.max_by("state", "batch").alias("state"))
     body = F.from_json("state", "n bigint, last_id bigint, errors bigint")
     return last.select("user_id", body.alias("b")).select("user_id", "b.n", "b.last_id", "b.errors")
@@ -240,7 +268,7 @@ SELECT user_id, end_us - 21600000000 AS last_us FROM sessions WHERE (end_us + 99
   OR end_us - 21600000000 < (SELECT max(epoch_us(ts)) FROM events e WHERE e.user_id = sessions.user_id)""")
 def lease_expiry(spark, sf):
     """Expiry events of a stream: at the end each closed interval has given one."""
-    stream = arriving(spark, event_parts(spark, sf), "leases", 1)
     with streams.RocksDB(spark):
-        path = streams.run_to_file(leases.expired_keys(stream, "user_id", "ts", TTL, "10 minutes"), "expiry")
-    return spark.read.parquet(path)
+        return replay_to_table(
+            spark, event_parts(spark, sf), "leases", lambda s: leases.expired_keys(s, "user_id", "ts", TTL, "10 minutes")
+        )

@@ -54,6 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fits(df: DataFrame, rows: int) -> bool:
+    """Does the frame have at most ``rows`` rows? Reads no more than that many."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

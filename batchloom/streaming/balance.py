@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from batchloom.operators.positions import id_positions
 from batchloom.operators.sharding import balance_batches
+from batchloom.session import cut
 from batchloom.streaming.streams import run_batches
 
 
-def stream_barrier_balance(spark: SparkSession, reports: DataFrame, path: str, producer: str, batch: str, members: DataFrame) -> None:
+def stream_barrier_balance(
+    spark: SparkSession, reports: DataFrame, path: str, producer: str, batch: str, members: DataFrame, checkpoint: str | None = None
+) -> None:
     """Per micro-batch: add the waiting batches; when every member has some, balance and hand out.
 
     Handed batches go to ``handed``, the rest waits in ``waiting``, one folder per micro-batch.
@@ -25,13 +28,12 @@ def stream_barrier_balance(spark: SparkSession, reports: DataFrame, path: str, p
         absent = expected.join(queue, producer, "left_anti")
         placed = id_positions(queue, batch, [producer], "_pos")
         if absent.isEmpty():
-            shared = balance_batches(placed, producer, "_pos", expected).persist()
+            shared = cut(balance_batches(placed, producer, "_pos", expected))
         else:
-            shared = placed.withColumn("consumer", F.lit(None).cast("bigint")).persist()
+            shared = cut(placed.withColumn("consumer", F.lit(None).cast("bigint")))
         handed = shared.where(F.col("consumer").isNotNull()).select(producer, batch, "consumer")
         handed.write.mode("overwrite").parquet(f"{path}/handed/batch={batch_id}")
         waiting = shared.where(F.col("consumer").isNull()).select(producer, batch)
         waiting.write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
-        shared.unpersist()
 
-    run_batches(reports, each, "balance")
+    run_batches(reports, each, "balance", checkpoint)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_previous, with_running
 from batchloom.operators.sets import apply_membership_delta, fold_changes
+from batchloom.session import cut
 from batchloom.streaming.streams import run_batches
 
 
@@ -21,10 +22,22 @@ def append_folded(log: str, keys: Sequence[str], op: Column, value: str, revisio
     return each
 
 
-def watch_changes(changes: DataFrame, log: str, keys: Sequence[str], op: Column, value: str, revision: str, start: int = 0) -> DataFrame:
-    """Follow a change log from a start revision; returns the last change of each key over all batches."""
-    spark = changes.sparkSession
-    run_batches(changes.where(F.col(revision) >= start), append_folded(log, keys, op, value, revision), "watch")
+def watch_changes(
+    changes: DataFrame,
+    log: str,
+    keys: Sequence[str],
+    op: Column,
+    value: str,
+    revision: str,
+    start: int = 0,
+    checkpoint: str | None = None,
+) -> None:
+    """Follow a change log from a start revision and append each micro-batch's folded changes to ``log``."""
+    run_batches(changes.where(F.col(revision) >= start), append_folded(log, keys, op, value, revision), "watch", checkpoint)
+
+
+def folded_log(spark: SparkSession, log: str, keys: Sequence[str]) -> DataFrame:
+    """The last change of each key over all micro-batches."""
     return fold_changes(spark.read.parquet(log), keys, F.col("op"), "value", "revision")
 
 
@@ -85,27 +98,34 @@ def fenced_rows(writes: DataFrame, stored: DataFrame, key: str, fence: str, orde
     return seen.join(held, key, "left").withColumn("accepted", limit.isNull() | (F.col(fence) >= limit)).drop("_top", "_held")
 
 
-def fenced_upsert(spark: SparkSession, writes: DataFrame, path: str, key: str, fence: str, order: str, block: Column) -> None:
-    """Apply a stream of fenced writes to an append-only store; refused writes go to an error table."""
+def fenced_upsert(
+    spark: SparkSession, writes: DataFrame, path: str, key: str, fence: str, order: str, block: Column, checkpoint: str | None = None
+) -> None:
+    """Apply a stream of fenced writes to an append-only store; refused writes go to an error table.
+
+    The highest fence per key is a table of its own, so a batch never reads the whole store.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        columns = [f"{key} bigint", f"{fence} bigint"]
-        if batch_id:
-            earlier = spark.read.parquet(*[f"{path}/accepted/batch={n}" for n in range(batch_id)])
-            stored = earlier.groupBy(key).agg(F.max(fence).alias(fence))
-        else:
-            stored = spark.createDataFrame([], ", ".join(columns))
-        marked = fenced_rows(batch, stored, key, fence, order, block).persist()
+        stored = spark.read.parquet(f"{path}/top/batch={batch_id - 1}") if batch_id else batch.select(key, fence).limit(0)
+        marked = cut(fenced_rows(batch, stored, key, fence, order, block))
         for accepted, name in ((True, "accepted"), (False, "refused")):
             part = marked.where(F.col("accepted") == accepted).drop("accepted")
             part.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-        marked.unpersist()
+        top = stored.unionByName(marked.select(key, fence)).groupBy(key).agg(F.max(fence).alias(fence))
+        top.write.mode("overwrite").parquet(f"{path}/top/batch={batch_id}")
 
-    run_batches(writes, each, "fenced")
+    run_batches(writes, each, "fenced", checkpoint)
 
 
 def snapshot_plus_watch(
-    spark: SparkSession, changes: DataFrame, path: str, member: str, kind: str, after_batch: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    changes: DataFrame,
+    path: str,
+    member: str,
+    kind: str,
+    after_batch: Callable[[DataFrame], DataFrame],
+    checkpoint: str | None = None,
 ) -> None:
     """Keep a member table: a full list in a batch replaces it, then the batch's adds and removes apply.
 
@@ -121,7 +141,7 @@ def snapshot_plus_watch(
         current = apply_membership_delta(listed, added, removed, [member])
         current.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    run_batches(changes, each, "snapshot")
+    run_batches(changes, each, "snapshot", checkpoint)
 
 
 def stream_dedup(reports: DataFrame, keys: Sequence[str], ts: Column, delay: str) -> DataFrame:

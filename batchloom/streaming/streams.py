@@ -12,9 +12,13 @@ from batchloom.session import checkpoint_root, scratch
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def watch_folder(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, glob: str | None = None) -> DataFrame:
+def watch_folder(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, glob: str | None = None
+) -> DataFrame:
     """Stream of the parquet files that arrive in a folder, oldest first."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
