@@ -20,6 +20,11 @@ def events_by_day(spark, sf):
     return table(spark, sf, "events").withColumn("day", F.floor(seconds / 86400e6)).withColumn("hour", F.floor(seconds / 3600e6))
 
 
+def cents():
+    """The event value in whole hundredths, whose mean does not depend on the order of the rows."""
+    return F.round(F.col("value") * 100).cast("bigint")
+
+
 DAYS = """ev AS (SELECT *, (epoch_us(ts) - 1704067200000000) // 86400000000 AS day, (epoch_us(ts) - 1704067200000000) // 3600000000 AS hour FROM events)"""
 
 
@@ -164,10 +169,9 @@ def throughput(spark, sf):
     return speeds.select("epoch", "batches", F.round("speed", 6).alias("speed"), best.alias("max_speed"))
 
 
-@query(f"""WITH {DAYS} SELECT day AS epoch_no, count(DISTINCT user_id) AS world_size, count(*) AS step_num, round(avg(value), 6) AS avg_step_time FROM ev GROUP BY day""")
+@query(f"""WITH {DAYS} SELECT day AS epoch_no, count(DISTINCT user_id) AS world_size, count(*) AS step_num, avg(round(value * 100)::BIGINT) AS avg_step_time FROM ev GROUP BY day""")
 def epoch_attributes(spark, sf):
-    attributes = metrics.epoch_attributes(events_by_day(spark, sf), F.col("day"), "user_id", F.col("value"))
-    return attributes.withColumn("avg_step_time", F.round("avg_step_time", 6))
+    return metrics.epoch_attributes(events_by_day(spark, sf), F.col("day"), "user_id", cents())
 
 
 BOW_WEIGHTS = [[((c * 31 + d * 17) % 13 - 6) / 10.0 for d in range(64)] for c in range(2)]
@@ -264,10 +268,10 @@ def endpoint_listing(spark, sf):
     return both.select("s_suppkey", "same_port", F.col("endpoint").alias("rising_port"))
 
 
-@query(f"""WITH {DAYS}, l AS (SELECT day AS epoch, round(avg(value), 6) AS loss FROM ev GROUP BY day)
+@query(f"""WITH {DAYS}, l AS (SELECT day AS epoch, avg(round(value * 100)::BIGINT) AS loss FROM ev GROUP BY day)
 SELECT arg_min(epoch, loss) AS epoch, min(loss) AS loss FROM l""")
 def best_pass(spark, sf):
-    losses = events_by_day(spark, sf).groupBy(F.col("day").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    losses = events_by_day(spark, sf).groupBy(F.col("day").alias("epoch")).agg(F.avg(cents()).alias("loss"))
     return windows.best_pass(losses, "epoch", "loss")
 
 

@@ -56,7 +56,7 @@ FROM kept WHERE length(value) > 0""")
 def splitter_source(spark, sf):
     folder = document_lines(spark, sf)
     names = [n.removeprefix("file://") for n in spark.read.text(folder).inputFiles()]
-    splitter.register_splitter(spark, "line_splitter", splitter.strip_lines)
+    splitter.register_splitter(spark, "line_splitter", splitter.line_splitter())
     rows = spark.read.format("line_splitter").option("files", json.dumps(names)).load()
     bucket = F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint")
     return rows.select(bucket.alias("bucket"), "idx", "record")

@@ -7,15 +7,19 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import SparkSession
 
 
-def strip_lines(path: str) -> Iterator[tuple[int, str]]:
+def line_splitter() -> Callable[[str], Iterator[tuple[int, str]]]:
     """The splitter for text files: number from 1 and text of each line that is not blank."""
-    number = 0
-    with open(path, encoding="utf-8", newline="\n") as lines:
-        for line in lines:
-            text = line.strip()
-            if text:
-                number += 1
-                yield number, text
+
+    def strip_lines(path):
+        number = 0
+        with open(path, encoding="utf-8", newline="\n") as lines:
+            for line in lines:
+                text = line.strip()
+                if text:
+                    number += 1
+                    yield number, text
+
+    return strip_lines
 
 
 def register_splitter(
