@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_latest
-from batchloom.session import fits
+from batchloom.session import by_key, fits
+
+SMALL = 100_000  # rows of a table that may be broadcast
 
 
 def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
@@ -18,7 +20,7 @@ def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
 
 
 def skewed_lookup(
-    rows: DataFrame, table: DataFrame, key: str, how: str = "left", small: int = 100_000, salts: int = 64
+    rows: DataFrame, table: DataFrame, key: str, how: str = "left", small: int = SMALL, salts: int = 64
 ) -> DataFrame:
     """Look up ``table``, which has one row per key, for rows in which some keys are very frequent.
 
@@ -36,14 +38,18 @@ def skewed_lookup(
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
-def vocab_lookup(docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame, unknown: str = "[UNK]") -> DataFrame:
+def vocab_lookup(
+    docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame, unknown: str = "[UNK]", small: int = 500_000
+) -> DataFrame:
     """Word ids of each document in word order; unknown words get the id of ``[UNK]``.
 
-    ``vocabulary`` has the columns ``word`` and ``id``.
+    ``vocabulary`` has the columns ``word`` and ``id``; one of at most ``small`` words is broadcast.
     """
     unk = vocabulary.where(F.col("word") == unknown).select("id").scalar()
+    if fits(vocabulary, small):
+        docs = by_key(docs, doc)
     tokens = docs.select(doc, F.posexplode(words).alias("_pos", "word"))
-    found = skewed_lookup(tokens, vocabulary, "word").withColumn("id", F.coalesce("id", unk))
+    found = skewed_lookup(tokens, vocabulary, "word", small=small).withColumn("id", F.coalesce("id", unk))
     ids = found.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_pos", "id")))["id"].alias("ids"))
     return docs.join(ids, doc, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 
@@ -67,6 +73,8 @@ def pooled_slots(rows: DataFrame, row: str, slots: Sequence[str], table: DataFra
 
 def embedding_lookup_pool(rows: DataFrame, row: str, slots: Sequence[str], dense: str, table: DataFrame, dim: int) -> DataFrame:
     """Pooled slots of each row in slot order, followed by its dense numbers."""
+    if fits(table, SMALL):
+        rows = by_key(rows, row)
     pooled = pooled_slots(rows, row, slots, table, dim)
     vectors = F.sort_array(F.collect_list(F.struct("slot", "pooled")))["pooled"]
     features = pooled.groupBy(row).agg(F.flatten(vectors).alias("_f"))

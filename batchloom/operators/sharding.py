@@ -170,3 +170,15 @@ def queue_positions(records: DataFrame, producer: str, order: Sequence, size: in
     """Number records per producer and name the batch of ``size`` records each one falls into."""
     placed = grouped_positions(records, [producer], order, "record_no")
     return placed.withColumn("batch_no", F.expr(f"record_no div {size}"))
+
+
+def queued_batches(counts: DataFrame, producer: str, records: str, size: int, step: int = 1 << 16) -> DataFrame:
+    """Batch numbers and sizes of each producer from its record count.
+
+    Numbers are made in two steps of at most ``step``, as one producer may have very many batches.
+    """
+    runs = counts.withColumn("_n", F.ceil(F.col(records) / size)).where(F.col("_n") > 0)
+    runs = runs.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(step).cast("bigint"))))
+    last = F.least(F.col("_from") + (step - 1), F.col("_n") - 1)
+    numbered = runs.select(producer, records, F.explode(F.sequence("_from", last)).alias("batch_no"))
+    return numbered.select(producer, "batch_no", F.least(F.lit(size), F.col(records) - F.col("batch_no") * size).alias("n_records"))

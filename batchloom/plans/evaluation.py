@@ -10,7 +10,7 @@ from batchloom.operators.carry import id_block
 from batchloom.plans.batching import WORDS
 from batchloom.plans.registry import query
 from batchloom.plans.scoring import rounded
-from batchloom.session import table
+from batchloom.session import by_key, spread, table
 from batchloom.sources.text import words
 
 
@@ -186,7 +186,7 @@ SELECT t.doc_id, round(coalesce(sum(y * (((0 * 31 + d * 17) % 13) - 6) / 10.0),
 FROM (SELECT DISTINCT doc_id FROM tk) t LEFT JOIN f ON t.doc_id = f.doc_id GROUP BY t.doc_id""")
 def bag_of_words_pool(spark, sf):
     length = F.length("w")
-    ids = table(spark, sf, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w")).select(
+    ids = by_key(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(words(F.col("text"))).alias("w")).select(
         "doc_id", F.when(length > 3, length * 7 % 199).otherwise(0).cast("bigint").alias("id")
     )
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -198,7 +198,7 @@ def bag_of_words_pool(spark, sf):
   g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5)
 SELECT w[i + 4] AS next_word, count(*) AS n, sum(length(w[i]) + length(w[i + 1]) + length(w[i + 2]) + length(w[i + 3]))::BIGINT AS context_chars FROM g GROUP BY 1""")
 def ngram_samples(spark, sf):
-    samples = windows.ngram_samples(table(spark, sf, "documents"), "doc_id", words(F.col("text")))
+    samples = windows.ngram_samples(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", words(F.col("text")))
     chars = F.length(F.array_join("context", ""))
     return samples.groupBy("next_word").agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("context_chars"))
 

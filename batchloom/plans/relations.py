@@ -8,10 +8,10 @@ from batchloom.operators import batching, filters, lookups, metrics, ranges, set
 
 from batchloom.plans.batching import QUEUED, WORDS, array_sum, supplier_batch_data
 from batchloom.plans.registry import query
-from batchloom.plans.sharding import RECORD_ORDER, SQL_ORDER, supplier_records
-from batchloom.plans.sources import DOC_LINES, WS
+from batchloom.plans.sharding import supplier_batches
+from batchloom.plans.sources import DOC_LINES
 from batchloom.operators.positions import id_positions
-from batchloom.session import table
+from batchloom.session import spread, table
 from batchloom.sources.text import drop_blank_records as drop_blank
 from batchloom.sources.text import words
 
@@ -130,7 +130,7 @@ VOCABULARY = f"""
 
 
 def document_vocabulary(spark, sf):
-    return metrics.build_vocabulary(table(spark, sf, "documents"), words(F.col("text")), 3)
+    return metrics.build_vocabulary(spread(table(spark, sf, "documents").select("text")), words(F.col("text")), 3)
 
 
 @query(f"WITH {VOCABULARY} SELECT word, n, id FROM vocabulary")
@@ -191,7 +191,8 @@ BALANCED_32 = f"""{QUEUED},
 def fetch_batches(spark, sf):
     data = supplier_batch_data(spark, sf)
     members = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
-    metas = sharding.balance_batches(data.select("l_suppkey", "batch_no"), "l_suppkey", "batch_no", members)
+    queued = supplier_batches(spark, sf, 32).select("l_suppkey", "batch_no")
+    metas = sharding.balance_batches(queued, "l_suppkey", "batch_no", members)
     fetched = lookups.fetch_batches(metas.where(F.col("consumer").isNotNull()), data, ["l_suppkey", "batch_no"])
     text = F.transform("records", lambda r: F.array_join(r.field_data.cast("array<string>"), ":"))
     return fetched.select(

@@ -98,10 +98,9 @@ def key_distribution(spark, sf):
 
 
 def supplier_batches(spark, sf, size=8):
-    """Batches of line items queued per supplier."""
-    records = supplier_records(spark, sf)
-    queued = sharding.queue_positions(records, "l_suppkey", [*RECORD_ORDER, "_file", "_row"], size)
-    return queued.groupBy("l_suppkey", "batch_no").agg(F.count(F.lit(1)).alias("n_records"))
+    """Batches of line items queued per supplier; their numbers and sizes follow from the record counts."""
+    records = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return sharding.queued_batches(records, "l_suppkey", "n", size)
 
 
 BALANCED = f"""

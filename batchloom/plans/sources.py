@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from batchloom.plans.registry import query
-from batchloom.session import scratch, table
+from batchloom.session import scratch, spread, table
 from batchloom.sources import binary, files, splitter, text
 
 # The white space class of batchloom.sources.text, for DuckDB.
@@ -136,7 +136,8 @@ def click_log(spark, sf):
     attributes = [F.when(F.col("l_returnflag") == "R", 1).otherwise(0)]
     attributes += [F.pmod(F.col("l_quantity").cast("bigint") * i, F.lit(97)) for i in range(1, 14)]
     attributes += [F.pmod(F.col("l_partkey") * j + F.col("l_suppkey"), F.lit(100003)) for j in range(1, 27)]
-    table(spark, sf, "lineitem").select(F.concat_ws(" ", *[a.cast("string") for a in attributes])).write.text(path)
+    rows = spread(table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_partkey", "l_suppkey"))
+    rows.select(F.concat_ws(" ", *[a.cast("string") for a in attributes])).write.text(path)
     return path
 
 

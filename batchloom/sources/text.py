@@ -20,7 +20,7 @@ def strip(column: Column) -> Column:
 
 def words(column: Column) -> Column:
     """Split on runs of white space; an empty text has no words."""
-    return F.filter(F.split(column, f"{SPACE}+"), lambda w: w != "")
+    return F.regexp_extract_all(column, F.lit(f"[^{SPACE[1:-1]}]+"), F.lit(0))
 
 
 def one_line(column: Column) -> Column:
@@ -88,9 +88,10 @@ def read_labelled_list(spark: SparkSession, paths: str | Sequence[str], mode: st
 
 def read_ctr_records(spark: SparkSession, paths: str | Sequence[str], dense: int = 13, sparse: int = 26) -> DataFrame:
     """Click log of blank-separated attributes: label, dense numbers, then one id slot per sparse feature."""
-    parts = F.split(F.trim("value"), " ")
+    parts = F.col("_p")
     slots = [F.array(parts[1 + dense + i].cast("bigint")).alias(f"C{i + 1}") for i in range(sparse)]
-    return spark.read.option("lineSep", "\n").text(paths).select(
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    return lines.select(F.split(F.trim("value"), " ").alias("_p")).select(
         F.slice(parts, 2, dense).cast("array<float>").alias("dense"), *slots, parts[0].cast("int").alias("label")
     )
 
