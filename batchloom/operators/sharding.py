@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import id_block, with_latest, with_previous, with_running
@@ -155,15 +155,13 @@ def shard_table(df: DataFrame, key: str, shards: int, path: str) -> None:
 
 def rank_members(members: DataFrame, job: str, member: str, leaders: DataFrame, leader: str, min_nodes: int, max_nodes: int) -> DataFrame:
     """The leader gets rank 0, the others the next ranks by id, up to ``max_nodes``; too few members are marked."""
-    placed = id_positions(members, member, [job], "_pos").join(leaders.select(job, leader), job)
-    rank = (
-        F.when(F.col(member) == F.col(leader), 0)
-        .when(F.col(member) < F.col(leader), F.col("_pos") + 1)
-        .otherwise(F.col("_pos"))
-    )
     counts = members.groupBy(job).agg((F.count(F.lit(1)) >= min_nodes).alias("enough"))
-    ranked = placed.withColumn("rank", rank.cast("bigint")).where(F.col("rank") < max_nodes)
-    return ranked.join(counts, job).select(job, member, "rank", "enough")
+    heads = leaders.select(job, leader).join(counts, job)
+    order = Window.partitionBy(job).orderBy(F.col(member) != F.col(leader), member)
+    numbered = members.join(heads, job).withColumn("_n", F.row_number().over(order))
+    # the limit on the row number is applied in every map task before rows of a job meet
+    ranked = numbered.where(F.col("_n") <= max_nodes)
+    return ranked.select(job, member, (F.col("_n") - 1).cast("bigint").alias("rank"), "enough")
 
 
 def queue_positions(records: DataFrame, producer: str, order: Sequence, size: int) -> DataFrame:

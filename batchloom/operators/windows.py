@@ -75,8 +75,12 @@ def pop_n(queue: DataFrame, owner: str, item: str, num: str) -> DataFrame:
 
 
 def limit_members(members: DataFrame, job: str, member: str, max_nodes: int) -> DataFrame:
-    """The first members of each job up to ``max_nodes``."""
-    return id_positions(members, member, [job], "rank").where(F.col("rank") < max_nodes)
+    """The first members of each job up to ``max_nodes``.
+
+    The limit on the row number is applied in every map task first, so a hot job stays small.
+    """
+    numbered = members.withColumn("_n", F.row_number().over(Window.partitionBy(job).orderBy(member)))
+    return numbered.where(F.col("_n") <= max_nodes).withColumn("rank", (F.col("_n") - 1).cast("bigint")).drop("_n")
 
 
 def sorted_listing(names: DataFrame, group: str, name: str, order_id: str, per_line: int = 64) -> DataFrame:
