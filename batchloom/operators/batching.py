@@ -75,12 +75,16 @@ def restore_order(df: DataFrame, order: Sequence) -> DataFrame:
 def regroup_lists(
     df: DataFrame, list_id: str, pos: str, size: str, columns: Sequence[str], chunk: int = 1024
 ) -> DataFrame:
-    """Rows of tasks back as lists, in chunks of at most ``chunk``, with a check of the list size."""
-    counts = df.groupBy(list_id).agg(F.count(F.lit(1)).alias("_found"), F.max(size).alias("_declared"))
-    chunks = df.withColumn("chunk", F.expr(f"`{pos}` div {chunk}"))
-    lists = collect_ordered(chunks, [list_id, "chunk"], pos, columns)
-    checked = counts.select(list_id, F.col("_declared").alias("list_size"), (F.col("_found") == F.col("_declared")).alias("complete"))
-    return lists.join(checked, list_id)
+    """Rows of tasks back as lists, in chunks of at most ``chunk``, each checked against the list size.
+
+    The rows, which may come out of a teacher, are read once.
+    """
+    row = F.struct(pos, *[c for c in columns if c != pos])
+    lists = df.withColumn("chunk", F.expr(f"`{pos}` div {chunk}")).groupBy(list_id, "chunk").agg(
+        F.sort_array(F.collect_list(row)).alias("rows"), F.max(size).alias("list_size")
+    )
+    expected = F.least(F.lit(chunk), F.col("list_size") - F.col("chunk") * chunk)
+    return lists.withColumn("complete", F.size("rows") == expected)
 
 
 def to_columnar(df: DataFrame, rows: str, slots: Sequence[str]) -> DataFrame:

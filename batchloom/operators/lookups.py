@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_latest
-from batchloom.session import by_key, fits
+from batchloom.session import by_key, cut, fits
 
 SMALL = 100_000  # rows of a table that may be broadcast
 
@@ -99,7 +99,7 @@ def check_against_manifest(client: DataFrame, server: DataFrame, idx: str, path:
 
 def skip_processed_records(records: DataFrame, processed: DataFrame, file: str, record: str) -> DataFrame:
     """The records outside the processed ranges ``(file, begin, end)``, which are merged and inclusive."""
-    marks = processed.select(file, F.col("begin").alias(record), F.struct("begin", "end").alias("_range"))
+    marks = cut(processed).select(file, F.col("begin").alias(record), F.struct("begin", "end").alias("_range"))
     placed = with_latest(records, marks, [file], record, "_range")
     return placed.where(F.coalesce(F.col(record) > F.col("_range.end"), F.lit(True))).drop("_range")
 

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import id_block, with_running
+from batchloom.session import cut
 
 
 def merge_ranges(ranges: DataFrame, file: str, begin: str, end: str, width: int = 1 << 18) -> DataFrame:
     """Smallest set of ranges per file: ranges that overlap or touch become one."""
     # equal ranges go first: both windows below then see one order
-    rows, order, block = ranges.select(file, begin, end).distinct(), [begin, end], id_block(begin, width)
+    rows, order, block = cut(ranges.select(file, begin, end).distinct()), [begin, end], id_block(begin, width)
     seen = with_running(rows, F.col(end), "_reach", [file], order, block, "max", include_current=False)
     starts = F.when(F.col("_reach").isNull() | (F.col(begin) > F.col("_reach") + 1), 1).otherwise(0)
     islands = with_running(seen.withColumn("_start", starts), F.col("_start"), "_island", [file], order, block)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.operators.carry import id_block, with_latest, with_previous, with_running
 from batchloom.operators.positions import grouped_positions, id_positions, range_positions
-from batchloom.session import fits
+from batchloom.session import cut, fits
 
 
 def total(df: DataFrame) -> Column:
@@ -97,9 +97,12 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
     ``batches`` has the position of each batch in its producer's queue. A member keeps its own first
     ones; the surplus, in order, fills the members that are short; what is left has no consumer.
     """
-    sizes = members.select(F.col(producer).alias("_m")).distinct().join(
-        batches.groupBy(F.col(producer).alias("_p")).agg(F.count(F.lit(1)).alias("_size")), F.col("_m") == F.col("_p"), "left"
-    ).select("_m", F.coalesce("_size", F.lit(0)).alias("_size"))
+    sizes = cut(
+        members.select(F.col(producer).alias("_m"))
+        .distinct()
+        .join(batches.groupBy(F.col(producer).alias("_p")).agg(F.count(F.lit(1)).alias("_size")), F.col("_m") == F.col("_p"), "left")
+        .select("_m", F.coalesce("_size", F.lit(0)).alias("_size"))
+    )
     share = sizes.agg(F.floor(F.sum("_size") / F.count(F.lit(1)))).scalar()
     levels = range_positions(
         sizes.withColumn("_share", share)
@@ -110,6 +113,7 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
     )
     for amount in ("_over", "_short"):
         levels = with_running(levels, F.col(amount), f"{amount}_from", [], ["_rank"], id_block("_rank"), include_current=False)
+    levels = cut(levels)  # one row per member, read three times below
     queued = batches.join(levels.select("_m", "_share", "_over_from"), F.col(producer) == F.col("_m"))
     own = queued.where(F.col(pos) < F.col("_share")).withColumn("consumer", F.col(producer))
     surplus = queued.where(F.col(pos) >= F.col("_share")).withColumn(
@@ -137,12 +141,12 @@ def balance_clients_servers(
         servers.groupBy(service).agg(F.count(F.lit(1)).alias("_s")), service
     )
     c, s = c.join(counts, service), s.join(counts.select(service, "_c", "_s"), service)
-    many_servers = s.where(F.expr("_s >= _c")).withColumn("_i", F.expr("_j % _c")).select(service, server, "_i", "_j")
+    slots = F.least("_c", "_s")
+    c = c.withColumn("_k", F.pmod("_i", slots)).select(service, client, require, "_k", "_c", "_s")
+    s = s.withColumn("_k", F.pmod("_j", F.least("_c", "_s"))).select(service, server, "_j", "_k")
     cap = F.least(F.greatest(F.lit(1), F.expr("_s div _c")), F.col(require))
-    dealt = many_servers.join(c, [service, "_i"]).where(F.expr("_j div _c") < cap)
-    few_servers = c.where(F.expr("_c > _s")).withColumn("_j", F.expr("_i % _s")).select(service, client, "_j")
-    shared = few_servers.join(s, [service, "_j"])
-    return dealt.select(service, client, server).unionByName(shared.select(service, client, server))
+    links = c.join(s, [service, "_k"]).where(F.expr("_c > _s") | (F.expr("_j div _c") < cap))
+    return links.select(service, client, server)
 
 
 def shard_table(df: DataFrame, key: str, shards: int, path: str) -> None:
