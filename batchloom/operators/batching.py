@@ -116,12 +116,19 @@ def make_batch_data(records: DataFrame, producer: str, batch: str, record: str,
     )
 
 
-def report_batch_meta(batches: DataFrame, reader: str, producer: str, batch: str, per_report: int = 10) -> DataFrame:
-    """Batch ids in reports of at most ``per_report``."""
+def report_batch_meta(
+    batches: DataFrame, reader: str, producer: str, batch: str, endpoint: Column, per_report: int = 10
+) -> DataFrame:
+    """Batch ids in reports of at most ``per_report``; the consumer is not known before balancing."""
     reports = batches.withColumn("report_no", F.expr(f"`{batch}` div {per_report}"))
     ids = F.sort_array(F.collect_list(F.struct(batch, "batch_data_id")))["batch_data_id"]
     return reports.groupBy(producer, "report_no").agg(ids.alias("ids")).select(
-        F.lit(reader).alias("reader_name"), F.col(producer).cast("string").alias("producer"), "report_no", "ids"
+        F.lit(reader).alias("reader_name"),
+        F.col(producer).cast("string").alias("producer"),
+        F.lit(None).cast("string").alias("consumer"),
+        endpoint.alias("endpoint"),
+        "report_no",
+        "ids",
     )
 
 

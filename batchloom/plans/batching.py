@@ -191,10 +191,11 @@ def make_batch_data(spark, sf):
     )
 
 
-@query(f"""WITH {QUEUED} SELECT 'reader_0' AS reader_name, l_suppkey::VARCHAR AS producer, batch_no // 10 AS report_no,
+@query(f"""WITH {QUEUED} SELECT 'reader_0' AS reader_name, l_suppkey::VARCHAR AS producer, NULL::VARCHAR AS consumer, 'host-' || l_suppkey || ':7000' AS endpoint, batch_no // 10 AS report_no,
   string_agg(l_suppkey || '_' || batch_no, ',' ORDER BY batch_no) AS ids FROM batch GROUP BY ALL""")
 def report_batch_meta(spark, sf):
-    reports = batching.report_batch_meta(supplier_batch_data(spark, sf), "reader_0", "l_suppkey", "batch_no")
+    endpoint = F.concat(F.lit("host-"), F.col("l_suppkey").cast("string"), F.lit(":7000"))
+    reports = batching.report_batch_meta(supplier_batch_data(spark, sf), "reader_0", "l_suppkey", "batch_no", endpoint)
     return reports.withColumn("ids", F.array_join("ids", ","))
 
 

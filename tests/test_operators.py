@@ -12,6 +12,7 @@ from batchloom.operators import batching, lookups, metrics, positions, ranges, s
 from batchloom.operators.carry import id_block, with_latest, with_previous, with_running
 from batchloom.session import scratch
 from batchloom.sources import files, text
+from batchloom.streaming import changes, leases
 
 rng = random.Random(7)
 
@@ -331,3 +332,45 @@ def test_linear_fit_of_many_features(spark):
     model = scoring.fit_linear(df, names, "y").stages[-1]
     assert np.allclose(model.coefficients.toArray(), np.arange(1, 14), atol=1e-6)
     assert model.intercept == pytest.approx(2.5, abs=1e-6)
+
+
+def test_vocabulary_beyond_the_broadcast_size(spark):
+    docs = spark.createDataFrame([(n, "the cat the dog" if n % 2 else "the xyz") for n in range(200)] + [(200, "")], "d bigint, t string")
+    words = spark.createDataFrame([("the", 0), ("cat", 1), ("[UNK]", 2)], "word string, id bigint")
+    for small in (0, 100):
+        found = lookups.vocab_lookup(docs, "d", text.words(F.col("t")), words, small=small).collect()
+        assert {r.d: r.ids for r in found} == {n: [0, 1, 0, 2] if n % 2 else [0, 2] for n in range(200)} | {200: []}
+
+
+def test_leases_end_after_silence(spark):
+    beats = [("127.0.0.1:1", n, f"2024-01-01 00:00:{2 * n:02d}") for n in range(5)]
+    beats += [("127.0.0.1:2", 10 + n, f"2024-01-01 00:00:{s:02d}") for n, s in enumerate((1, 30))]
+    df = spark.createDataFrame(beats, "server string, n bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    alive = leases.alive_intervals(df, "server", "ts", 10, "n", id_block("n", 3))
+    start = 1704067200
+    assert sorted((r.server, r.start_us // 10**6 - start, r.end_us // 10**6 - start, r.beats) for r in alive.collect()) == [
+        ("127.0.0.1:1", 0, 18, 5), ("127.0.0.1:2", 1, 11, 1), ("127.0.0.1:2", 30, 40, 1)
+    ]
+    for second, servers in ((5, 2), (15, 1), (25, 0)):
+        assert leases.alive_at(alive, F.lit((start + second) * 10**6)).count() == servers
+
+
+def test_versions_are_sent_once(spark):
+    states = spark.createDataFrame([("c", 1, "a"), ("c", 2, "a"), ("c", 3, "b"), ("d", 4, "x")], "client string, n bigint, value string")
+    deltas = changes.versioned_delta(states, "client", "value", "n", id_block("n", 2))
+    assert pairs(deltas.select("client", "n", "version")) == [("c", 1, 1), ("c", 3, 2), ("d", 4, 1)]
+    known = spark.createDataFrame([("c", 1), ("d", 1)], "client string, known bigint")
+    assert [(r.client, r.value, r.version) for r in changes.newer_than(deltas, known, "client", "known").collect()] == [("c", "b", 2)]
+
+
+def test_hot_group_takes_many_tasks(spark):
+    """One group holds all rows; no task of the numbering sees more rows than a block holds."""
+    df = spark.range(100_000).withColumn("g", F.lit(1))
+    placed = positions.id_positions(df, "id", ["g"], width=5000)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = placed.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) > 1 and placed.where("pos <> id").isEmpty()
