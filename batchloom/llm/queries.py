@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from batchloom.llm.language import identify_languages
 from batchloom.llm.linededup import common_lines
+from batchloom.llm.metricjoin import near_vectors
 from batchloom.llm.mixing import mix
 from batchloom.llm.packing import best_fit_packing
 from batchloom.llm.quality import quality_rules
+from batchloom.llm.secrets import find_secrets, joined, labelled_tokens, train
 from batchloom.llm.simhash import near_duplicates
 from batchloom.session import table
 
@@ -22,6 +25,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_secrets(docs, train(labelled_tokens(docs)))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -45,6 +70,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
+    "op2_secrets": op2_secrets,
+    "op4_metric_join": op4_metric_join,
+    "op5_language": op5_language,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
