@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from batchloom.llm.bwtmerge import drop_repeated_bytes
 from batchloom.llm.language import identify_languages
 from batchloom.llm.linededup import common_lines
 from batchloom.llm.metricjoin import near_vectors
 from batchloom.llm.mixing import mix
 from batchloom.llm.packing import best_fit_packing
 from batchloom.llm.quality import quality_rules
+from batchloom.llm.recompression import drop_repeated_words
 from batchloom.llm.secrets import find_secrets, joined, labelled_tokens, train
 from batchloom.llm.simhash import near_duplicates
 from batchloom.session import table
@@ -39,6 +41,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +53,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_words(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -71,8 +81,10 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
+    "op3_bwt_merge": op3_bwt_merge,
     "op4_metric_join": op4_metric_join,
     "op5_language": op5_language,
+    "op6_recompression": op6_recompression,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,

@@ -45,8 +45,8 @@ def check_secrets(docs, got):
 
 
 def test_secrets(spark):
-    docs = table(spark, SF, "documents")
-    got = rows(QUERIES["op2_secrets"](spark, SF))
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = rows(QUERIES["op2_secrets"](spark, "/root/testdata/sf0.01"))
     check_secrets(docs, got)
     assert any(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got)
 
@@ -87,8 +87,9 @@ def test_markov_tells_random_from_ordinary(spark):
 
 
 def test_added_spans_keep_off_base_spans(spark):
+    rng = random.Random(3)
     df = spark.createDataFrame([(1, "token=q8Zk3VbT1xY7uR5nW2pL9sD4 q8Zk3VbT1xY7uR5nW2pL9sD4fG6h")], "doc_id long, text string")
-    model = secrets.train(spark.createDataFrame([(words(random.Random(3), 1) * 3, False) for _ in range(50)], "token string, is_random boolean"))
+    model = secrets.train(spark.createDataFrame([(words(rng, 1) * 3, False) for _ in range(3000)], "token string, is_random boolean"))
     r = secrets.find_secrets(df, model).first()
     assert [s["kind"] for s in r["base"]] == ["assign"] and [(s["start"], s["end"]) for s in r["added"]] == [(31, 59)]
 
