@@ -33,12 +33,12 @@ from batchloom.llm.repeats import (
 )
 
 LENGTH = 400
-SYMBOL = 40  # bytes; suffixes are compared by symbols of so many, LENGTH of them make DEPTH symbols
+SYMBOL = 100  # bytes; suffixes are compared by symbols of so many, LENGTH of them make DEPTH symbols
 DEPTH = LENGTH // SYMBOL
 ANCHOR = 128  # bytes of an anchor
-CHUNK_BYTES = 1 << 21
-SHARD = 1 << 19  # bytes that are sorted at once
-TASK_BYTES = 1 << 24  # of blocks that meet in a task
+CHUNK = 1 << 20  # bytes that are looked at together
+SHARD = 1 << 20  # bytes that are sorted at once
+TASK_BYTES = 1 << 21  # of blocks that meet in a task
 CROWD = 1000  # unlike blocks of an anchor, beyond which their windows are compared one by one, dealt by their own content
 BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
 
@@ -111,7 +111,7 @@ def dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def transform(texts: list[bytes], base: int) -> tuple[Transform, np.ndarray]:
-    """The transform of a shard, by ranks of 1, 2, 4, 8 and DEPTH symbols, and the group of each row at that depth."""
+    """The transform of a shard, by ranks of 1, 2, 4 and so on up to DEPTH symbols, and the group of each row at that depth."""
     sizes = np.array([len(x) for x in texts])
     names = BYTE_NAMES[np.frombuffer(b"".join(texts), np.uint8)]
     at, _, symbols = chains(sizes, names)
@@ -264,7 +264,7 @@ def block_texts(texts: DataFrame) -> DataFrame:
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, tid, spans)``: the bytes of each document in LENGTH-byte strings that also start elsewhere; documents without any are left out."""
     named = identified(docs, id_col, text_col)
-    shared = shared_blocks(block_table(named, byte_blocks, CHUNK_BYTES, "byte-blocks"), "byte")
+    shared = shared_blocks(block_table(named, byte_blocks, bytes, LENGTH, CHUNK, "byte-blocks"), "byte")
     classes = classes_of(shared, "byte")
     kinds = classes.groupBy(F.col("k").alias("of_k")).agg(F.count(F.lit(1)).alias("kinds"), F.max("copied").alias("any_copied"))
     wanted = classes.join(kinds, F.col("k") == F.col("of_k")).where("kinds > 1 or any_copied")

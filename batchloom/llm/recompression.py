@@ -34,7 +34,7 @@ from batchloom.llm.common import store, text_bytes
 
 WINDOW = 20
 ROUNDS = 3
-CHUNK_BYTES = 1 << 21
+CHUNK = 1 << 18  # words that are looked at together
 LAST = np.int64((1 << 63) - 1)
 
 
@@ -106,12 +106,11 @@ def anchors(names: np.ndarray, valid: np.ndarray, window: int, rounds: int) -> t
     return chosen, np.concatenate(los or [np.zeros(0, int)]), np.concatenate(his or [np.zeros(0, int)])
 
 
-def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def sequence(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Names of all words, with separators of unequal names around the texts, and the first word of each text."""
-    split = [x.split() for x in texts]
     sizes = np.array([len(x) for x in split])
     starts = np.cumsum(sizes + 1) - sizes
-    names = mix(np.arange(int(sizes.sum()) + len(texts) + 1, dtype=np.uint64))
+    names = mix(np.arange(int(sizes.sum()) + len(split) + 1, dtype=np.uint64))
     if sizes.sum():
         inside = np.ones(len(names), bool)
         inside[starts - 1] = False
@@ -120,8 +119,8 @@ def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return names, starts
 
 
-def word_blocks(texts: list[bytes], window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """Blocks of windows of all texts."""
+def word_blocks(texts: list[list[bytes]], window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """Blocks of windows of all texts, given as words."""
     names, starts = sequence(texts)
     count = max(0, len(names) - window + 1)
     separators = np.zeros(len(names) + 1, int)
@@ -167,7 +166,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the first of each kind are compared one by one, by 128-bit hashes of their words.
     """
     named = identified(docs, id_col, text_col)
-    blocks = block_table(named, lambda data: word_blocks(data, window, rounds), CHUNK_BYTES, "word-blocks")
+    blocks = block_table(named, lambda words: word_blocks(words, window, rounds), bytes.split, window, CHUNK, "word-blocks")
     shared = shared_blocks(blocks, "word")
     classes = classes_of(shared, "word")
     place = F.struct("id", "tid", "pos")

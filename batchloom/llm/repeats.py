@@ -85,29 +85,39 @@ def runs_of(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[real], last[real]
 
 
-def chunked(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Rows of a batch in chunks of about ``most`` bytes."""
-    ids = batch.column("id").to_pylist()
-    held, size, first = [], 0, 0
-    for k, data in enumerate(text_bytes(batch)):
-        held.append(data)
-        size += len(data)
-        if size >= most:
-            yield ids[first : k + 1], held
-            held, size, first = [], 0, k + 1
+def pieces(items: Iterable, window: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Documents in chunks of about ``most`` elements: number and offset of each piece, and the pieces.
+
+    Longer documents are cut into pieces that overlap so that each window lies in one piece, and starts in one only.
+    """
+    docs, offsets, held, size = [], [], [], 0
+    for number, item in enumerate(items):
+        for start in range(0, max(1, len(item) - window + 1), most):
+            part = item if len(item) <= most else item[start : start + most + window - 1]
+            docs.append(number)
+            offsets.append(start)
+            held.append(part)
+            size += len(part)
+            if size >= most:
+                yield np.array(docs), np.array(offsets), held
+                docs, offsets, held, size = [], [], [], 0
+            if part is item:
+                break
     if held:
-        yield ids[first:], held
+        yield np.array(docs), np.array(offsets), held
 
 
-def block_table(named: DataFrame, blocks_of: Callable, most: int, name: str) -> DataFrame:
-    """All blocks of all documents. ``blocks_of`` takes texts and gives arrays ``k, g, document, pos, n``."""
+def block_table(named: DataFrame, blocks_of: Callable, read: Callable, window: int, most: int, name: str) -> DataFrame:
+    """All blocks of all documents. ``read`` makes a sequence of a text's bytes; ``blocks_of`` takes such sequences of ``most``
+    elements together, and gives arrays ``k, g, number, pos, n``."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data in chunked(batch, most):
-                k, g, doc, pos, n = blocks_of(data)
-                tids = np.array([text_id(x) for x in data], np.int64)
-                columns = [k.view(np.int64), g.view(np.int64), np.array(ids, np.int64)[doc], tids[doc], pos, n]
+            data = text_bytes(batch)
+            ids, tids = batch.column("id").to_numpy(), np.array([text_id(x) for x in data], np.int64)
+            for docs, offsets, held in pieces(map(read, data), window, most):
+                k, g, number, pos, n = blocks_of(held)
+                columns = [k.view(np.int64), g.view(np.int64), ids[docs[number]], tids[docs[number]], pos + offsets[number], n]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["k", "g", "id", "tid", "pos", "n"])
 
     return store(named.mapInArrow(rows, BLOCK), name)

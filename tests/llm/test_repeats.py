@@ -97,6 +97,7 @@ def passages(seed, n=60):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_bytes(spark, seed, monkeypatch):
+    monkeypatch.setattr(bwtmerge, "CHUNK", 700 * seed)
     monkeypatch.setattr(bwtmerge, "SHARD", 6000)  # many shards, so transforms are merged
     made = passages(seed)
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
@@ -108,7 +109,8 @@ def test_bytes(spark, seed, monkeypatch):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_words(spark, seed):
+def test_words(spark, seed, monkeypatch):
+    monkeypatch.setattr(recompression, "CHUNK", [50, 500, 10**6][seed - 1])  # long documents are looked at in pieces
     made = passages(seed)
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
     want = slow_words(set(made))
@@ -135,7 +137,7 @@ def test_equal_windows_have_equal_anchors():
         vocabulary = "a b c d e f g h".split()[: rng.randint(2, 8)]
         common = [rng.choice(vocabulary) for _ in range(rng.randint(20, 60))]
         texts = [" ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 30))] + common + [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]) for _ in range(4)]
-        k, g, doc, pos, n = recompression.word_blocks([t.encode() for t in texts])
+        k, g, doc, pos, n = recompression.word_blocks([t.encode().split() for t in texts])
         key = {}
         for kk, d, p, m in zip(k.tolist(), doc.tolist(), pos.tolist(), n.tolist()):
             for i in range(p, p + m):
