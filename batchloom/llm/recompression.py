@@ -33,7 +33,7 @@ from batchloom.llm.repeats import (
 from batchloom.llm.common import store, text_bytes
 
 WINDOW = 20
-ROUNDS = 3
+ROUNDS = 2
 CHUNK = 1 << 18  # words that are looked at together
 LAST = np.int64((1 << 63) - 1)
 
