@@ -216,5 +216,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
     repeated = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    if repeated.isEmpty():  # else the texts would move again only to find that nothing repeats
+        return kept
     once = kept.join(repeated, kept[id_col] == repeated["_again"], "left_anti")
     return once.unionByName(kept.join(repeated, kept[id_col] == repeated["_again"], "left_semi").dropDuplicates([id_col]))
