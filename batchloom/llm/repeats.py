@@ -161,7 +161,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def spans_by_document(spans: DataFrame, name: str) -> DataFrame:
     """``(id, tid, spans)`` from ``(id, tid, start, end)``: sorted maximal spans."""
-    gathered = spans.distinct().groupBy("id", "tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    gathered = spans.groupBy("id", "tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
