@@ -119,10 +119,13 @@ def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_o
     """``(text, lang)``: by a hash of the id, about ``per_language`` rows of each language, or all it has."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out)
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = known.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
+    # a row for each language, as many as the model has classes; so no text moves before it is chosen
+    shares = {r["lang"]: min(1.0, per_language / r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not shares:
+        return known.select("text", "lang")
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col("lang"))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("id")), 11) / F.lit(float(1 << 53))
-    return known.join(sizes, F.col("lang") == F.col("of_lang")).where(chance < share).select("text", "lang")
+    return known.where(chance < share).select("text", "lang")
 
 
 def train_model(samples: DataFrame) -> dict[str, np.ndarray] | None:
