@@ -29,11 +29,11 @@ def modulo_shard(df: DataFrame, id_col: str, shards: int, shard: int) -> DataFra
 
 
 def stride_shard_padded(df: DataFrame, id_col: str, shards: int) -> DataFrame:
-    """Deal rows to shards in turn; the head is dealt again until all shards have the same length."""
+    """Deal rows to shards in turn; all are dealt again, from the head on, until all shards have the same length."""
     n = total(df)
     missing = F.pmod(-n, F.lit(shards))
     placed = id_positions(df, id_col, name="_pos")
-    copies = F.when(F.col("_pos") < missing, F.array(F.col("_pos"), F.col("_pos") + n)).otherwise(F.array("_pos"))
+    copies = F.sequence(F.col("_pos"), n + missing - 1, n)
     return (
         placed.withColumn("_at", F.explode(copies))
         .withColumn("shard", F.pmod("_at", F.lit(shards)))
@@ -95,7 +95,8 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
     """Give every member ``floor(total / members)`` batches.
 
     ``batches`` has the position of each batch in its producer's queue. A member keeps its own first
-    ones; the surplus, in order, fills the members that are short; what is left has no consumer.
+    ones; the surplus, in order, fills the members that are short; what is left has no consumer, and
+    neither have the batches of producers that are no members.
     """
     sizes = cut(
         members.select(F.col(producer).alias("_m"))
@@ -114,7 +115,9 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
     for amount in ("_over", "_short"):
         levels = with_running(levels, F.col(amount), f"{amount}_from", [], ["_rank"], id_block("_rank"), include_current=False)
     levels = cut(levels)  # one row per member, read three times below
-    queued = batches.join(levels.select("_m", "_share", "_over_from"), F.col(producer) == F.col("_m"))
+    shares = levels.select("_m", "_share", "_over_from")
+    queued = batches.join(shares, F.col(producer) == F.col("_m"))
+    strangers = batches.join(shares, F.col(producer) == F.col("_m"), "left_anti").withColumn("consumer", F.lit(None).cast(batches.schema[producer].dataType))
     own = queued.where(F.col(pos) < F.col("_share")).withColumn("consumer", F.col(producer))
     surplus = queued.where(F.col(pos) >= F.col("_share")).withColumn(
         "_at", F.col("_over_from") + F.col(pos) - F.col("_share")
@@ -124,7 +127,7 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
     filled = with_latest(surplus, gaps, [], "_at", "_open")
     taken = filled.withColumn("consumer", F.when(F.col("_at") < F.col("_open.end"), F.col("_open.who")))
     columns = [*batches.columns, "consumer"]
-    return own.select(columns).unionByName(taken.select(columns))
+    return own.select(columns).unionByName(taken.select(columns)).unionByName(strangers.select(columns))
 
 
 def balance_clients_servers(
@@ -158,14 +161,23 @@ def shard_table(df: DataFrame, key: str, shards: int, path: str) -> None:
 
 
 def rank_members(members: DataFrame, job: str, member: str, leaders: DataFrame, leader: str, min_nodes: int, max_nodes: int) -> DataFrame:
-    """The leader gets rank 0, the others the next ranks by id, up to ``max_nodes``; too few members are marked."""
-    counts = members.groupBy(job).agg((F.count(F.lit(1)) >= min_nodes).alias("enough"))
-    heads = leaders.select(job, leader).join(counts, job)
+    """The leader gets rank 0, the others the next ranks by id, up to ``max_nodes``; too few members are marked.
+
+    Where a job has no leader, or one that is no member, ``leader_found`` is false and ranks are null.
+    """
+    known = leaders.select(F.col(job).alias("_job"), leader)
+    marked = members.join(known, F.col(job) == F.col("_job"), "left")
+    counts = marked.groupBy(F.col(job).alias("_job")).agg(
+        (F.count(F.lit(1)) >= min_nodes).alias("enough"),
+        F.coalesce(F.max(F.col(member) == F.col(leader)), F.lit(False)).alias("leader_found"),
+    )
+    heads = counts.join(known, "_job", "left").withColumnRenamed("_job", job)
     order = Window.partitionBy(job).orderBy(F.col(member) != F.col(leader), member)
     numbered = members.join(heads, job).withColumn("_n", F.row_number().over(order))
     # the limit on the row number is applied in every map task before rows of a job meet
     ranked = numbered.where(F.col("_n") <= max_nodes)
-    return ranked.select(job, member, (F.col("_n") - 1).cast("bigint").alias("rank"), "enough")
+    rank = F.when(F.col("leader_found"), F.col("_n") - 1).cast("bigint")
+    return ranked.select(job, member, rank.alias("rank"), "enough", "leader_found")
 
 
 def queue_positions(records: DataFrame, producer: str, order: Sequence, size: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions.scalars import epoch_micros
 from batchloom.operators.carry import id_block, with_previous
-from batchloom.operators.positions import id_positions
+from batchloom.operators.positions import grouped_positions, id_positions
 
 
 def ngram_samples(docs: DataFrame, doc: str, words: Column, n: int = 5) -> DataFrame:
@@ -84,15 +84,15 @@ def limit_members(members: DataFrame, job: str, member: str, max_nodes: int) ->
 
 
 def sorted_listing(names: DataFrame, group: str, name: str, order_id: str, per_line: int = 64) -> DataFrame:
-    """Sorted names per group, comma-joined in lines of at most ``per_line``."""
-    placed = id_positions(names, order_id, [group], "_pos").withColumn("line", F.expr(f"_pos div {per_line}"))
+    """Names per group in their order, equal ones by id, comma-joined in lines of at most ``per_line``."""
+    placed = grouped_positions(names, [group], [name, order_id], "_pos").withColumn("line", F.expr(f"_pos div {per_line}"))
     joined = F.array_join(F.sort_array(F.collect_list(F.struct("_pos", name)))[name], ",")
     return placed.groupBy(group, "line").agg(F.count(F.lit(1)).alias("n"), joined.alias("listing"))
 
 
 def endpoints(names: DataFrame, group: str, address: str, order_id: str, port: int, same_port: bool) -> DataFrame:
-    """``address:port`` of each name; the port is the same for all or rises with the position in the group."""
-    placed = id_positions(names, order_id, [group], "_pos")
+    """``address:port`` of each name; the port is the same for all or rises with the place of the address in its group."""
+    placed = grouped_positions(names, [group], [address, order_id], "_pos")
     number = F.lit(port) if same_port else F.lit(port) + F.col("_pos")
     return placed.withColumn("endpoint", F.concat_ws(":", F.col(address), number.cast("string"))).drop("_pos")
 

@@ -182,16 +182,18 @@ def status_codes(spark, sf):
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_transform({WORDS}, lambda w: length(w)) AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS task_id FROM documents d),
-  c AS (SELECT doc_id, list_slice(ids, 1, 256) AS ids FROM d)
-SELECT doc_id, 256 AS padded, len(ids) AS mask_sum, coalesce(list_sum(ids), 0)::BIGINT AS id_sum, (len(ids) * (len(ids) - 1)) // 2 AS position_sum, 0 AS segment_sum FROM c""")
+  w AS (SELECT doc_id, ids, unnest(range(greatest(1, ceil(len(ids) / 256.0))::BIGINT)) AS window_no FROM d),
+  c AS (SELECT doc_id, window_no, list_slice(ids, window_no * 256 + 1, (window_no + 1) * 256) AS ids FROM w)
+SELECT doc_id, window_no, 256 AS padded, len(ids) AS mask_sum, coalesce(list_sum(ids), 0)::BIGINT AS id_sum, (len(ids) * (len(ids) - 1)) // 2 AS position_sum, 0 AS segment_sum FROM c""")
 def model_features(spark, sf):
-    """Model inputs of at most 256 ids: padded ids, positions, segments and mask."""
+    """Model inputs in windows of 256 ids: padded ids, positions, segments and mask."""
     from batchloom.functions.features import model_features as features
 
     ids = F.transform(words(F.col("text")), lambda w: F.length(w).cast("bigint"))
     rows = features(table(spark, sf, "documents").select("doc_id", ids.alias("ids")), "ids", 256)
     return rows.select(
         "doc_id",
+        F.col("window_no").cast("bigint").alias("window_no"),
         F.size("input_ids").alias("padded"),
         array_sum(F.col("input_mask")).alias("mask_sum"),
         array_sum(F.col("input_ids")).alias("id_sum"),

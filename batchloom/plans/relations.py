@@ -240,9 +240,9 @@ def known_members_only(spark, sf):
     return lookups.known_members_only(readers, pods, "member")
 
 
-def month_customers(spark, sf, month):
-    day = F.date_format("o_orderdate", "yyyy-MM")
-    return table(spark, sf, "orders").where(day == month).select(F.col("o_custkey").alias("member"))
+def month_customers(spark, sf, first, after):
+    day = F.col("o_orderdate")  # compared as it is, so the filter reaches the scan
+    return table(spark, sf, "orders").where((day >= F.lit(first).cast("date")) & (day < F.lit(after).cast("date"))).select(F.col("o_custkey").alias("member"))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1997-01'),
@@ -250,7 +250,9 @@ def month_customers(spark, sf, month):
 SELECT coalesce(a.m, b.m) AS member, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'kept' END AS change
 FROM a FULL JOIN b ON a.m = b.m""")
 def membership_diff(spark, sf):
-    return sets.membership_diff(month_customers(spark, sf, "1997-01"), month_customers(spark, sf, "1997-02"), ["member"])
+    return sets.membership_diff(
+        month_customers(spark, sf, "1997-01-01", "1997-02-01"), month_customers(spark, sf, "1997-02-01", "1997-03-01"), ["member"]
+    )
 
 
 @query("""SELECT DISTINCT user_id AS server FROM events WHERE ts < '2024-01-02' OR event_type = 'signup'

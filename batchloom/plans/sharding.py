@@ -164,11 +164,12 @@ def shard_table_by_key(spark, sf):
 
 
 @query("""WITH m AS (SELECT DISTINCT event_type AS job, user_id AS member FROM events),
-  l AS (SELECT job, max(member) FILTER (WHERE member % 7 = 0) AS leader, count(*) >= 3 AS enough FROM m GROUP BY job),
+  l AS (SELECT job, CASE WHEN job = 'signup' THEN -1 WHEN job <> 'error' THEN max(member) FILTER (WHERE member % 7 = 0) END AS leader, count(*) >= 3 AS enough FROM m GROUP BY job),
   r AS (SELECT m.job, member, enough, row_number() OVER (PARTITION BY m.job ORDER BY (member <> leader)::INT, member) - 1 AS rank
         FROM m JOIN l ON m.job = l.job)
-SELECT job, member, rank, enough FROM r WHERE rank < 16""")
+SELECT job, member, CASE WHEN job NOT IN ('signup', 'error') THEN rank END AS rank, enough, job NOT IN ('signup', 'error') AS leader_found FROM r WHERE rank < 16""")
 def rank_members(spark, sf):
     members = table(spark, sf, "events").select(F.col("event_type").alias("job"), F.col("user_id").alias("member")).distinct()
-    leaders = members.where(F.col("member") % 7 == 0).groupBy("job").agg(F.max("member").alias("leader"))
+    leaders = members.where("job <> 'error'").where(F.col("member") % 7 == 0).groupBy("job").agg(F.max("member").alias("leader"))
+    leaders = leaders.withColumn("leader", F.when(F.col("job") == "signup", -1).otherwise(F.col("leader")))  # no member
     return sharding.rank_members(members, "job", "member", leaders, "leader", 3, 16)

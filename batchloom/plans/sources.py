@@ -100,16 +100,15 @@ def quarantine_tsv_records(spark, sf):
     return bad.groupBy(F.col("bucket").cast("bigint").alias("bucket"), "n_fields").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(rf"""SELECT conv_id, turn, role, trim(regexp_replace(text, '{WS}+', ' ', 'g')) AS text FROM conversations
-WHERE role IN ('user', 'assistant')""")
+@query(rf"""SELECT conv_id, turn, role, trim(regexp_replace(text, '{WS}+', ' ', 'g')) AS text FROM conversations""")
 def read_multi_file(spark, sf):
-    turns = table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant"))
+    turns = table(spark, sf, "conversations")
     path = scratch(spark, "turns")
     turns.select("role", F.concat_ws("\t", "conv_id", "turn", text.one_line(F.col("text"))).alias("value")).write.partitionBy(
         "role"
     ).text(path)
     parts = F.split("value", "\t")
-    both = spark.read.option("basePath", path).text([f"{path}/role=user", f"{path}/role=assistant"])
+    both = spark.read.option("basePath", path).text([f"{path}/role={r}" for r in ("system", "user", "assistant")])
     return both.select(
         parts[0].cast("bigint").alias("conv_id"), parts[1].cast("bigint").alias("turn"), "role", parts[2].alias("text")
     )

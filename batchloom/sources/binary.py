@@ -77,8 +77,9 @@ def write_raw_kv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None
         part, rows, out, names = 0, 0, None, []
 
         def names_of(n):
-            final = os.path.join(path, f"part-{context.partitionId():05d}-{n:04d}.kv")
-            return f"{final}.{context.taskAttemptId()}.tmp", final
+            name = f"part-{context.partitionId():05d}-{n:04d}.kv"
+            # readers skip names that begin with a dot
+            return os.path.join(path, f".{name}.{context.taskAttemptId()}.tmp"), os.path.join(path, name)
 
         for frame in frames:
             for key, value in zip(frame["key"], frame["value"]):
@@ -101,18 +102,23 @@ def write_raw_kv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None
 
 
 def read_raw_kv(spark: SparkSession, path: str) -> DataFrame:
-    """Length-prefixed pairs as binary columns; one file is one unit of work."""
+    """Length-prefixed pairs as binary columns, from all files of the folder; one file is one unit of work.
+
+    A file that ends inside a pair fails the job with its name.
+    """
 
     def frames_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import struct
 
         for frame in frames:
-            for content in frame["content"]:
+            for name, content in zip(frame["path"], frame["content"]):
                 at, pairs = 0, []
                 while at < len(content):
                     pair = []
                     for _ in range(2):
-                        (size,) = struct.unpack_from("=I", content, at)
+                        size = struct.unpack_from("=I", content, at)[0] if at + 4 <= len(content) else len(content)
+                        if at + 4 + size > len(content):
+                            raise ValueError(f"{name} is cut inside the pair at byte {at}")
                         pair.append(content[at + 4 : at + 4 + size])
                         at += 4 + size
                     pairs.append(pair)
@@ -122,5 +128,5 @@ def read_raw_kv(spark: SparkSession, path: str) -> DataFrame:
                 if pairs:
                     yield pd.DataFrame(pairs, columns=["key", "value"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.kv").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(frames_of, "key binary, value binary")

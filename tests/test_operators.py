@@ -374,3 +374,64 @@ def test_hot_group_takes_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert len(sizes) > 1 and placed.where("pos <> id").isEmpty()
+
+
+def test_more_shards_than_rows(spark):
+    from batchloom.operators import sharding
+
+    for n, shards in ((2, 8), (3, 8), (7, 7), (5, 2)):
+        got = sharding.stride_shard_padded(spark.range(n), "id", shards).collect()
+        sizes = [sum(r["shard"] == s for r in got) for s in range(shards)]
+        assert sizes == [-(-n // shards)] * shards and {r["id"] for r in got} == set(range(n))
+
+
+def test_absent_leader(spark):
+    from batchloom.operators import sharding
+
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 5), ("c", 4)], "job string, member long")
+    leaders = spark.createDataFrame([("a", 99), ("c", 5)], "job string, leader long")
+    got = {(r["job"], r["member"]): (r["rank"], r["leader_found"]) for r in sharding.rank_members(members, "job", "member", leaders, "leader", 1, 9).collect()}
+    assert got == {("a", 1): (None, False), ("a", 2): (None, False), ("b", 3): (None, False), ("c", 5): (0, True), ("c", 4): (1, True)}
+
+
+def test_listing_goes_by_name(spark):
+    from batchloom.operators import windows
+
+    names = spark.createDataFrame([(1, 1, "zeta"), (1, 2, "alpha"), (2, 3, "x")], "g long, id long, name string")
+    got = {r["g"]: r["listing"] for r in windows.sorted_listing(names, "g", "name", "id").collect()}
+    assert got == {1: "alpha,zeta", 2: "x"}
+    ports = {r["name"]: r["endpoint"] for r in windows.endpoints(names, "g", "name", "id", 70, False).collect()}
+    assert ports == {"alpha": "alpha:70", "zeta": "zeta:71", "x": "x:70"}
+
+
+def test_batches_of_strangers_stay(spark):
+    from batchloom.operators import sharding
+
+    batches = spark.createDataFrame([("a", 0), ("a", 1), ("z", 0), ("z", 1)], "who string, pos long")
+    members = spark.createDataFrame([("a",), ("b",)], "who string")
+    got = {(r["who"], r["pos"]): r["consumer"] for r in sharding.balance_batches(batches, "who", "pos", members).collect()}
+    assert got == {("a", 0): "a", ("a", 1): "b", ("z", 0): None, ("z", 1): None}
+
+
+def test_raw_pairs_of_any_file_and_cut_files(spark, tmp_path):
+    import struct
+
+    import pytest
+
+    from batchloom.sources import binary
+
+    pair = struct.pack("=I", 1) + b"k" + struct.pack("=I", 3) + b"abc"
+    (tmp_path / "x.kv").write_bytes(pair)
+    (tmp_path / "y.bin").write_bytes(pair * 2)
+    assert [(bytes(r["key"]), bytes(r["value"])) for r in binary.read_raw_kv(spark, str(tmp_path)).collect()] == [(b"k", b"abc")] * 3
+    (tmp_path / "z.bin").write_bytes(pair[:-2])
+    with pytest.raises(Exception, match="cut inside the pair"):
+        binary.read_raw_kv(spark, str(tmp_path)).collect()
+
+
+def test_features_come_in_windows(spark):
+    from batchloom.functions.features import model_features
+
+    df = spark.createDataFrame([(1, list(range(1, 8))), (2, []), (3, None)], "id long, ids array<long>")
+    got = {(r["id"], r["window_no"]): (r["input_ids"], sum(r["input_mask"])) for r in model_features(df, "ids", 3).collect()}
+    assert got == {(1, 0): ([1, 2, 3], 3), (1, 1): ([4, 5, 6], 3), (1, 2): ([7, 0, 0], 1), (2, 0): ([0, 0, 0], 0), (3, 0): ([0, 0, 0], 0)}
