@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchloom.operators.carry import over_earlier
 from batchloom.session import cut
 
 ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
@@ -25,15 +26,10 @@ def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
 def _number_blocks(df: DataFrame, group: Sequence[str], order: Sequence, name: str, base: int) -> DataFrame:
     """Positions from rows that already carry ``_block``."""
     keys = [*group, "_block"]
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per block: small next to the data, also for a hot group
-    before = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *[F.col(k).alias(f"_b_{k}") for k in keys],
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        )
+    # one row per block; their sums are carried level by level, so sparse ids and hot groups meet in no single task
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    before = over_earlier(counts, group).select(
+        *[F.col(k).alias(f"_b_{k}") for k in keys], F.coalesce("_carry", F.lit(0)).alias("_before")
     )
     match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(before[f"_b_{k}"]) for k in keys])
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -26,6 +26,15 @@ def global_positions(spark, sf):
     return placed.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "pos")
 
 
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) - 1 AS pos
+FROM orders""")
+def sparse_positions(spark, sf):
+    """Positions by ids that lie far apart, so that nearly every row has a block of its own."""
+    far = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 15), 16, 10).cast("bigint")
+    orders = table(spark, sf, "orders").select("o_orderkey", far.alias("far"))
+    return id_positions(orders, "far").select("o_orderkey", "pos")
+
+
 @query("""WITH m AS (SELECT n_name AS member, row_number() OVER (ORDER BY n_name) - 1 AS r FROM nation),
   f AS (SELECT url AS path, row_number() OVER (ORDER BY page_id) - 1 AS idx FROM pages)
 SELECT idx, path, member FROM f JOIN m ON f.idx % (SELECT count(*) FROM nation) = m.r""")

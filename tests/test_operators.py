@@ -35,6 +35,20 @@ def by_group(rows):
     return groups
 
 
+def test_sparse_and_negative_ids(spark):
+    ids = sorted(rng.sample(range(-(1 << 60), 1 << 60), 500) + list(range(-3, 4)))
+    rows = [(None if n % 3 == 0 else n % 2, n, k % 50) for k, n in enumerate(ids)]
+    df = spark.createDataFrame(rows, "g int, id bigint, v int")
+    assert pairs(positions.id_positions(df, "id").select("id", "pos")) == [(n, k) for k, n in enumerate(ids)]
+    inside, sums, before = {}, {}, {}
+    for g, n, v in rows:
+        own = [(m, w) for h, m, w in rows if h == g and m < n]
+        inside[n], sums[n], before[n] = len(own), sum(w for _, w in own) + v, own[-1][1] if own else None
+    assert dict(pairs(positions.id_positions(df, "id", ["g"]).select("id", "pos"))) == inside
+    assert dict(pairs(with_running(df, F.col("v"), "s", ["g"], ["id"], id_block("id")).select("id", "s"))) == sums
+    assert dict(with_previous(df, {"v": "p"}, ["g"], ["id"], id_block("id")).select("id", "p").collect()) == before
+
+
 def test_positions_of_all_kinds(skewed):
     rows, df = skewed
     grouped = {(g, n): i for g, items in by_group(rows).items() for i, (n, _) in enumerate(items)}
