@@ -48,7 +48,7 @@ def over_earlier(blocks: DataFrame, group: Sequence[str], how: str = "sum") -> D
             above = found.select(*[F.col(g).alias(f"_a_{g}") for g in group], F.col("_block").alias("_above_block"), F.col("_carry").alias("_above"))
             match = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_a_{g}")) for g in group], F.col("_parent").eqNullSafe(F.col("_above_block")))
             both = F.coalesce(F.col("_carry") + F.col("_above"), "_carry", "_above") if how == "sum" else F.greatest("_carry", "_above")
-            here = here.join(above, match).withColumn("_carry", both)
+            here = here.join(above, match, "left").withColumn("_carry", both)
         found = here.select(*group, "_block", "_carry")
     return found
 
@@ -56,7 +56,7 @@ def over_earlier(blocks: DataFrame, group: Sequence[str], how: str = "sum") -> D
 def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     renamed = carry.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_carry")
     match = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_c_{k}"]) for k in keys])
-    return rows.join(renamed, match).drop(*[f"_c_{k}" for k in keys])
+    return rows.join(renamed, match, "left").drop(*[f"_c_{k}" for k in keys])
 
 
 def with_previous(

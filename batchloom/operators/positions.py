@@ -34,7 +34,7 @@ def _number_blocks(df: DataFrame, group: Sequence[str], order: Sequence, name: s
     match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(before[f"_b_{k}"]) for k in keys])
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        df.join(before, match)
+        df.join(before, match, "left")  # each row has its match; an outer join never broadcasts the rows
         .withColumn(name, (inside + F.col("_before") + F.lit(base - 1)).cast("bigint"))
         .drop("_before", "_block", *[f"_b_{k}" for k in keys])
     )
