@@ -8,8 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from batchloom.operators import batching
 from batchloom.operators.positions import id_positions
@@ -36,6 +40,26 @@ def output_schema(df: DataFrame, fetches: dict[str, str], more: Sequence[tuple[s
     return ", ".join(kept + [f"`{n}` {t}" for n, t in [*fetches.items(), *more]])
 
 
+def as_array(column: pa.Array) -> np.ndarray:
+    """A column as an array, lists as further dimensions; all lists of a level must have one length."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(sizes) != 1 or sizes[0] is None:
+        raise ValueError(f"lists of lengths {sizes} in one batch")
+    inner = as_array(column.flatten())
+    return inner.reshape(len(column), sizes[0], *inner.shape[1:])
+
+
+def as_column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The reverse of :func:`as_array`."""
+    if values.ndim == 1:
+        return pa.array(values).cast(kind)
+    inner = as_column(values.reshape(-1, *values.shape[2:]), kind.value_type)
+    ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+    return pa.ListArray.from_arrays(ends, inner)
+
+
 def score_with_teacher(
     df: DataFrame,
     open_teacher: Callable[[], Teacher],
@@ -43,52 +67,51 @@ def score_with_teacher(
     fetches: dict[str, str],
     batch_size: int,
     together: str | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add the fetched columns to every row.
+    """Add the fetched columns to the columns ``keep`` of every row, by default all columns.
 
     The model is opened once per task. Arrow batches are re-cut, so the teacher sees exactly
     ``batch_size`` rows at a time; with ``together`` it sees runs of equal values of that column instead,
     by which the rows must be partitioned and sorted. ``feeds`` maps feed names to columns, ``fetches``
-    fetch names to types.
+    fetch names to types. Only the kept and the fed columns are read, only the kept ones and the answers come back.
     """
+    kept = list(df.columns if keep is None else keep)
+    fed = [*feeds.values(), *([together] if together else [])]
+    sent = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, *fed])])
+    schema = output_schema(sent.select(*[f"`{c}`" for c in kept]), fetches)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
-
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         teacher, held = None, None
-        for frame in frames:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
             teacher = teacher or open_teacher()
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            ends = cuts(held, np)
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            ends = cuts(held)
             if ends:
-                yield answer(teacher, held.iloc[: ends[-1]], ends, np)
-                held = held.iloc[ends[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield answer(teacher, held, [*cuts(held, np), len(held)], np)
+                yield from answer(teacher, held.slice(0, ends[-1]), ends)
+                held = held.slice(ends[-1])
+        if held is not None and held.num_rows:
+            yield from answer(teacher, held, [held.num_rows])
 
-    def cuts(frame, np):
+    def cuts(rows: pa.Table) -> list[int]:
         """Ends of the batches that are known to be complete."""
         if together is None:
-            return list(range(batch_size, len(frame) + 1, batch_size))
-        keys = frame[together].to_numpy()
+            return list(range(batch_size, rows.num_rows + 1, batch_size))
+        keys = rows[together].to_numpy()
         return (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
 
-    def answer(teacher, frame, ends, np):
-        out = frame.copy()
-        parts = {name: [] for name in fetches}
-        for start, end in zip([0, *ends], ends):
-            if start == end:
-                continue
-            rows = frame.iloc[start:end]
-            fetched = teacher({name: np.stack(rows[column].to_list()) for name, column in feeds.items()})
-            for name in fetches:
-                parts[name].extend(fetched[name])
-        for name in fetches:
-            out[name] = parts[name]
-        return out
+    def answer(teacher: Teacher, rows: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        arrays = {name: as_array(pa.concat_arrays(rows[column].chunks)) for name, column in feeds.items()}
+        parts = [teacher({name: x[start:end] for name, x in arrays.items()}) for start, end in zip([0, *ends], ends)]
+        columns = [rows[c].cast(kinds.field(c).type) if pa.types.is_nested(rows[c].type) else rows[c] for c in kept]
+        columns += [as_column(np.concatenate([part[name] for part in parts]), kinds.field(name).type) for name in fetches]
+        yield from pa.table(columns, names=[*kept, *fetches]).combine_chunks().to_batches()
 
-    return df.mapInPandas(score, output_schema(df, fetches))
+    return sent.mapInArrow(score, schema)
 
 
 def score_or_dead_letter(
@@ -135,24 +158,24 @@ def score_or_dead_letter(
     return df.mapInPandas(score, output_schema(df, fetches, [("attempts", "int"), ("error", "string")]))
 
 
-def ensemble_teachers(
-    df: DataFrame, teachers: Sequence[tuple[Callable[[], Teacher], float]], feeds: dict[str, str], fetch: str, batch_size: int
-) -> DataFrame:
-    """Weighted mean of the teachers' answers, element by element."""
-    names = [f"_t{n}" for n in range(len(teachers))]
+def open_several(teachers: dict[str, Callable[[], Teacher]], fetch: str) -> Callable[[], Teacher]:
+    """One teacher that asks several; what each answers as ``fetch`` gets its name."""
+
+    def open_all():
+        models = {name: open_teacher() for name, open_teacher in teachers.items()}
+        return lambda feeds: {name: model(feeds)[fetch] for name, model in models.items()}
 
-    def renamed(open_teacher, name):
-        def open_renamed():
-            teacher = open_teacher()
-            return lambda fed: {name: teacher(fed)[fetch]}
+    return open_all
 
-        return open_renamed
 
-    scored = reduce(
-        lambda d, t: score_with_teacher(d, renamed(t[0][0], t[1]), feeds, {t[1]: "array<double>"}, batch_size),
-        zip(teachers, names),
-        df,
-    )
+def ensemble_teachers(
+    df: DataFrame, teachers: Sequence[tuple[Callable[[], Teacher], float]], feeds: dict[str, str], fetch: str, batch_size: int,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """Weighted mean of the teachers' answers, element by element; all teachers answer in one pass."""
+    names = [f"_t{n}" for n in range(len(teachers))]
+    asked = open_several({name: open_teacher for name, (open_teacher, _) in zip(names, teachers)}, fetch)
+    scored = score_with_teacher(df, asked, feeds, dict.fromkeys(names, "array<double>"), batch_size, keep=keep)
     scale = sum(w for _, w in teachers)
 
     def share(name, weight):
@@ -223,11 +246,9 @@ class Distillation:
         return batching.rebatch_lists(rows, self.keys[0], "item", self.batch_size)
 
     def scored(self) -> DataFrame:
-        """Scored rows. Tasks of lists are scored one by one; single samples in any batches of the right size."""
-        placed, together = self.tasks(), None
-        if self.form != "sample":
-            placed, together = placed.repartition("task_id").sortWithinPartitions("task_id", "place"), "task_id"
-        return score_with_teacher(placed, self.teacher, self.feeds, self.predicts, self.batch_size, together)
+        """Scored rows; the teacher sees the numbered tasks, one by one."""
+        placed = self.tasks().repartition("task_id").sortWithinPartitions("task_id", "place")
+        return score_with_teacher(placed, self.teacher, self.feeds, self.predicts, self.batch_size, "task_id")
 
     def run(self) -> DataFrame:
         """Samples in input order, or lists and columnar batches with their predictions."""
@@ -255,5 +276,3 @@ def fit_softmax(df: DataFrame, vector: str, label: str, iterations: int = 50):
 
     rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias(label))
     return LogisticRegression(labelCol=label, family="multinomial", maxIter=iterations).fit(rows)
-
-

@@ -32,16 +32,17 @@ def teacher(salt=0):
     return scoring.linear_teacher(CLASSES, DIM, salt)
 
 
-def scored(spark, sf, salt=0, name="prediction"):
-    """Embeddings with the logits of one linear teacher."""
-    df = scoring.score_with_teacher(table(spark, sf, "embeddings"), teacher(salt), {"img": "embedding"}, FETCH, TEACHER_BATCH)
-    return df.withColumnRenamed("prediction", name)
+def scored(spark, sf, keep=("vec_id", "label")):
+    """Columns of the embeddings with the logits of one linear teacher."""
+    return scoring.score_with_teacher(table(spark, sf, "embeddings"), teacher(), {"img": "embedding"}, FETCH, TEACHER_BATCH, keep=keep)
 
 
 def student_and_teacher(spark, sf):
-    first = scored(spark, sf, 0, "s")
-    both = scoring.score_with_teacher(first, teacher(1), {"img": "embedding"}, FETCH, TEACHER_BATCH)
-    return both.withColumnRenamed("prediction", "t").drop("embedding")
+    both = scoring.open_several({"s": teacher(0), "t": teacher(1)}, "prediction")
+    fetches = {"s": "array<double>", "t": "array<double>"}
+    return scoring.score_with_teacher(
+        table(spark, sf, "embeddings"), both, {"img": "embedding"}, fetches, TEACHER_BATCH, keep=("vec_id", "label")
+    )
 
 
 def rounded(column, digits=6):
@@ -114,7 +115,7 @@ def distill_columnar_batches(spark, sf):
 SELECT vec_id, {place_sum_sql('m')} AS logit_sum FROM e""")
 def ensemble_teachers(spark, sf):
     mixed = scoring.ensemble_teachers(
-        table(spark, sf, "embeddings"), [(teacher(0), 3.0), (teacher(1), 1.0)], {"img": "embedding"}, "prediction", TEACHER_BATCH
+        table(spark, sf, "embeddings"), [(teacher(0), 3.0), (teacher(1), 1.0)], {"img": "embedding"}, "prediction", TEACHER_BATCH, ["vec_id"]
     )
     return mixed.select("vec_id", place_sum(F.col("prediction")).alias("logit_sum"))
 
@@ -159,7 +160,7 @@ RANKED = f"""{STUDENT},
 @query(f"""WITH {RANKED} SELECT label, count(*) AS n_rows, round(avg((rank < 1)::INT), 6) AS acc1, round(avg((rank < 5)::INT), 6) AS acc5 FROM r GROUP BY label""")
 def topk_accuracy(spark, sf):
     """Flagship: score the embeddings in teacher batches and report top-1 and top-5 accuracy per label."""
-    shares = metrics.topk_accuracy(scored(spark, sf), F.col("prediction"), F.col("label"), (1, 5), ["label"])
+    shares = metrics.topk_accuracy(scored(spark, sf, ["label"]), F.col("prediction"), F.col("label"), (1, 5), ["label"])
     return shares.select("label", "n_rows", F.round("acc1", 6).alias("acc1"), F.round("acc5", 6).alias("acc5"))
 
 
@@ -168,7 +169,7 @@ def topk_accuracy(spark, sf):
   f AS (SELECT c, count(*) FILTER (label = c AND g = c) AS tp, count(*) FILTER (label = c AND g <> c) AS fn, count(*) FILTER (label <> c AND g = c) AS fp FROM k, a GROUP BY c)
 SELECT round(avg(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fn + fp) ELSE 0 END), 6) AS macro_f1, (SELECT round(avg((label = g)::INT), 6) FROM a) AS accuracy FROM f""")
 def macro_f1_accuracy(spark, sf):
-    report = metrics.macro_f1_accuracy(scored(spark, sf), F.col("label"), metrics.argmax(F.col("prediction")))
+    report = metrics.macro_f1_accuracy(scored(spark, sf, ["label"]), F.col("label"), metrics.argmax(F.col("prediction")))
     return report.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -177,7 +178,7 @@ def macro_f1_accuracy(spark, sf):
 SELECT vec_id, string_agg(c::VARCHAR, ',' ORDER BY k) FILTER (k <= 3) AS top FROM o GROUP BY vec_id""")
 def argsort_topk(spark, sf):
     top = windows.argsort_topk(F.col("prediction"), 3)
-    return scored(spark, sf).select("vec_id", F.array_join(top.cast("array<string>"), ",").alias("top"))
+    return scored(spark, sf, ["vec_id"]).select("vec_id", F.array_join(top.cast("array<string>"), ",").alias("top"))
 
 
 @query(f"""WITH {LOGS} SELECT vec_id, {place_sum_sql('list_transform(p, lambda x: exp(x))')} AS softmax_sum, {place_sum_sql('p')} AS log_sum,
@@ -262,15 +263,41 @@ def fit_linear(spark, sf):
     return answered.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.max("prediction"), 3).alias("answer"))
 
 
-@query()
+@query("""SELECT feature, (SELECT count(*) FROM embeddings) AS n_rows, true AS orthogonal FROM (SELECT unnest(range(13))::INT AS feature)""")
+def fit_linear_features(spark, sf):
+    """Least squares on thirteen features: each feature must be orthogonal to what the fit leaves."""
+    names = [f"x{i}" for i in range(13)]
+    features = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]
+    rows = table(spark, sf, "embeddings").select(*features, F.col("label").cast("double").alias("y"))
+    left = scoring.fit_linear(rows, names, "y").transform(rows).withColumn("left", F.col("y") - F.col("prediction"))
+    pairs = left.select("left", F.posexplode(F.array(*names)).alias("feature", "x"))
+    size = F.sqrt(F.sum(F.col("left") * F.col("left")) * F.sum(F.col("x") * F.col("x")))
+    return pairs.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.abs(F.sum(F.col("left") * F.col("x"))) <= 1e-6 * size).alias("orthogonal")
+    )
+
+
+@query("SELECT label, count(*) AS n_rows, true AS stationary, true AS better FROM embeddings GROUP BY label")
 def fit_softmax(spark, sf):
-    """Share of right answers of a softmax regression, per label; an iterative fit has no SQL twin."""
-    from pyspark.ml.functions import array_to_vector
-
-    samples = table(spark, sf, "embeddings")
-    model = scoring.fit_softmax(samples, "embedding", "label")
-    rows = samples.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "label")
-    answered = model.transform(rows)
-    return answered.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy")
+    """Is the fit of a softmax regression right? The gradient of the mean loss vanishes, and the loss is below that of the shares."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    samples = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
+    model = scoring.fit_softmax(samples, "x", "label")
+    answered = model.transform(samples.withColumn("features", array_to_vector("x")))
+    chances = answered.select("label", "x", F.posexplode(vector_to_array("probability")).alias("class", "p"))
+    own = (F.col("class") == F.col("label")).cast("double")
+    classes = chances.groupBy("class").agg(
+        F.sum(own).alias("n"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(-own * F.log("p")).alias("loss"),
+        F.array(*[F.abs(F.sum((F.col("p") - own) * F.col("x")[i])) for i in range(DIM)]).alias("slopes"),
+    )
+    known = classes.where("n > 0")
+    better = known.agg(F.sum("loss") < F.sum(-F.col("n") * F.log(F.col("n") / F.col("rows")))).scalar()
+    return known.select(
+        F.col("class").alias("label"),
+        F.col("n").cast("bigint").alias("n_rows"),
+        (F.array_max("slopes") / F.col("rows") < 1e-3).alias("stationary"),
+        better.alias("better"),
     )

@@ -189,7 +189,7 @@ def stream_scoring(spark, sf):
     samples = table(spark, sf, "embeddings")
     parts = [samples.where("vec_id % 2 = 0"), samples.where("vec_id % 2 = 1")]
     scored = replay_to_table(
-        spark, parts, "samples", lambda s: scoring.score_with_teacher(s, teacher(), {"img": "embedding"}, FETCH, 16)
+        spark, parts, "samples", lambda s: scoring.score_with_teacher(s, teacher(), {"img": "embedding"}, FETCH, 16, keep=["vec_id", "label"])
     )
     return scored.select("vec_id", "label", place_sum(F.col("prediction")).alias("logit_sum"))
 
