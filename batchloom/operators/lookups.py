@@ -8,74 +8,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_latest
-from batchloom.session import by_key, cut, fits
+from batchloom.operators.pooling import pooled_sums
+from batchloom.session import cut
 
-SMALL = 100_000  # rows of a table that may be broadcast
+HOT_ROWS = 100_000  # a key with more rows may be dealt to several tasks
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """Keys that hold more than one row in ``share``; there are fewer than ``share`` of them."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") * share > counts.agg(F.sum("_n")).scalar()).select(key)
+def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS, most: int = 1000) -> DataFrame:
+    """The most frequent keys with more than ``least`` rows, ``most`` of them at most; so no other holds more than one row in ``most``."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > least).orderBy(F.desc("_n"), key).limit(most).select(key)
 
 
 def skewed_lookup(
-    rows: DataFrame, table: DataFrame, key: str, how: str = "left", small: int = SMALL, salts: int = 64
+    rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = 64, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Look up ``table``, which has one row per key, for rows in which some keys are very frequent.
 
-    A table of at most ``small`` rows is broadcast. For a larger one the rows of the hot keys are
-    dealt to ``salts`` tasks, and only the hot entries of the table are repeated that often.
+    The rows of hot keys and of the null key are dealt to ``salts`` tasks, and only the hot entries of the table are
+    repeated that often. ``salts`` and ``hot_rows`` change the spreading alone. Spark broadcasts the table if its bytes allow it.
     """
-    if fits(table, small):
-        return rows.join(F.broadcast(table), key, how)
-    hot = F.broadcast(hot_keys(rows, key).withColumn("_hot", F.lit(True)))  # fewer than 1000 keys
-    deal = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("_hot", F.lit(True)))  # at most 1000 keys
+    none = F.lit(0).cast("bigint")
+    deal = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(none)
     dealt = rows.join(hot, key, "left").withColumn("_salt", deal).drop("_hot")
     every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("bigint")))
+    copies = F.when(F.col("_hot"), every).otherwise(F.array(none))
     spread = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
-def vocab_lookup(
-    docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame, unknown: str = "[UNK]", small: int = 500_000
-) -> DataFrame:
+def vocab_lookup(docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame, unknown: str = "[UNK]", **spreading) -> DataFrame:
     """Word ids of each document in word order; unknown words get the id of ``[UNK]``.
 
-    ``vocabulary`` has the columns ``word`` and ``id``; one of at most ``small`` words is broadcast.
+    ``vocabulary`` has the columns ``word`` and ``id``; ``spreading`` goes to :func:`skewed_lookup`.
     """
     unk = vocabulary.where(F.col("word") == unknown).select("id").scalar()
-    if fits(vocabulary, small):
-        docs = by_key(docs, doc)
     tokens = docs.select(doc, F.posexplode(words).alias("_pos", "word"))
-    found = skewed_lookup(tokens, vocabulary, "word", small=small).withColumn("id", F.coalesce("id", unk))
+    found = skewed_lookup(tokens, vocabulary, "word", **spreading).withColumn("id", F.coalesce("id", unk))
     ids = found.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_pos", "id")))["id"].alias("ids"))
     return docs.join(ids, doc, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 
 
-def pooled_slots(rows: DataFrame, row: str, slots: Sequence[str], table: DataFrame, dim: int) -> DataFrame:
+def pooled_slots(rows: DataFrame, row: str, slots: Sequence[str], table: DataFrame, dim: int, **spreading) -> DataFrame:
     """Average embedding of the ids in each slot; a slot whose ids are all unknown gives zeros.
 
     ``table`` has the columns ``id`` and ``vec``. One row per (row, slot number).
     """
     ids = F.array(*[F.struct(F.lit(n).alias("slot"), F.col(s).alias("ids")) for n, s in enumerate(slots)])
     pairs = rows.select(row, F.explode(ids).alias("_s")).select(row, "_s.slot", F.explode_outer("_s.ids").alias("id"))
-    found = skewed_lookup(pairs, table, "id")
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    vectors = F.collect_list(F.col("vec").cast("array<double>"))
-    added = F.aggregate("_v", zeros, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    count = F.greatest(F.size("_v"), F.lit(1))
-    return found.groupBy(row, "slot").agg(vectors.alias("_v")).select(
-        row, "slot", F.transform(added, lambda x: x / count).alias("pooled")
+    found = skewed_lookup(pairs, table, "id", **spreading).withColumn("_n", F.col("vec").isNotNull().cast("bigint"))
+    count = F.greatest(F.col("times"), F.lit(1))
+    return pooled_sums(found, [row, "slot"], "vec", "_n", dim).select(
+        row, "slot", F.transform("vec", lambda x: x / count).alias("pooled")
     )
 
 
-def embedding_lookup_pool(rows: DataFrame, row: str, slots: Sequence[str], dense: str, table: DataFrame, dim: int) -> DataFrame:
+def embedding_lookup_pool(
+    rows: DataFrame, row: str, slots: Sequence[str], dense: str, table: DataFrame, dim: int, **spreading
+) -> DataFrame:
     """Pooled slots of each row in slot order, followed by its dense numbers."""
-    if fits(table, SMALL):
-        rows = by_key(rows, row)
-    pooled = pooled_slots(rows, row, slots, table, dim)
+    pooled = pooled_slots(rows, row, slots, table, dim, **spreading)
     vectors = F.sort_array(F.collect_list(F.struct("slot", "pooled")))["pooled"]
     features = pooled.groupBy(row).agg(F.flatten(vectors).alias("_f"))
     return rows.join(features, row).withColumn("features", F.concat("_f", F.col(dense).cast("array<double>"))).drop("_f")
@@ -105,10 +98,19 @@ def skip_processed_records(records: DataFrame, processed: DataFrame, file: str,
 
 
 def record_range_lookup(records: DataFrame, chunks: DataFrame, file: str, record: str, width: int = 1024) -> DataFrame:
-    """Records of each requested chunk ``(file, begin, end, ...)``, bounds inclusive; chunks may overlap."""
-    slices = chunks.withColumn("_slice", F.explode(F.sequence(F.expr(f"begin div {width}"), F.expr(f"end div {width}"))))
-    placed = records.withColumn("_slice", F.expr(f"`{record}` div {width}"))
-    return placed.join(slices, [file, "_slice"]).where(F.col(record).between(F.col("begin"), F.col("end"))).drop("_slice")
+    """Records of each requested chunk ``(file, begin, end, ...)``, bounds inclusive; chunks may overlap.
+
+    A chunk is cut into slices of ``width``, or of 16, 256, ... times that if it is wider, so that it gives 17 slices or so;
+    records meet it on their slice of each width that some chunk has.
+    """
+    wide = F.ceil(F.log(16.0, (F.col("end") - F.col("begin") + 1) / float(width)))
+    levelled = chunks.withColumn("_level", F.coalesce(F.greatest(wide, F.lit(0)), F.lit(0)).cast("int"))
+    slice_of = f"div shiftleft({width}L, 4 * _level)"
+    slices = levelled.withColumn("_slice", F.explode(F.sequence(F.expr(f"begin {slice_of}"), F.expr(f"end {slice_of}"))))
+    levels = levelled.agg(F.collect_set("_level")).scalar()  # 14 at most
+    placed = records.withColumn("_level", F.explode(levels)).withColumn("_slice", F.expr(f"`{record}` {slice_of}"))
+    met = placed.join(slices, [file, "_level", "_slice"])
+    return met.where(F.col(record).between(F.col("begin"), F.col("end"))).drop("_slice", "_level")
 
 
 def fetch_batches(metas: DataFrame, batches: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -20,16 +20,19 @@ def queue_sizes(batches: DataFrame, pod: str) -> DataFrame:
 
 
 def barrier_complete(reports: DataFrame, ended: DataFrame, members: DataFrame, stage: str, member: str) -> DataFrame:
-    """Per stage: have all expected members reported or ended, and how many are missing.
+    """Per stage in the reports: have all expected members reported or ended, and how many are missing.
 
-    ``members`` holds the expected ``(stage, member)`` pairs, ``ended`` the members at their end.
+    ``members`` holds the expected members, ``ended`` those at their end. What is missing is counted, so the members are not
+    multiplied by the stages.
     """
-    arrived = reports.select(stage, member).distinct().withColumn("_a", F.lit(True))
     done = ended.select(member).distinct().withColumn("_e", F.lit(True))
-    joined = members.select(stage, member).distinct().join(arrived, [stage, member], "left").join(done, member, "left")
-    missing = F.count_if(F.col("_a").isNull() & F.col("_e").isNull())
-    return joined.groupBy(stage).agg(F.count(F.lit(1)).alias("expected"), missing.alias("missing")).withColumn(
-        "complete", F.col("missing") == 0
+    expected = members.select(member).distinct().join(done, member, "left")
+    still = expected.where(F.col("_e").isNull()).select(member, F.lit(True).alias("_o"))
+    arrived = reports.select(stage, member).distinct().join(still, member, "left").groupBy(stage).agg(F.count("_o").alias("_here"))
+    wanted = expected.agg(F.struct(F.count(F.lit(1)).alias("all"), F.count_if(F.col("_e").isNull()).alias("open"))).scalar()
+    missing = F.col("_w.open") - F.col("_here")
+    return arrived.withColumn("_w", wanted).select(
+        stage, F.col("_w.all").alias("expected"), missing.alias("missing"), (missing == 0).alias("complete")
     )
 
 
@@ -221,12 +224,12 @@ def bag_of_words_pool(ids: DataFrame, doc: str, id_col: str, table: DataFrame, d
     Ids are counted per document first, so a frequent id is looked up once per document.
     """
     from batchloom.operators.lookups import skewed_lookup
+    from batchloom.operators.pooling import pooled_sums
 
     counted = ids.where(F.col(id_col) != 0).groupBy(doc, F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
     found = skewed_lookup(counted, table, "id", "inner")
-    sums = found.groupBy(doc).agg(*[F.sum(F.col("_n") * F.col("vec")[i].cast("double")).alias(f"_{i}") for i in range(dim)])
-    pooled = ids.select(doc).distinct().join(sums, doc, "left")
-    total = F.array(*[F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(dim)])
+    pooled = ids.select(doc).distinct().join(pooled_sums(found, [doc], "vec", "_n", dim), doc, "left")
+    total = F.coalesce("vec", F.array_repeat(F.lit(0.0), dim))
     soft = F.transform(total, lambda x: x / (1 + F.abs(x)))
     lit = [F.array(*[F.lit(float(w)) for w in row]) for row in weights]
     layers = [F.aggregate(F.zip_with("_soft", row, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) for row in lit]

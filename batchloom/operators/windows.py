@@ -74,13 +74,18 @@ def pop_n(queue: DataFrame, owner: str, item: str, num: str) -> DataFrame:
     return placed.where((F.col(num) <= 0) | (F.col("_pos") < F.col(num))).drop("_pos")
 
 
-def limit_members(members: DataFrame, job: str, member: str, max_nodes: int) -> DataFrame:
+def limit_members(members: DataFrame, job: str, member: str, max_nodes: int, salts: int = 64) -> DataFrame:
     """The first members of each job up to ``max_nodes``.
 
-    The limit on the row number is applied in every map task first, so a hot job stays small.
+    They are among the first of each salt of the job, so a hot job is sorted in many tasks, and one task sees
+    ``salts * max_nodes`` of its members at most.
     """
-    numbered = members.withColumn("_n", F.row_number().over(Window.partitionBy(job).orderBy(member)))
-    return numbered.where(F.col("_n") <= max_nodes).withColumn("rank", (F.col("_n") - 1).cast("bigint")).drop("_n")
+
+    def first(rows: DataFrame, *keys) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(member))).where(F.col("_n") <= max_nodes)
+
+    salted = first(members.withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(salts))), job, "_salt").drop("_salt", "_n")
+    return first(salted, job).withColumn("rank", (F.col("_n") - 1).cast("bigint")).drop("_n")
 
 
 def sorted_listing(names: DataFrame, group: str, name: str, order_id: str, per_line: int = 64) -> DataFrame:

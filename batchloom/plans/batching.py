@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from batchloom.operators import batching, sharding
 from batchloom.operators.positions import range_positions
 from batchloom.plans.registry import query
-from batchloom.plans.sharding import RECORD_ORDER, SQL_ORDER, supplier_records
+from batchloom.plans.sharding import RECORD_ORDER, SQL_ORDER, supplier_batches, supplier_records
 from batchloom.plans.sources import WS
 from batchloom.session import table
 from batchloom.sources.text import words
@@ -175,9 +175,12 @@ QUEUED = f"""
 """
 
 
+FIELDS = ["l_orderkey", "l_partkey"]
+
+
 def supplier_batch_data(spark, sf):
     records = sharding.queue_positions(supplier_records(spark, sf), "l_suppkey", [*RECORD_ORDER, "_file", "_row"], 32)
-    return batching.make_batch_data(records, "l_suppkey", "batch_no", "record_no", ["l_orderkey", "l_partkey"])
+    return batching.make_batch_data(records, "l_suppkey", "batch_no", "record_no", FIELDS)
 
 
 @query(f"WITH {QUEUED} SELECT l_suppkey || '_' || batch_no AS batch_data_id, n_records, first_record, md5(fields) AS digest FROM batch")
@@ -195,16 +198,16 @@ def make_batch_data(spark, sf):
   string_agg(l_suppkey || '_' || batch_no, ',' ORDER BY batch_no) AS ids FROM batch GROUP BY ALL""")
 def report_batch_meta(spark, sf):
     endpoint = F.concat(F.lit("host-"), F.col("l_suppkey").cast("string"), F.lit(":7000"))
-    reports = batching.report_batch_meta(supplier_batch_data(spark, sf), "reader_0", "l_suppkey", "batch_no", endpoint)
+    queued = supplier_batches(spark, sf, 32).withColumn("batch_data_id", F.concat_ws("_", "l_suppkey", "batch_no"))
+    reports = batching.report_batch_meta(queued, "reader_0", "l_suppkey", "batch_no", endpoint)
     return reports.withColumn("ids", F.array_join("ids", ","))
 
 
 @query(f"""WITH {QUEUED} SELECT l_suppkey || '_' || batch_no AS batch_data_id, n_records, 2 AS fields_per_record FROM batch""")
 def batch_summary(spark, sf):
-    return supplier_batch_data(spark, sf).select(
-        "batch_data_id",
-        F.size("records").cast("bigint").alias("n_records"),
-        F.array_max(F.transform("records", lambda r: F.size(r.field_data))).alias("fields_per_record"),
+    """Sizes follow from the record counts, so no batch is built."""
+    return supplier_batches(spark, sf, 32).select(
+        F.concat_ws("_", "l_suppkey", "batch_no").alias("batch_data_id"), "n_records", F.lit(len(FIELDS)).alias("fields_per_record")
     )
 
 

@@ -10,7 +10,7 @@ from batchloom.operators.carry import id_block
 from batchloom.plans.batching import WORDS
 from batchloom.plans.registry import query
 from batchloom.plans.scoring import rounded
-from batchloom.session import by_key, spread, table
+from batchloom.session import spread, table
 from batchloom.sources.text import words
 
 
@@ -44,9 +44,7 @@ FROM m LEFT JOIN r ON m.day = r.day AND m.user_id = r.user_id LEFT JOIN d ON m.u
 def barrier_complete(spark, sf):
     """Stages are days; the members of the first day are expected on each later day unless they ended early."""
     events = events_by_day(spark, sf)
-    first = events.where("day = 0").select("user_id").distinct()
-    days = events.agg(F.max("day")).scalar()
-    expected = first.withColumn("day", F.explode(F.sequence(F.lit(0).cast("bigint"), days)))
+    expected = events.where("day = 0").select("user_id")
     ended = events.where((F.col("event_type") == "error") & (F.col("day") < 2))
     return metrics.barrier_complete(events, ended, expected, "day", "user_id")
 
@@ -186,7 +184,7 @@ SELECT t.doc_id, round(coalesce(sum(y * (((0 * 31 + d * 17) % 13) - 6) / 10.0),
 FROM (SELECT DISTINCT doc_id FROM tk) t LEFT JOIN f ON t.doc_id = f.doc_id GROUP BY t.doc_id""")
 def bag_of_words_pool(spark, sf):
     length = F.length("w")
-    ids = by_key(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(words(F.col("text"))).alias("w")).select(
+    ids = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(words(F.col("text"))).alias("w")).select(
         "doc_id", F.when(length > 3, length * 7 % 199).otherwise(0).cast("bigint").alias("id")
     )
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))

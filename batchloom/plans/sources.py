@@ -55,7 +55,7 @@ SELECT bucket, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, line_no)
 FROM kept WHERE length(value) > 0""")
 def splitter_source(spark, sf):
     folder = document_lines(spark, sf)
-    names = [n.removeprefix("file://") for n in spark.read.text(folder).inputFiles()]
+    names = spark.read.text(folder).inputFiles()
     splitter.register_splitter(spark, "line_splitter", splitter.line_splitter())
     rows = spark.read.format("line_splitter").option("files", json.dumps(names)).load()
     bucket = F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint")
@@ -123,20 +123,22 @@ def read_labelled_list(spark, sf):
     table(spark, sf, "pages").join(labels, "page_id", "left").select(
         F.concat(F.regexp_replace("url", "[^A-Za-z0-9/.]", "_"), F.lit(".JPEG "), F.coalesce("quality", F.lit(0)))
     ).write.text(path)
-    return text.read_labelled_list(spark, path, "train", "data")
+    return text.read_labelled_list(spark, path, "train", "data")[0]
 
 
 CTR_SUM = " + ".join(f"(l_partkey * {j} + l_suppkey) % 100003" for j in range(1, 27))
 DENSE_SUM = " + ".join(f"(l_quantity::BIGINT * {i}) % 97" for i in range(1, 14))
 
 
-def click_log(spark, sf):
+def click_log(spark, sf, cut="false"):
+    """Line items as a click log; the lines where ``cut`` holds lack their last attribute."""
     path = scratch(spark, "clicks")
     attributes = [F.when(F.col("l_returnflag") == "R", 1).otherwise(0)]
     attributes += [F.pmod(F.col("l_quantity").cast("bigint") * i, F.lit(97)) for i in range(1, 14)]
     attributes += [F.pmod(F.col("l_partkey") * j + F.col("l_suppkey"), F.lit(100003)) for j in range(1, 27)]
-    rows = spread(table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_partkey", "l_suppkey"))
-    rows.select(F.concat_ws(" ", *[a.cast("string") for a in attributes])).write.text(path)
+    rows = spread(table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_partkey", "l_suppkey", "l_linenumber"))
+    *texts, last = [a.cast("string") for a in attributes]
+    rows.select(F.concat_ws(" ", *texts, F.when(~F.expr(cut), last))).write.text(path)
     return path
 
 
@@ -144,7 +146,7 @@ def click_log(spark, sf):
        (l_partkey * 26 + l_suppkey) % 100003 AS c26, {DENSE_SUM} AS dense_sum, {CTR_SUM} AS sparse_sum
 FROM lineitem""")
 def read_ctr_records(spark, sf):
-    records = text.read_ctr_records(spark, click_log(spark, sf))
+    records, _ = text.read_ctr_records(spark, click_log(spark, sf))
     ids = F.lit(0).cast("bigint")
     for i in range(1, 27):
         ids = ids + F.col(f"C{i}")[0]
@@ -154,6 +156,16 @@ def read_ctr_records(spark, sf):
     )
 
 
+@query("""SELECT CASE WHEN l_linenumber = 5 THEN 39 ELSE 40 END AS n_fields, l_linenumber <> 5 AS good, count(*) AS n_rows FROM lineitem GROUP BY ALL""")
+def quarantine_ctr_records(spark, sf):
+    """Click lines that lack an attribute are set aside, the others are read."""
+    good, bad = text.read_ctr_records(spark, click_log(spark, sf, "l_linenumber = 5"))
+    both = good.select((1 + F.size("dense") + 26).alias("n_fields"), F.lit(True).alias("good")).unionByName(
+        bad.select("n_fields", F.lit(False).alias("good"))
+    )
+    return both.groupBy("n_fields", "good").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 VECTOR_ROWS = """SELECT vec_id, len(embedding) AS dim, embedding[1]::DOUBLE AS first_value,
        embedding[len(embedding)]::DOUBLE AS last_value FROM embeddings"""
 

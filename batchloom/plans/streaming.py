@@ -51,12 +51,21 @@ def lease_liveness(spark, sf):
     return leases.alive_intervals(table(spark, sf, "events"), "user_id", "ts", TTL, "event_id", id_block("event_id"))
 
 
-@query(f"WITH {SESSIONS} SELECT user_id, start_us, end_us, beats FROM sessions WHERE end_us <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000")
+def arriving_late(spark, sf):
+    """The parts, where every seventh event of the first one arrives with the last one only."""
+    first, second, third = event_parts(spark, sf)
+    return [first.where("event_id % 7 <> 0"), second, third.unionByName(first.where("event_id % 7 = 0"))]
+
+
+@query(f"WITH {SESSIONS} SELECT user_id, start_us, end_us, beats, end_us <= (SELECT max(epoch_us(ts)) FROM events) AS closed FROM sessions")
 def lease_liveness_stream(spark, sf):
-    """Closed intervals only: those whose end the watermark has passed."""
-    return replay_to_table(
-        spark, event_parts(spark, sf), "beats", lambda s: leases.stream_alive_intervals(s, "user_id", "ts", TTL, "10 minutes")
+    """All intervals, the open ones too, from a stream with late beats."""
+    log = scratch(spark, "lease-log")
+    replay(
+        spark, arriving_late(spark, sf), "beats", lambda s, cp: leases.watch_leases(s, log, "user_id", "ts", TTL, checkpoint=cp)
     )
+    merged = leases.merged_intervals(spark.read.parquet(log), "user_id")
+    return merged.select("user_id", "start_us", "end_us", "beats", "closed")
 
 
 @query(FOLDED)
@@ -91,12 +100,22 @@ def versioned_delta_stream(spark, sf):
         )
 
 
+@query(f"""WITH v AS ({VERSIONS}), n AS (SELECT user_id, max(version) AS version, arg_max(event_type, version) AS value FROM v GROUP BY user_id)
+SELECT user_id, user_id % 50 AS known, version, value FROM n WHERE version > user_id % 50""")
+def newer_versions(spark, sf):
+    """What clients are sent that already know some version; those that know the newest one get nothing."""
+    clients = table(spark, sf, "events").select("user_id", (F.col("user_id") % 50).alias("known")).distinct()
+    deltas = versioned_delta(spark, sf).withColumnRenamed("event_type", "value")
+    return changes.newer_than(deltas, clients, "user_id", "known").select("user_id", "known", "version", "value")
+
+
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(spark, sf):
-    """Every third report is sent twice in the same part."""
-    parts = [p.unionByName(p.where("event_id % 3 = 0")) for p in event_parts(spark, sf)]
-    at = F.timestamp_micros(epoch_micros(F.col("ts")))
-    kept = replay_to_table(spark, parts, "reports", lambda s: changes.stream_dedup(s, ["event_id"], at, "1 hour"))
+    """Every third report is sent twice in the same part, every fifth one of the first part again with the last; some come late."""
+    parts = [p.unionByName(p.where("event_id % 3 = 0")) for p in arriving_late(spark, sf)]
+    parts[2] = parts[2].unionByName(parts[0].where("event_id % 5 = 0"))
+    with streams.RocksDB(spark):
+        kept = replay_to_table(spark, parts, "reports", lambda s: changes.stream_dedup(s, ["event_id"]))
     return kept.select("event_id", "user_id", "event_type")
 
 
@@ -108,11 +127,11 @@ def stream_barrier_balance(spark, sf):
     members = table(spark, sf, "events").select((F.col("user_id") % 8).alias("member")).distinct()
     path = scratch(spark, "balance")
     replay(
-        spark, parts, "reports", lambda s, cp: balance.stream_barrier_balance(spark, s, path, "member", "event_id", members, cp)
+        spark, parts, "reports", lambda s, cp: balance.stream_barrier_balance(spark, s, path, "member", "event_id", members, checkpoint=cp)
     )
     handed = spark.read.parquet(f"{path}/handed")
     sizes = handed.groupBy("consumer").agg(F.count(F.lit(1)).alias("n"))
-    waiting = spark.read.parquet(f"{path}/waiting/batch=2")
+    waiting = balance.still_waiting(spark, path)
     every = handed.select("event_id").unionByName(waiting.select("event_id")).distinct()
     return sizes.agg(
         F.sum("n").alias("handed"),
@@ -123,6 +142,35 @@ def stream_barrier_balance(spark, sf):
     )
 
 
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN ts >= '{PART_DAYS[1]}' AND user_id % 8 = 3 THEN 4 ELSE user_id % 8 END AS member,
+    CASE WHEN ts < '{PART_DAYS[0]}' THEN 0 WHEN ts < '{PART_DAYS[1]}' THEN 1 ELSE 2 END AS round FROM events),
+  r AS (SELECT round, sum(count(*)) OVER (ORDER BY round) // 8 AS upto FROM e GROUP BY round),
+  h AS (SELECT round, (upto - coalesce(lag(upto) OVER (ORDER BY round), 0))::BIGINT AS n FROM r)
+SELECT event_id, member, 1::BIGINT AS places, NULL::INT AS round, NULL::BIGINT AS consumer, NULL::BIGINT AS n FROM e
+UNION ALL SELECT NULL, NULL, NULL, round, c.range AS consumer, n FROM h, range(8) c""")
+def stream_barrier_ended(spark, sf):
+    """A member ends in the second part and reports nothing in the last; all go on to get equal shares.
+
+    Every batch with the number of places at which it is, handed out or waiting, and how many each consumer got in each round.
+    """
+    user = F.col("user_id") % 8
+    first, second, third = event_parts(spark, sf)
+    moved = F.when(user == 3, 4).otherwise(user)  # the ended member's users go to another one
+    marks = spark.range(1).select(F.lit(3).cast("bigint").alias("member"), F.lit(None).cast("bigint").alias("event_id"), F.lit(True).alias("ended"))
+    parts = [p.select(m.alias("member"), "event_id", F.lit(False).alias("ended")) for p, m in ((first, user), (second, user), (third, moved))]
+    parts[1] = parts[1].unionByName(marks)
+    members = table(spark, sf, "events").select(user.alias("member")).distinct()
+    path = scratch(spark, "balance")
+    replay(
+        spark, parts, "reports", lambda s, cp: balance.stream_barrier_balance(spark, s, path, "member", "event_id", members, "ended", cp)
+    )
+    handed = spark.read.parquet(f"{path}/handed")
+    every = handed.select("event_id", "member").unionByName(balance.still_waiting(spark, path).select("event_id", "member"))
+    batches = every.groupBy("event_id", "member").agg(F.count(F.lit(1)).alias("places"))
+    shares = handed.groupBy(F.col("batch").alias("round"), "consumer").agg(F.count(F.lit(1)).alias("n"))
+    return batches.unionByName(shares, allowMissingColumns=True)
+
+
 @query("""WITH s1 AS (SELECT user_id FROM events WHERE ts >= '2024-01-11' AND ts < '2024-01-21' AND event_type IN ('purchase', 'signup')
     EXCEPT SELECT user_id FROM events WHERE ts >= '2024-01-11' AND ts < '2024-01-21' AND event_type = 'error' AND user_id % 3 = 0)
 SELECT user_id AS member FROM (SELECT user_id FROM s1 UNION SELECT user_id FROM events WHERE ts >= '2024-01-21' AND event_type = 'signup')
@@ -145,7 +193,7 @@ def snapshot_plus_watch(spark, sf):
         "watch",
         lambda s, checkpoint: changes.snapshot_plus_watch(spark, s, path, "member", "kind", kinds, checkpoint),
     )
-    return spark.read.parquet(f"{path}/version=2").select("member")
+    return spark.read.parquet(path).where(F.col("version") == streams.newest(spark, path, "version")).select("member")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, sum(event_id)::BIGINT AS id_sum FROM events GROUP BY event_type")
@@ -165,23 +213,32 @@ def resume_from_checkpoint(spark, sf):
 
 
 @query("""SELECT epoch_us(ts) // 3600000000 * 3600000000 AS tick_us, count(*) AS submitted, count(*) FILTER (event_type = 'view') AS running,
-  printf('%.2f', 100.0 * sum(CASE WHEN event_type = 'view' THEN round(value * 1000)::BIGINT ELSE 0 END) / 70001.0) AS utilisation
-FROM events WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000 GROUP BY 1""")
+  count(*) FILTER (event_type = 'signup') AS pending, printf('%.2f', 100.0 * sum(CASE WHEN event_type = 'view' THEN round(value * 1000)::BIGINT ELSE 0 END) / 70001.0) AS utilisation,
+  (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) AS closed
+FROM events GROUP BY epoch_us(ts) // 3600000000""")
 def metric_ticks(spark, sf):
-    """One report per hour, given out when the hour is over for the watermark."""
+    """One report per hour from the sums that each micro-batch appends; late rows count, the hour that still runs is not closed."""
+    hour = 3_600_000_000
     running = F.col("event_type") == "view"
-    used = F.sum(F.when(running, F.round(F.col("value") * 1000).cast("bigint")).otherwise(0))
+    us = epoch_micros(F.col("ts"))
+    log = scratch(spark, "tick-log")
 
-    def hourly(stream):
-        timed = stream.withColumn("at", F.timestamp_micros(epoch_micros(F.col("ts")))).withWatermark("at", "10 minutes")
-        ticks = timed.groupBy(F.window("at", "1 hour").alias("w")).agg(
-            F.count(F.lit(1)).alias("submitted"), F.count_if(running).alias("running"), used.alias("used")
+    def each(batch, batch_id):
+        sums = batch.groupBy((F.floor(us / hour) * hour).alias("tick_us")).agg(
+            F.count(F.lit(1)).alias("submitted"),
+            F.count_if(running).alias("running"),
+            F.count_if(F.col("event_type") == "signup").alias("pending"),
+            F.sum(F.when(running, F.round(F.col("value") * 1000).cast("bigint")).otherwise(0)).alias("used"),
+            F.max(us).alias("last_us"),
         )
-        return ticks.select(F.unix_micros("w.start").alias("tick_us"), "submitted", "running", "used")
+        sums.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
+    replay(spark, arriving_late(spark, sf), "ticks", lambda s, cp: streams.run_batches(s, each, "ticks", cp))
+    sums = spark.read.parquet(log)
+    ticks = sums.groupBy("tick_us").agg(*[F.sum(c).alias(c) for c in ("submitted", "running", "pending", "used")])
     percent = F.format_string("%.2f", 100.0 * F.col("used") / 70001.0)
-    ticks = replay_to_table(spark, event_parts(spark, sf), "ticks", hourly)
-    return ticks.select("tick_us", "submitted", "running", percent.alias("utilisation"))
+    closed = F.col("tick_us") + hour <= sums.agg(F.max("last_us")).scalar()
+    return ticks.select("tick_us", "submitted", "running", "pending", percent.alias("utilisation"), closed.alias("closed"))
 
 
 @query(f"WITH {STUDENT} SELECT vec_id, label, {place_sum_sql('s')} AS logit_sum FROM lg")

@@ -59,14 +59,6 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition by key before rows are exploded, so that what follows per key needs no further shuffle.
-
-    The partition count is given, so AQE does not merge partitions that are small only before the explode.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than cores over all cores; a large scan stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

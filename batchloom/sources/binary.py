@@ -60,41 +60,57 @@ def read_sequence_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pairs.map(lambda p: (bytes(p[0]), bytes(p[1]))), "key binary, value binary")
 
 
+def file_system(uri: str):
+    """File system and path of a qualified path, as Hadoop spells it; raises for a store that it can't open."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def write_raw_kv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     """Write length-prefixed pairs, several files per task, each put in place only when complete.
 
-    ``path`` is a folder that all executors mount.
+    ``path`` is a folder of any store that the executors reach, with or without its scheme.
     """
+    uri = qualified(df.sparkSession, path)
 
     def write_part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         import struct
 
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(path, exist_ok=True)
+        store, folder = file_system(uri)
+        store.create_dir(folder)
         part, rows, out, names = 0, 0, None, []
 
         def names_of(n):
             name = f"part-{context.partitionId():05d}-{n:04d}.kv"
             # readers skip names that begin with a dot
-            return os.path.join(path, f".{name}.{context.taskAttemptId()}.tmp"), os.path.join(path, name)
+            return f"{folder}/.{name}.{context.taskAttemptId()}.tmp", f"{folder}/{name}"
 
         for frame in frames:
             for key, value in zip(frame["key"], frame["value"]):
                 if out is None:
-                    out = open(names_of(part)[0], "wb")
+                    out = store.open_output_stream(names_of(part)[0])
                 out.write(struct.pack("=I", len(key)) + key + struct.pack("=I", len(value)) + value)
                 rows += 1
                 if rows == rows_per_file:
                     out.close()
-                    os.replace(*names_of(part))
+                    store.move(*names_of(part))
                     names.append((names_of(part)[1], rows))
                     part, rows, out = part + 1, 0, None
         if out is not None:
             out.close()
-            os.replace(*names_of(part))
+            store.move(*names_of(part))
             names.append((names_of(part)[1], rows))
         yield pd.DataFrame(names, columns=["file", "rows"])
 

@@ -74,26 +74,34 @@ def read_tsv_records(spark: SparkSession, paths: str | Sequence[str]) -> tuple[D
     return good, bad
 
 
-def read_labelled_list(spark: SparkSession, paths: str | Sequence[str], mode: str, root: str) -> DataFrame:
-    """Image list ``path label``; a test list has paths only."""
+def read_labelled_list(spark: SparkSession, paths: str | Sequence[str], mode: str, root: str) -> tuple[DataFrame, DataFrame]:
+    """Image list ``path label``, and the lines without an integer label; a test list has paths only."""
     lines = spark.read.option("lineSep", "\n").text(paths).select(strip(F.col("value")).alias("value"))
     if mode == "test":
-        return lines.select(F.concat_ws("/", F.lit(root), "value").alias("path"))
+        return lines.select(F.concat_ws("/", F.lit(root), "value").alias("path")), lines.limit(0)
     parts = F.split("value", f"{SPACE}+")
-    return lines.select(
-        F.concat_ws("/", F.lit(root), F.lit(mode), F.replace(parts[0], F.lit("JPEG"), F.lit("jpeg"))).alias("path"),
-        parts[1].cast("int").alias("label"),
+    label = F.get(parts, F.lit(1)).try_cast("int")
+    good = lines.where(label.isNotNull()).select(
+        F.concat_ws("/", F.lit(root), F.lit(mode), F.replace(F.get(parts, F.lit(0)), F.lit("JPEG"), F.lit("jpeg"))).alias("path"),
+        label.alias("label"),
     )
+    return good, lines.where(label.isNull())
 
 
-def read_ctr_records(spark: SparkSession, paths: str | Sequence[str], dense: int = 13, sparse: int = 26) -> DataFrame:
-    """Click log of blank-separated attributes: label, dense numbers, then one id slot per sparse feature."""
+def read_ctr_records(spark: SparkSession, paths: str | Sequence[str], dense: int = 13, sparse: int = 26) -> tuple[DataFrame, DataFrame]:
+    """Click log of blank-separated attributes: label, dense numbers, then one id slot per sparse feature.
+
+    Good rows, and the lines with another number of attributes or with some that are no numbers, as ``(value, n_fields)``.
+    """
     parts = F.col("_p")
-    slots = [F.array(parts[1 + dense + i].cast("bigint")).alias(f"C{i + 1}") for i in range(sparse)]
-    lines = spark.read.option("lineSep", "\n").text(paths)
-    return lines.select(F.split(F.trim("value"), " ").alias("_p")).select(
-        F.slice(parts, 2, dense).cast("array<float>").alias("dense"), *slots, parts[0].cast("int").alias("label")
-    )
+    label, ids = F.get(parts, F.lit(0)).try_cast("int"), F.slice(parts, 2 + dense, sparse)
+    numbers = F.transform(F.slice(parts, 2, dense), lambda x: x.try_cast("float"))
+    lines = spark.read.option("lineSep", "\n").text(paths).withColumn("_p", F.split(F.trim("value"), " "))
+    fits = (F.size(parts) == 1 + dense + sparse) & label.isNotNull() & F.forall(numbers, lambda x: x.isNotNull())
+    fits = fits & F.forall(ids, lambda x: x.try_cast("bigint").isNotNull())
+    slots = [F.array(F.get(parts, F.lit(1 + dense + i)).try_cast("bigint")).alias(f"C{i + 1}") for i in range(sparse)]
+    good = lines.where(fits).select(numbers.alias("dense"), *slots, label.alias("label"))
+    return good, lines.where(~fits).select("value", F.size(parts).alias("n_fields"))
 
 
 def read_vocabulary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

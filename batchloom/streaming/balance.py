@@ -8,32 +8,55 @@ from pyspark.sql import functions as F
 from batchloom.operators.positions import id_positions
 from batchloom.operators.sharding import balance_batches
 from batchloom.session import cut
-from batchloom.streaming.streams import run_batches
+from batchloom.streaming.streams import newest, run_batches
 
 
 def stream_barrier_balance(
-    spark: SparkSession, reports: DataFrame, path: str, producer: str, batch: str, members: DataFrame, checkpoint: str | None = None
+    spark: SparkSession,
+    reports: DataFrame,
+    path: str,
+    producer: str,
+    batch: str,
+    members: DataFrame,
+    ended: str | None = None,
+    checkpoint: str | None = None,
 ) -> None:
-    """Per micro-batch: add the waiting batches; when every member has some, balance and hand out.
+    """Per micro-batch: add the waiting batches; when every member has reported since the last time that something was
+    handed out, or is at its end, balance and hand out.
 
-    Handed batches go to ``handed``, the rest waits in ``waiting``, one folder per micro-batch.
-    ``batch`` is a unique integer that follows the order of the reports.
+    Rows in which the boolean column ``ended`` is true are end marks and hold no batch. Members that ended get batches
+    like the others. Handed batches go to ``handed``, the rest waits in ``waiting``, who reported or ended is in ``seen``, one
+    folder per micro-batch. ``batch`` is a unique integer that follows the order of the reports.
     """
     expected = members.select(producer).distinct()
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        queue = rows.select(producer, batch)
+        mark = F.coalesce(F.col(ended), F.lit(False)) if ended else F.lit(False)
+        queue = rows.where(~mark).select(producer, batch)
+        seen = rows.groupBy(producer).agg(F.bool_or(~mark).alias("reported"), F.bool_or(mark).alias("ended"))
         if batch_id:
             queue = queue.unionByName(spark.read.parquet(f"{path}/waiting/batch={batch_id - 1}"))
-        absent = expected.join(queue, producer, "left_anti")
+            before = spark.read.parquet(f"{path}/seen/batch={batch_id - 1}")
+            seen = seen.unionByName(before).groupBy(producer).agg(F.bool_or("reported").alias("reported"), F.bool_or("ended").alias("ended"))
+        seen = cut(seen)
+        absent = expected.join(seen.where("reported or ended"), producer, "left_anti")
         placed = id_positions(queue, batch, [producer], "_pos")
         if absent.isEmpty():
             shared = cut(balance_batches(placed, producer, "_pos", expected))
         else:
-            shared = cut(placed.withColumn("consumer", F.lit(None).cast("bigint")))
+            shared = cut(placed.withColumn("consumer", F.lit(None).cast(expected.schema[producer].dataType)))
         handed = shared.where(F.col("consumer").isNotNull()).select(producer, batch, "consumer")
         handed.write.mode("overwrite").parquet(f"{path}/handed/batch={batch_id}")
         waiting = shared.where(F.col("consumer").isNull()).select(producer, batch)
         waiting.write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
+        if not handed.isEmpty():
+            seen = seen.withColumn("reported", F.lit(False))
+        seen.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
 
     run_batches(reports, each, "balance", checkpoint)
+
+
+def still_waiting(spark: SparkSession, path: str) -> DataFrame:
+    """The batches that wait after the newest micro-batch."""
+    waiting = f"{path}/waiting"
+    return spark.read.parquet(waiting).where(F.col("batch") == newest(spark, waiting, "batch")).drop("batch")

@@ -144,9 +144,9 @@ def snapshot_plus_watch(
     run_batches(changes, each, "snapshot", checkpoint)
 
 
-def stream_dedup(reports: DataFrame, keys: Sequence[str], ts: Column, delay: str) -> DataFrame:
-    """Drop reports that repeat a key within the watermark delay."""
-    return reports.withColumn("_at", ts).withWatermark("_at", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_at")
+def stream_dedup(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first report of each key, however late it or its repeats come. State is one key per report that was kept."""
+    return reports.dropDuplicates(list(keys))
 
 
 def user_state(events: DataFrame, key: str, start: dict, adjust: Callable[[dict, "pd.DataFrame"], dict]) -> DataFrame:  # noqa: F821

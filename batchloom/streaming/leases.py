@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.scalars import epoch_micros
-from batchloom.operators.carry import with_previous, with_running
+from batchloom.operators.carry import id_block, with_previous, with_running
+from batchloom.streaming.streams import run_batches
+
+DAY_US = 86_400_000_000
 
 
 def alive_intervals(beats: DataFrame, key: str, ts: str, ttl_seconds: int, order: str, block: Column) -> DataFrame:
     """Intervals in which a key is alive: each beat keeps it for ``ttl_seconds``.
 
-    ``order`` is a unique column that follows the time. A key that beats very often is cut into blocks.
+    ``order`` is a column that follows the time. A key that beats very often is cut into blocks.
     """
     at = beats.select(key, order, epoch_micros(F.col(ts)).alias("_us"))
     timed = with_previous(at, {"_us": "_before"}, [key], [order], block)
@@ -33,13 +36,36 @@ def alive_at(intervals: DataFrame, micros: Column) -> DataFrame:
     return intervals.where((F.col("start_us") <= micros) & (F.col("end_us") > micros))
 
 
-def stream_alive_intervals(beats: DataFrame, key: str, ts: str, ttl_seconds: int, delay: str) -> DataFrame:
-    """The same on a stream: an interval comes out once the watermark has passed its end."""
-    timed = beats.select(key, F.timestamp_micros(epoch_micros(F.col(ts))).alias("_at")).withWatermark("_at", delay)
-    sessions = timed.groupBy(key, F.session_window("_at", f"{ttl_seconds} seconds").alias("_s")).agg(F.count(F.lit(1)).alias("beats"))
-    return sessions.select(
-        key, F.unix_micros("_s.start").alias("start_us"), F.unix_micros("_s.end").alias("end_us"), "beats"
+def merged_intervals(pieces: DataFrame, key: str) -> DataFrame:
+    """Intervals ``(key, start_us, end_us, beats)`` from pieces that overlap or touch.
+
+    ``closed`` tells whether a beat of any key is as late as the interval's end, so that nobody can prolong it any more.
+    """
+    order, block = ["start_us", "end_us"], id_block("start_us", DAY_US)
+    whole = pieces.groupBy(key, "start_us", "end_us").agg(F.sum("beats").alias("beats"), F.max("last_us").alias("last_us"))
+    reach = with_running(whole, F.col("end_us"), "_reach", [key], order, block, "max", include_current=False)
+    starts = F.when(F.col("_reach").isNull() | (F.col("start_us") > F.col("_reach")), 1).otherwise(0)
+    numbered = with_running(reach.withColumn("_start", starts), F.col("_start"), "_interval", [key], order, block)
+    found = numbered.groupBy(key, "_interval").agg(
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("beats").alias("beats")
     )
+    return found.withColumn("closed", F.col("end_us") <= pieces.agg(F.max("last_us")).scalar()).drop("_interval")
+
+
+def watch_leases(beats: DataFrame, log: str, key: str, ts: str, ttl_seconds: int, checkpoint: str | None = None) -> None:
+    """The same on a stream: every micro-batch appends its own intervals to ``log``, a repeated one replaces itself.
+
+    :func:`merged_intervals` of the log gives the leases. There is no watermark: late beats join what they touch, and
+    open intervals are there too.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        timed = batch.select(key, ts, epoch_micros(F.col(ts)).alias("_at"))
+        own = alive_intervals(timed, key, ts, ttl_seconds, "_at", id_block("_at", DAY_US))
+        pieces = own.withColumn("last_us", F.col("end_us") - ttl_seconds * 1_000_000)
+        pieces.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    run_batches(beats, each, "leases", checkpoint)
 
 
 def expired_keys(beats: DataFrame, key: str, ts: str, ttl_seconds: int, delay: str) -> DataFrame:

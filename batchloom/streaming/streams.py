@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchloom.session import checkpoint_root, scratch
@@ -44,6 +45,12 @@ def run_batches(
     writer.trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
+def newest(spark: SparkSession, path: str, name: str) -> Column:
+    """The highest number ``n`` of the folders ``name=n``, by the names of their files, as a folder may hold no rows."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return reader.load(path).agg(F.max(F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("int"))).scalar()
+
+
 class RocksDB:
     """Use the RocksDB state store for the streams started inside the block."""
 

@@ -185,18 +185,66 @@ def test_balance_clients_servers(spark, n_clients, n_servers, per_client, per_se
     assert max(by_server) <= per_server
 
 
-def test_lookup_beyond_the_broadcast_size(spark):
-    rows = [(n, 0 if n % 3 else n % 40) for n in range(3000)]
+def test_lookup_with_hot_and_null_keys(spark):
+    rows = [(n, None if n % 5 == 0 else 0 if n % 3 else n % 40) for n in range(3000)]
     table = [(k, k * 10) for k in range(30)]
     left = spark.createDataFrame(rows, "n bigint, k bigint")
     right = spark.createDataFrame(table, "k bigint, v bigint")
     values = dict(table)
     for how in ("left", "inner"):
-        found = lookups.skewed_lookup(left, right, "k", how, small=0, salts=4).select("n", "k", "v")
+        found = lookups.skewed_lookup(left, right, "k", how, salts=4, hot_rows=500).select("n", "k", "v")
         expected = [(n, k, values.get(k)) for n, k in rows if how == "left" or k in values]
-        assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
-    hot = [r.k for r in lookups.hot_keys(left, "k", share=4).collect()]
-    assert hot == [0]
+        assert {tuple(r) for r in found.collect()} == set(expected) and found.count() == len(expected)
+    assert [r.k for r in lookups.hot_keys(left, "k", least=500).collect()] == [0]
+
+
+def test_pooled_slots(spark):
+    vectors = {k: [float(k), k * 0.5, 1.0] for k in range(20)}
+    rows = [(n, [n % 25, n % 7], [] if n % 2 else [n % 3] * 40, None, [0.5 * n]) for n in range(300)]
+    df = spark.createDataFrame(rows, "n bigint, a array<bigint>, b array<bigint>, c array<bigint>, d array<double>")
+    table = spark.createDataFrame(list(vectors.items()), "id bigint, vec array<float>")
+    found = lookups.embedding_lookup_pool(df, "n", ["a", "b", "c"], "d", table, 3, hot_rows=100, salts=3).collect()
+
+    def mean(ids):
+        known = [vectors[i] for i in ids or [] if i in vectors]
+        return np.mean(known, axis=0) if known else np.zeros(3)
+
+    assert len(found) == 300
+    for r in found:
+        assert np.allclose(r.features, [*mean(r.a), *mean(r.b), *mean(r.c), *r.d])
+
+
+def test_chunks_of_any_width(spark):
+    records = [(f, n) for f in (0, 1) for n in range(0, 5000, 7)]
+    chunks = [(0, 0, 6, "a"), (0, 10, 4999, "b"), (1, 100, 100_000_000_000, "c"), (1, 105, 105, "d"), (1, 50, 49, "e")]
+    found = lookups.record_range_lookup(
+        spark.createDataFrame(records, "f int, n bigint"), spark.createDataFrame(chunks, "f int, begin bigint, end bigint, c string"), "f", "n", 8
+    )
+    assert pairs(found.select("c", "n")) == sorted((c, n) for f, b, e, c in chunks for g, n in records if f == g and b <= n <= e)
+
+
+def test_bad_lines_are_set_aside(spark, tmp_path):
+    (tmp_path / "clicks").write_text("1 0.5 7 8\n0 x 7 8\n1 0.5 7\n\n0 1 2 3\n")
+    good, bad = text.read_ctr_records(spark, str(tmp_path / "clicks"), 1, 2)
+    assert pairs(good) == [([0.5], [7], [8], 1), ([1.0], [2], [3], 0)]
+    assert pairs(bad) == [("", 1), ("0 x 7 8", 4), ("1 0.5 7", 3)]
+    (tmp_path / "images").write_text("a.JPEG 3\nb.JPEG\nc.JPEG x\n")
+    good, bad = text.read_labelled_list(spark, str(tmp_path / "images"), "train", "r")
+    assert pairs(good) == [("r/train/a.jpeg", 3)] and pairs(bad) == [("b.JPEG",), ("c.JPEG x",)]
+
+
+def test_first_members_of_a_hot_job(spark):
+    members = spark.range(5000).select((F.col("id") % 100 == 0).cast("int").alias("job"), F.col("id").alias("member"))
+    found = windows.limit_members(members, "job", "member", 1200, 8)
+    hot = [n for n in range(5000) if n % 100][:1200]
+    assert pairs(found) == sorted([(0, n, k) for k, n in enumerate(hot)] + [(1, n * 100, n) for n in range(50)])
+
+
+def test_late_and_open_leases_merge(spark):
+    pieces = [("a", 0, 100, 1, 0), ("a", 250, 350, 1, 250), ("a", 90, 260, 3, 160), ("b", 400, 500, 1, 400), ("b", 501, 601, 1, 501)]
+    df = spark.createDataFrame(pieces, "k string, start_us long, end_us long, beats long, last_us long")
+    found = leases.merged_intervals(df, "k").select("k", "start_us", "end_us", "beats", "closed")
+    assert pairs(found) == [("a", 0, 350, 5, True), ("b", 400, 500, 1, True), ("b", 501, 601, 1, False)]
 
 
 def test_lists_round_trip(spark):
@@ -324,7 +372,8 @@ def test_membership_changes(spark):
 def test_barrier(spark):
     members = spark.createDataFrame([("s", "a"), ("s", "b")], "stage string, pod string")
     nobody = spark.createDataFrame([], "pod string")
-    one = metrics.barrier_complete(members.where("pod = 'a'"), nobody, members, "stage", "pod")
+    strangers = members.where("pod = 'a'").unionByName(spark.createDataFrame([("s", "x")], "stage string, pod string"))
+    one = metrics.barrier_complete(strangers, nobody, members, "stage", "pod")
     assert [tuple(r) for r in one.select("missing", "complete").collect()] == [(1, False)]
     both = metrics.barrier_complete(members, nobody, members, "stage", "pod")
     assert [tuple(r) for r in both.select("missing", "complete").collect()] == [(0, True)]
@@ -348,11 +397,11 @@ def test_linear_fit_of_many_features(spark):
     assert model.intercept == pytest.approx(2.5, abs=1e-6)
 
 
-def test_vocabulary_beyond_the_broadcast_size(spark):
+def test_vocabulary_with_hot_words(spark):
     docs = spark.createDataFrame([(n, "the cat the dog" if n % 2 else "the xyz") for n in range(200)] + [(200, "")], "d bigint, t string")
     words = spark.createDataFrame([("the", 0), ("cat", 1), ("[UNK]", 2)], "word string, id bigint")
-    for small in (0, 100):
-        found = lookups.vocab_lookup(docs, "d", text.words(F.col("t")), words, small=small).collect()
+    for hot_rows in (10, 1000):
+        found = lookups.vocab_lookup(docs, "d", text.words(F.col("t")), words, hot_rows=hot_rows).collect()
         assert {r.d: r.ids for r in found} == {n: [0, 1, 0, 2] if n % 2 else [0, 2] for n in range(200)} | {200: []}
 
 
