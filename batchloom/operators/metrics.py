@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.functions.scalars import epoch_micros
+from batchloom.functions.scalars import cpu_quantity, epoch_micros
 from batchloom.operators.positions import grouped_positions, range_positions
 
 ROLES = ("master", "pserver", "trainer")  # fixed values: the roles of a job's pods
@@ -91,6 +91,14 @@ def utilisation(pods: DataFrame, phase: str, requested: Column, allocatable: Col
     return pods.groupBy(*group).agg(used.alias("_used")).select(*group, percent.alias("utilisation"))
 
 
+def container_requests(containers: Column) -> tuple[Column, Column]:
+    """Thousandths of a CPU and GPUs that the containers ``(cpu, gpu)`` of a pod ask for; a CPU text is ``2`` or ``250m``, absent is 0."""
+    none = F.lit(0).cast("bigint")
+    cpu = F.aggregate(containers, none, lambda a, c: a + F.round(cpu_quantity(c["cpu"]) * 1000).cast("bigint"))
+    gpu = F.aggregate(containers, none, lambda a, c: a + F.coalesce(c["gpu"], none))
+    return F.coalesce(cpu, none), F.coalesce(gpu, none)
+
+
 def run_summary(scores: DataFrame, run: str, score: str) -> DataFrame:
     """Best score of each run, next to the average and the maximum over runs."""
     best = scores.groupBy(run).agg(F.max(score).alias("best"))

@@ -106,6 +106,22 @@ def utilisation(spark, sf):
     return cpu.join(gpu, "role")
 
 
+@query(f"""WITH {PODS} SELECT role, printf('%.2f', 100.0 * sum(CASE WHEN phase = 'Running' THEN round(value * 1000)::BIGINT + event_id % 4 * 1000 ELSE 0 END) / 99999999.0) AS cpu,
+  printf('%.2f', 100.0 * sum(CASE WHEN phase = 'Running' THEN event_id % 3 ELSE 0 END) / 64.0) AS gpu FROM pods GROUP BY role""")
+def container_utilisation(spark, sf):
+    """Pods of two containers: one asks for thousandths of a CPU and some GPUs, one for whole CPUs or nothing."""
+    cores = F.col("event_id") % 4
+    milli = F.concat(F.round(F.col("value") * 1000).cast("bigint").cast("string"), F.lit("m"))
+    containers = F.array(
+        F.struct(milli.alias("cpu"), (F.col("event_id") % 3).alias("gpu")),
+        F.struct(F.when(cores > 0, cores.cast("string")).alias("cpu"), F.lit(None).cast("bigint").alias("gpu")),
+    )
+    rows = pods(spark, sf).withColumn("containers", containers)
+    cpu, gpu = metrics.container_requests(F.col("containers"))
+    used = metrics.utilisation(rows, "phase", cpu, F.lit(99999999.0), ["role"]).withColumnRenamed("utilisation", "cpu")
+    return used.join(metrics.utilisation(rows, "phase", gpu, F.lit(64.0), ["role"]).withColumnRenamed("utilisation", "gpu"), "role")
+
+
 @query(f"""WITH {DAYS}, b AS (SELECT user_id, max(value) AS best FROM ev GROUP BY user_id)
 SELECT user_id, best, (SELECT round(avg(best), 6) FROM b) AS mean_best, (SELECT max(best) FROM b) AS max_best FROM b""")
 def run_summary(spark, sf):

@@ -9,7 +9,7 @@ from batchloom.operators import batching, filters, lookups, metrics, ranges, set
 from batchloom.plans.batching import QUEUED, WORDS, array_sum, supplier_batch_data
 from batchloom.plans.registry import query
 from batchloom.plans.sharding import supplier_batches
-from batchloom.plans.sources import DOC_LINES
+from batchloom.plans.sources import DOC_LINES, PLACE_SUM, place_sum
 from batchloom.operators.positions import id_positions
 from batchloom.session import spread, table
 from batchloom.sources.text import drop_blank_records as drop_blank
@@ -22,11 +22,14 @@ def drop_blank_records(spark, sf):
     return drop_blank(lines, "value").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-@query("SELECT vec_id, len(embedding) AS dim, embedding[1]::DOUBLE AS first_value FROM embeddings")
+@query(f"SELECT vec_id, len(embedding) AS dim, embedding[1]::DOUBLE AS first_value, {PLACE_SUM} AS place_sum FROM embeddings")
 def select_feeds(spark, sf):
     fed = filters.select_feeds(table(spark, sf, "embeddings"), ["vec_id"], {"img": "embedding"})
     return fed.select(
-        "vec_id", F.size("feed.img").cast("bigint").alias("dim"), F.col("feed.img")[0].cast("double").alias("first_value")
+        "vec_id",
+        F.size("feed.img").cast("bigint").alias("dim"),
+        F.col("feed.img")[0].cast("double").alias("first_value"),
+        place_sum(F.col("feed.img")).alias("place_sum"),
     )
 
 
@@ -152,8 +155,8 @@ def vocab_lookup(spark, sf):
 
 @query("""WITH p AS (SELECT c_custkey, s, unnest([(c_custkey * (s + 1)) % 601, (c_custkey + s * 7) % 601]) AS id FROM customer, range(26) t(s)),
   j AS (SELECT c_custkey, s, embedding FROM p LEFT JOIN embeddings ON p.id = vec_id),
-  g AS (SELECT c_custkey, s, greatest(count(embedding), 1) AS n, sum(coalesce(embedding[1], 0)::DOUBLE) AS a, sum(coalesce(embedding[64], 0)::DOUBLE) AS z FROM j GROUP BY ALL)
-SELECT c_custkey, 26 * 64 + 2 AS n_features, round(sum(a / n), 6) + 0.0 AS first_sum, round(sum(z / n), 6) + 0.0 AS last_sum, c_custkey * 2.0 AS last_dense
+  g AS (SELECT c_custkey, s, greatest(count(embedding), 1) AS n, sum(coalesce(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 0)) AS w, sum(coalesce(embedding[1], 0)::DOUBLE) AS a, sum(coalesce(embedding[64], 0)::DOUBLE) AS z FROM j GROUP BY ALL)
+SELECT c_custkey, 26 * 64 + 2 AS n_features, round(sum(w / n), 6) + 0.0 AS place_sum, round(sum(a / n), 6) + 0.0 AS first_sum, round(sum(z / n), 6) + 0.0 AS last_sum, c_custkey * 2.0 AS last_dense
 FROM g GROUP BY c_custkey""")
 def embedding_lookup_pool(spark, sf):
     key = F.col("c_custkey")
@@ -167,9 +170,11 @@ def embedding_lookup_pool(spark, sf):
         places = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda s: F.get("features", s * 64 + place))
         return F.round(F.aggregate(places, F.lit(0.0), lambda a, x: a + x), 6) + 0.0
 
+    placed = F.transform(F.slice("features", 1, 26 * 64), lambda x, i: x * (i % 64 + 1))
     return pooled.select(
         "c_custkey",
         F.size("features").alias("n_features"),
+        (F.round(F.aggregate(placed, F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("place_sum"),
         slot_sum(0).alias("first_sum"),
         slot_sum(63).alias("last_sum"),
         F.element_at("features", -1).alias("last_dense"),

@@ -166,8 +166,15 @@ def quarantine_ctr_records(spark, sf):
     return both.groupBy("n_fields", "good").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-VECTOR_ROWS = """SELECT vec_id, len(embedding) AS dim, embedding[1]::DOUBLE AS first_value,
-       embedding[len(embedding)]::DOUBLE AS last_value FROM embeddings"""
+PLACE_SUM = "round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 6) + 0.0"
+VECTOR_ROWS = f"""SELECT vec_id, len(embedding) AS dim, embedding[1]::DOUBLE AS first_value,
+       embedding[len(embedding)]::DOUBLE AS last_value, {PLACE_SUM} AS place_sum FROM embeddings"""
+
+
+def place_sum(vector):
+    """One number that depends on every element of a vector and its place."""
+    weighed = F.transform(vector.cast("array<double>"), lambda x, i: x * (i + 1))
+    return F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 6) + 0.0
 
 
 def vector_rows(df):
@@ -176,6 +183,7 @@ def vector_rows(df):
         F.size("embedding").cast("bigint").alias("dim"),
         F.col("embedding")[0].cast("double").alias("first_value"),
         F.element_at("embedding", -1).cast("double").alias("last_value"),
+        place_sum(F.col("embedding")).alias("place_sum"),
     )
 
 
@@ -196,12 +204,15 @@ def read_sequence_file(spark, sf):
     return vector_rows(unpacked(binary.read_sequence_file(spark, path)))
 
 
-@query("SELECT count(*) AS n_rows, sum(len(embedding) * 4 + 8)::BIGINT AS n_bytes FROM embeddings")
+@query(f"SELECT vec_id, len(embedding) * 4 + 8 AS n_bytes, {PLACE_SUM} AS place_sum FROM embeddings")
 def write_embedding_seqfile(spark, sf):
     path = scratch(spark, "dump")
     binary.write_sequence_file(packed(spark, sf), path)
     back = binary.read_sequence_file(spark, path)
-    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("key") + F.length("value")).alias("n_bytes"))
+    rows = back.withColumn("n_bytes", (F.length("key") + F.length("value")).cast("bigint"))
+    return rows.select(
+        binary.unpack_key(F.col("key")).alias("vec_id"), "n_bytes", place_sum(binary.unpack_vector(F.col("value"))).alias("place_sum")
+    )
 
 
 @query(VECTOR_ROWS)
@@ -211,17 +222,15 @@ def read_raw_kv(spark, sf):
     return vector_rows(unpacked(binary.read_raw_kv(spark, path)))
 
 
-@query("SELECT count(*) AS n_rows, 0 AS large_files, count(*) // 128 + (count(*) % 128 > 0)::INT AS min_files FROM embeddings")
+@query(f"SELECT vec_id, {PLACE_SUM} AS place_sum, true AS small_files FROM embeddings")
 def write_raw_kv(spark, sf):
+    """All pairs as they are read back, and whether no file has more than its 128."""
     path = scratch(spark, "rawkv")
     binary.write_raw_kv(packed(spark, sf), path, rows_per_file=128)
     # a pair of this table takes 8 key bytes, 256 value bytes and 8 length bytes
-    sizes = spark.read.format("binaryFile").load(path).select((F.col("length") / 272).alias("n"))
-    return sizes.agg(
-        F.sum("n").cast("bigint").alias("n_rows"),
-        F.count_if(F.col("n") > 128).cast("int").alias("large_files"),
-        F.ceil(F.sum("n") / 128).alias("min_files"),
-    )
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length") <= 128 * 272).scalar()
+    rows = unpacked(binary.read_raw_kv(spark, path))
+    return rows.select("vec_id", place_sum(F.col("embedding")).alias("place_sum"), largest.alias("small_files"))
 
 
 @query("""WITH c AS (SELECT *, dense_rank() OVER (ORDER BY l_orderkey // 1000) - 1 AS idx FROM lineitem)
@@ -271,12 +280,17 @@ def declare_feed_schema(spark, sf):
     return files.feed_violations(samples, feeds)
 
 
-@query("SELECT count(*) AS n_rows, 0 AS large_files FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, true AS small_files FROM lineitem")
 def write_chunks(spark, sf):
+    """All rows as they are read back, and whether no file has more than its 5000."""
     path = scratch(spark, "chunks")
     files.write_chunks(table(spark, sf, "lineitem"), path, 5000)
-    sizes = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 5000).cast("int").alias("large_files"))
+    chunks = spark.read.parquet(path)
+    sizes = chunks.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.agg(F.max("n") <= 5000).scalar()
+    return chunks.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", small.alias("small_files")
+    )
 
 
 @query("""SELECT CASE WHEN vec_id % 2 = 0 THEN 'base' ELSE 'patch' END AS kind, '20240131' AS day, count(*) AS n_rows,
