@@ -23,15 +23,16 @@ def id_block(column: str, width: int = 1 << 18) -> Column:
     return F.expr(f"`{column}` div {width}")
 
 
-def over_earlier(blocks: DataFrame, group: Sequence[str], how: str = "sum") -> DataFrame:
+def over_earlier(blocks: DataFrame, group: Sequence[str], how: str = "sum", dense: bool = False) -> DataFrame:
     """``group, _block, _carry``: sum or max of ``_total`` over the earlier blocks of the group, null for its first.
 
     ``blocks`` has a row per group and block. Integer blocks have two levels of parents above them; each
-    window runs among the children of one parent, and what is before the parent is added.
+    window runs among the children of one parent, and what is before the parent is added. Blocks of ``dense`` positions need
+    no parents, as there is one for each 262,144 positions only.
     """
     aggregate = {"sum": F.sum, "max": F.max}[how]
     levels = [blocks]
-    if dict(blocks.dtypes)["_block"] in ("int", "bigint"):
+    if not dense and dict(blocks.dtypes)["_block"] in ("int", "bigint"):
         for _ in range(2):
             parents = levels[-1].withColumn("_block", F.shiftright("_block", DIGIT))
             levels.append(parents.groupBy(*group, "_block").agg(aggregate("_total").alias("_total")))
@@ -82,13 +83,17 @@ def with_running(
     block: Column,
     how: str = "sum",
     include_current: bool = True,
+    dense: bool = False,
 ) -> DataFrame:
-    """Add the running ``sum`` or ``max`` of ``value`` along the order, with or without the current row."""
+    """Add the running ``sum`` or ``max`` of ``value`` along the order, with or without the current row.
+
+    ``dense`` says that the blocks are those of positions without gaps.
+    """
     aggregate = {"sum": F.sum, "max": F.max}[how]
     rows = df.withColumn("_block", block).withColumn("_value", value)
     keys = [*group, "_block"]
     totals = rows.groupBy(*keys).agg(aggregate("_value").alias("_total"))
-    carry = over_earlier(totals, group, how)
+    carry = over_earlier(totals, group, how, dense)
     inside = aggregate("_value").over(
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
@@ -101,7 +106,7 @@ def with_running(
 
 
 def with_latest(
-    points: DataFrame, marks: DataFrame, group: Sequence[str], at: str, payload: str, width: int = 1 << 18
+    points: DataFrame, marks: DataFrame, group: Sequence[str], at: str, payload: str, width: int = 1 << 18, dense: bool = False
 ) -> DataFrame:
     """As-of lookup: the ``payload`` struct of the last mark at or before each point, per group.
 
@@ -111,5 +116,5 @@ def with_latest(
     line = points.withColumn("_kind", F.lit(1)).unionByName(
         marks.select(*group, at, F.lit(0).alias("_kind"), F.col(payload).alias("_mark")), allowMissingColumns=True
     )
-    found = with_running(line, F.col("_mark"), payload, group, [at, "_kind"], id_block(at, width), "max")
+    found = with_running(line, F.col("_mark"), payload, group, [at, "_kind"], id_block(at, width), "max", dense=dense)
     return found.where(F.col("_kind") == 1).select(*points.columns, payload)

@@ -113,7 +113,7 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
         "_rank",
     )
     for amount in ("_over", "_short"):
-        levels = with_running(levels, F.col(amount), f"{amount}_from", [], ["_rank"], id_block("_rank"), include_current=False)
+        levels = with_running(levels, F.col(amount), f"{amount}_from", [], ["_rank"], id_block("_rank"), include_current=False, dense=True)
     levels = cut(levels)  # one row per member, read three times below
     shares = levels.select("_m", "_share", "_over_from")
     queued = batches.join(shares, F.col(producer) == F.col("_m"))
@@ -124,7 +124,7 @@ def balance_batches(batches: DataFrame, producer: str, pos: str, members: DataFr
     )
     gap = F.struct(F.col("_short_from").alias("start"), (F.col("_short_from") + F.col("_short")).alias("end"), F.col("_m").alias("who"))
     gaps = levels.where(F.col("_short") > 0).select(F.col("_short_from").alias("_at"), gap.alias("_open"))
-    filled = with_latest(surplus, gaps, [], "_at", "_open")
+    filled = with_latest(surplus, gaps, [], "_at", "_open", dense=True)  # the surplus is numbered without gaps
     taken = filled.withColumn("consumer", F.when(F.col("_at") < F.col("_open.end"), F.col("_open.who")))
     columns = [*batches.columns, "consumer"]
     return own.select(columns).unionByName(taken.select(columns)).unionByName(strangers.select(columns))
