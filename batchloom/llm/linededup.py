@@ -1,4 +1,4 @@
-"""Line deduplication: documents that share rare lines are aligned by patience diff; later copies of common blocks go."""
+"""Line deduplication: documents that share runs of lines are aligned by patience diff; later copies of common blocks go."""
 
 from __future__ import annotations
 
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import store, text_bytes
 
-RARE = 100
+RARE = 100  # not used by the operator: every shared run leads to a partner
 BLOCK_WORDS = 20
+PRIME = (1 << 127) - 1
+BASE = 0x2545F4914F6CDD1D9E3779B97F4A7C15 % PRIME
 
 
 def line_keys(data: bytes) -> list[bytes]:
@@ -27,6 +29,44 @@ def sequence_key(keys: Sequence[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b"".join(keys))
 
 
+def spans(words: Sequence[int], least_words: int) -> list[tuple[int, int]]:
+    """Shortest runs of lines ``[start, end)`` with ``least_words`` words: from every line on, and up to every line.
+
+    Every line of a block of that many words is in a run inside the block: in the first line's run, or in the run
+    that ends with the line.
+    """
+    found = set()
+    total = end = 0
+    for start in range(len(words)):
+        while end < len(words) and (total < least_words or end == start):
+            total, end = total + words[end], end + 1
+        if total < least_words:
+            break
+        found.add((start, end))
+        total -= words[start]
+    total, start = 0, len(words)
+    for end in range(len(words), 0, -1):
+        while start > 0 and (total < least_words or start == end):
+            start -= 1
+            total += words[start]
+        if total < least_words:
+            break
+        found.add((start, end))
+        total -= words[end - 1]
+    return sorted(found)
+
+
+def run_keys(keys: Sequence[bytes], runs: Sequence[tuple[int, int]]) -> list[bytes]:
+    """127-bit hashes of runs of lines, from running sums, so that long runs of empty lines cost no more."""
+    if not runs:
+        return []
+    sums, powers = [0], [1]
+    for key in keys:
+        sums.append((sums[-1] * BASE + int.from_bytes(key, "little")) % PRIME)
+        powers.append(powers[-1] * BASE % PRIME)
+    return [((sums[end] - sums[start] * powers[end - start]) % PRIME).to_bytes(16, "little") for start, end in runs]
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, given by rising first part, whose second parts rise too (patience sorting)."""
     tops: list[int] = []
@@ -109,15 +149,27 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chosen.mapInArrow(rows, f"doc_id {kind}, seq binary, keys array<binary>, words array<int>")
 
 
-def common_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_words: int = BLOCK_WORDS
-) -> DataFrame:
+def with_runs(each: DataFrame, least_words: int) -> DataFrame:
+    """``(id, seq, runs)``: the different hashes of each document's shortest runs of ``least_words`` words."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("keys").to_pylist(), batch.column("words").to_pylist())
+            runs = [list(dict.fromkeys(run_keys(keys, spans(words, least_words)))) for keys, words in pairs]
+            columns = [batch.column("id"), batch.column("seq"), pa.array(runs, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "seq", "runs"])
+
+    kind = dict(each.dtypes)["id"]
+    return each.select("id", "seq", "keys", "words").mapInArrow(rows, f"id {kind}, seq binary, runs array<binary>")
+
+
+def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, seq, n_lines, removed)`` for every row; ``removed`` has the numbers of the lines that go.
 
     Documents with the same lines are one; all but the one with the smallest id lose every line if they have
-    ``least_words`` words. Each other document is aligned with the first document of every line that it shares,
-    if the line is rare (in at most ``rare`` different documents) or the rarest that it shares; so each line leads to one
-    partner, and no group of documents is paired with itself. Aligned blocks of ``least_words`` words or more
+    ``least_words`` words. Each other document is aligned with the first document of every shortest run of lines with
+    ``least_words`` words that it shares, however many documents hold the run; so each run leads to one partner, and no
+    group of documents is paired with itself. Common blocks of ``least_words`` words or more
     go from the later document. All is judged on the input.
 
     Null texts are one empty line. Rows without an id come after all others. Rows that repeat an id are told apart by their
@@ -127,18 +179,14 @@ def common_lines(
     several = lines.groupBy("seq").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("words").alias("words"))
     each = store(several, "different")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "seq").alias("o")
-    shown = each.select(order, F.explode(F.array_distinct("keys")).alias("key"))
+    shown = with_runs(each, least_words).select(order, F.explode("runs").alias("key"))
     shared = (
         shown.groupBy(F.col("key").alias("of_key")).agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first")).where("n > 1")
     )
     partners = (
         shown.join(shared, F.col("key") == F.col("of_key"))
         .where("o > first")
-        .groupBy("o.seq")
-        .agg(F.collect_set(F.struct("n", F.col("first.seq").alias("with"))).alias("found"))
-        .withColumn("least", F.array_min(F.transform("found", lambda x: x["n"])))
-        .select("seq", F.explode(F.filter("found", lambda x: (x["n"] <= rare) | (x["n"] == F.col("least")))).alias("f"))
-        .select("seq", "f.with")
+        .select("o.seq", F.col("first.seq").alias("with"))
         .distinct()
     )
     later = each.select("seq", F.col("keys").alias("b"), "words")

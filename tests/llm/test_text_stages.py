@@ -202,6 +202,56 @@ def test_line_blocks_go_from_the_later(spark):
     assert got == {4: [], 5: [], 9: [1, 2, 3, 4, 5]}
 
 
+def plain_blocks(docs_by_id, least=linededup.BLOCK_WORDS):
+    """Lines in runs of ``least`` words that an earlier document has somewhere, without partners or alignment."""
+    lines = {k: [x.strip(" \t\n\r\x0b\x0c") for x in (t or "").split("\n")] for k, t in docs_by_id.items()}
+    first, held, out = {}, set(), {}
+    for k, own in sorted(lines.items()):
+        count = [len(WORD.findall(x)) for x in own]
+        if tuple(own) in first:
+            out[k] = list(range(len(own))) if sum(count) >= least else []
+            continue
+        first[tuple(own)] = k
+        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(count[i:j]) >= least]
+        out[k] = sorted({x for i, j in runs if tuple(own[i:j]) in held for x in range(i, j)})
+        held |= {tuple(own[i:j]) for i, j in runs}
+    return out
+
+
+def removed_lines(spark, made):
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    return {r["doc_id"]: r["removed"] for r in rows(linededup.common_lines(df))}
+
+
+def test_frequent_passages_and_runs_of_scattered_lines(spark):
+    rng = random.Random(12)
+    passage, other = words(rng, 25), words(rng, 9)
+    made = {i: f"{words(rng, 9)}\n{passage}" for i in range(150)}
+    made |= {200: other, 201: f"{other}\n{words(rng, 9)}\n{passage}"}  # the rarest line leads to 200 only
+    block = [words(rng, 8) for _ in range(4)]
+    made |= {300 + i: f"{x}\n{words(rng, 9)}" for i, x in enumerate(block)}  # each line of the block alone
+    made |= {400: "\n".join([words(rng, 9), *block]), 401: "\n".join([*block, words(rng, 9)])}
+    got = removed_lines(spark, made)
+    assert got == plain_blocks(made)
+    assert got[201] == [2] and got[401] == [0, 1, 2, 3]
+
+
+def test_runs_cover_every_block():
+    rng = random.Random(13)
+    for _ in range(300):
+        count = [rng.choice((0, 0, 1, 3, 8, 20, 25)) for _ in range(rng.randint(0, 14))]
+        found = linededup.spans(count, 20)
+        assert all(sum(count[i:j]) >= 20 for i, j in found)
+        for i in range(len(count)):
+            for j in range(i + 1, len(count) + 1):
+                if sum(count[i:j]) >= 20:
+                    assert {x for a, b in found if i <= a and b <= j for x in range(a, b)} == set(range(i, j))
+    keys = linededup.line_keys(b"a\nb\na\nb\nc")
+    runs = [(0, 2), (2, 4), (1, 3), (0, 1)]
+    got = linededup.run_keys(keys, runs)
+    assert got[0] == got[1] and len(set(got)) == 3
+
+
 def slow_targets(sizes, epochs=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
