@@ -114,19 +114,39 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def shared_runs(earlier: Sequence[bytes], later: Sequence[bytes], words: Sequence[int], least_words: int) -> set[int]:
+    """Lines of ``later`` in runs of ``least_words`` words that stand anywhere in ``earlier``, in any order and number."""
+    known = dict(zip(later, words))
+    held: set[bytes] = set()
+    start = 0
+    for end in range(len(earlier) + 1):  # stretches of lines that ``later`` has too
+        if end == len(earlier) or earlier[end] not in known:
+            stretch = earlier[start:end]
+            held.update(run_keys(stretch, spans([known[x] for x in stretch], least_words)))
+            start = end + 1
+    runs = spans(words, least_words) if held else []
+    return {x for (i, j), key in zip(runs, run_keys(later, runs)) if key in held for x in range(i, j)}
+
+
 def common_blocks(earlier: Sequence, later: Sequence, words: Sequence[int], least_words: int) -> list[int]:
-    """Lines of ``later`` in aligned blocks, consecutive on both sides, that hold at least ``least_words`` words."""
-    gone: list[int] = []
+    """Lines of ``later`` in blocks, consecutive on both sides, that hold at least ``least_words`` words.
+
+    The alignment leaves out gaps without unique lines, passages that stand twice and passages in another order; these
+    are found by their runs.
+    """
+    gone: set[int] = set()
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(earlier, later), (-1, -1)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[x] for x in block) >= least_words:
-                gone += block
+                gone.update(block)
             block = []
         block.append(j)
         last = (i, j)
-    return gone
+    if len(gone) < len(later):
+        gone |= shared_runs(earlier, later, words, least_words)
+    return sorted(gone)
 
 
 def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -236,6 +236,24 @@ def test_frequent_passages_and_runs_of_scattered_lines(spark):
     assert got[201] == [2] and got[401] == [0, 1, 2, 3]
 
 
+def test_passages_that_stand_twice_or_in_another_order(spark):
+    rng = random.Random(14)
+    line, block = words(rng, 22), "\n".join(words(rng, 12) for _ in range(3))
+    other = lambda: words(rng, 9)
+    made = {1: "\n".join([other(), line, other(), other()]), 2: "\n".join([other(), line, other(), line, other()])}
+    made |= {3: "\n".join([other(), block, other(), block, other()]), 4: "\n".join([other(), other(), block, other()])}
+    made |= {5: "\n".join([other(), block, other(), line, other()]), 6: "\n".join([other(), line, other(), block, other()])}
+    got = removed_lines(spark, made)
+    assert got == plain_blocks(made) and got[2] == [1, 3] and got[4] == [2, 3, 4]
+    for _ in range(200):
+        pool = [words(rng, n) for n in (0, 0, 4, 8, 8, 13, 21)]
+        made = {k: "\n".join(rng.choices(pool, k=rng.randint(1, 12))) for k in (1, 2)}
+        keys = {k: linededup.line_keys(t.encode()) for k, t in made.items()}
+        count = [len(x.split()) for x in made[2].split("\n")]
+        if keys[1] != keys[2]:
+            assert linededup.common_blocks(keys[1], keys[2], count, 20) == plain_blocks(made)[2]
+
+
 def test_runs_cover_every_block():
     rng = random.Random(13)
     for _ in range(300):
