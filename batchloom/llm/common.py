@@ -30,6 +30,11 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def text_ref(text: Column) -> Column:
+    """128-bit hash of a text, null as empty: with the id it tells rows apart whose id is null or repeats."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def same_columns(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     """Null-safe equality of the named column pairs."""
     result = None

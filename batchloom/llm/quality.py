@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import store, text_bytes
+from batchloom.llm.common import store, text_bytes, text_ref
 
 SYMBOLS = b"#*$%&|<>"
 NOT_COUNTED = b" \t\n\r\x0b\x0c" + bytes(range(0x80, 0xC0))  # white space, and bytes inside a code point
@@ -71,20 +71,21 @@ def measured_lines(docs: DataFrame, id_col: str, host_col: str, text_col: str) -
     chosen = docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")
     )
+    chosen = chosen.withColumn("ref", text_ref(F.col("text")))
     kind = dict(chosen.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, host string, {MEASURES}, text_key long, line_keys array<long>, line_words array<int>"
+    schema = f"doc_id {kind}, host string, ref binary, {MEASURES}, text_key long, line_keys array<long>, line_words array<int>"
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = text_bytes(batch)
             made = [measure(x) for x in data]
             lines = [[x for x in d.split(b"\n") if x.strip()] for d in data]
-            columns = [batch.column("doc_id"), batch.column("host")]
+            columns = [batch.column("doc_id"), batch.column("host"), batch.column("ref")]
             columns += [pa.array([m[i] for m in made], pa.int64()) for i in range(5)]
             columns.append(pa.array([line_key(b"\n".join(x)) for x in lines], pa.int64()))
             columns.append(pa.array([[line_key(x) for x in own] for own in lines], pa.list_(pa.int64())))
             columns.append(pa.array([[len(x.split()) for x in own] for own in lines], pa.list_(pa.int32())))
-            names = ["doc_id", "host", *(m.split()[0] for m in MEASURES.split(", ")), "text_key", "line_keys", "line_words"]
+            names = ["doc_id", "host", "ref", *(m.split()[0] for m in MEASURES.split(", ")), "text_key", "line_keys", "line_words"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return chosen.mapInArrow(rows, schema)
@@ -131,12 +132,13 @@ def quality_rules(
     lines = store(measured_lines(docs, id_col, host_col, text_col), "lines")
     often = frequent_lines(lines, least_documents, share)
     found = (
-        lines.select("doc_id", F.col("host").alias("in_host"), F.explode(F.array_distinct("line_keys")).alias("key"))
+        lines.select("doc_id", F.col("host").alias("in_host"), "ref", F.explode(F.array_distinct("line_keys")).alias("key"))
         .join(often, F.col("in_host").eqNullSafe(F.col("host")) & (F.col("key") == F.col("line")), "left_semi")
-        .groupBy(F.col("doc_id").alias("found_id"), F.col("in_host").alias("found_host"))
+        .groupBy(F.col("doc_id").alias("found_id"), F.col("in_host").alias("found_host"), F.col("ref").alias("found_ref"))
         .agg(F.sort_array(F.collect_set("key")).alias("frequent"))
     )
-    both = lines.join(found, lines["doc_id"].eqNullSafe(found["found_id"]) & lines["host"].eqNullSafe(found["found_host"]), "left")
+    same = lines["doc_id"].eqNullSafe(found["found_id"]) & lines["host"].eqNullSafe(found["found_host"])
+    both = lines.join(found, same & (lines["ref"] == found["found_ref"]), "left")
     left = F.aggregate(
         F.zip_with(
             "line_keys", "line_words", lambda key, words: F.when(F.array_contains("frequent", key), F.lit(0)).otherwise(words)
@@ -155,6 +157,7 @@ def quality_rules(
         "words_left",
         F.coalesce("frequent", F.array().cast("array<bigint>")).alias("frequent"),
         "host",
+        "ref",
     )
 
 
@@ -162,12 +165,13 @@ def apply_quality(docs: DataFrame, **settings) -> DataFrame:
     """The kept rows of ``docs`` without their too frequent lines, with the columns of ``docs``."""
     id_col, host_col, text_col = (settings.get(k, d) for k, d in (("id_col", "doc_id"), ("host_col", "source"), ("text_col", "text")))
     judged = store(quality_rules(docs, **settings), "judged")
-    # repeated ids: a row goes with the verdict on its own measures only if these tell the rows apart, so all texts of an id must fail
-    verdict = judged.groupBy(F.col("doc_id").alias("_v_id"), F.col("host").alias("_v_host")).agg(
-        F.max("kept").alias("_v_kept"), F.first("frequent").alias("_v_frequent")
+    # rows that share id, host and text have one verdict
+    verdict = judged.groupBy(F.col("doc_id").alias("_v_id"), F.col("host").alias("_v_host"), F.col("ref").alias("_v_ref")).agg(
+        F.first("kept").alias("_v_kept"), F.first("frequent").alias("_v_frequent")
     )
     touched = verdict.where(~F.col("_v_kept") | (F.size("_v_frequent") > 0))
     match = docs[id_col].eqNullSafe(touched["_v_id"]) & docs[host_col].cast("string").eqNullSafe(touched["_v_host"])
+    match &= text_ref(docs[text_col]) == touched["_v_ref"]
     kept = docs.join(touched, match, "left").where(F.coalesce("_v_kept", F.lit(True)))
     without = drop_lines(F.col(text_col), F.col("_v_frequent"))
     return kept.select(*[(without if c == text_col else docs[c]).alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import components, forest, shuffle_partitions, store, text_bytes, whole_groups
+from batchloom.llm.common import components, forest, shuffle_partitions, store, text_bytes, text_ref, whole_groups
 
 SHINGLE = 3
 SAMPLE = 2048  # fingerprints from which correlations and candidate counts are estimated; results don't depend on it
@@ -185,6 +185,18 @@ def bucket_links(rows: DataFrame, limit: int) -> DataFrame:
     return met.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(links, "a long, b long").distinct()
 
 
+def linked_prints(nodes: DataFrame, limit: int) -> DataFrame:
+    """``(of_fp, root)`` for every fingerprint in the column ``fp`` of ``nodes``: one root for all that links reach."""
+    masks = plan_masks(nodes, limit)
+    if masks:
+        probes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)]))
+        rows = nodes.select("fp", probes.alias("p")).select(F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.mask"))).alias("key"), "fp")
+        found = components(bucket_links(rows, limit))
+    else:
+        found = nodes.sparkSession.createDataFrame([], "node long, root long")
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row: fingerprints link at ``limit`` or fewer differing bits.
 
@@ -194,29 +206,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = store(fingerprints(docs, id_col, text_col), "prints")
     nodes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    masks = plan_masks(nodes, limit)
-    if masks:
-        probes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)]))
-        rows = nodes.select("fp", probes.alias("p")).select(F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.mask"))).alias("key"), "fp")
-        found = components(bucket_links(rows, limit))
-    else:
-        found = docs.sparkSession.createDataFrame([], "node long, root long")
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(linked_prints(nodes, limit), F.col("fp") == F.col("of_fp")).select("fp", "first", "root")
     least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("component_id"))
     named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows that repeat such an id go but for one.
+    """One row of ``docs`` of each component: the one with the smallest id, and of rows with that id the first by a hash of the text.
 
-    Rows without an id stay if their component has no id at all.
+    Rows without an id come after all others. Rows are told apart by id and text; of rows that repeat both one stays.
     """
-    found = store(near_duplicates(docs, id_col, text_col, limit), "components")
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(x) for x in text_bytes(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ref"), pa.array(values)], names=["doc_id", "ref", "fp"])
+
+    marked = texts.withColumn("ref", text_ref(F.col("text"))).mapInArrow(rows, f"doc_id {kind}, ref binary, fp long")
+    prints = store(marked, "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref")
+    nodes = store(prints.groupBy("fp").agg(F.min(place).alias("first")), "nodes")
+    rooted = nodes.join(linked_prints(nodes, limit), F.col("fp") == F.col("of_fp")).select("of_fp", "first", "root")
+    least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("least"))
+    named = rooted.join(least, F.col("root") == F.col("of_root")).select("of_fp", "least")
+    stays = place.eqNullSafe(F.col("least"))
+    found = prints.join(named, F.col("fp") == F.col("of_fp")).select(F.col("doc_id").alias("_id"), F.col("ref").alias("_ref"), stays.alias("stays"))
+    found = store(found.groupBy("_id", "_ref", "stays").agg(F.count(F.lit(1)).alias("n")), "found")  # equal rows share their verdict
+    match = docs[id_col].eqNullSafe(F.col("_id")) & (text_ref(docs[text_col]) == F.col("_ref"))
+    kept = docs.join(found.where(~F.col("stays")).select("_id", "_ref"), match, "left_anti")
+    repeated = found.where("stays and n > 1").select("_id", "_ref")
     if repeated.isEmpty():  # else the texts would move again only to find that nothing repeats
         return kept
-    once = kept.join(repeated, kept[id_col] == repeated["_again"], "left_anti")
-    return once.unionByName(kept.join(repeated, kept[id_col] == repeated["_again"], "left_semi").dropDuplicates([id_col]))
+    again = kept.join(repeated, match, "left_semi").withColumn("_ref", text_ref(F.col(text_col)))
+    return kept.join(repeated, match, "left_anti").unionByName(again.dropDuplicates([id_col, "_ref"]).drop("_ref"))

@@ -408,6 +408,18 @@ def test_awkward_rows(spark):
     assert sum(r["piece"] == 0 for r in packed) == n and all(len(r["ids"]) == r["length"] for r in packed)
 
 
+def test_rows_without_id_or_with_two_texts(spark):
+    rng = random.Random(15)
+    copied, alone, second, twin = (words(rng, 60) for _ in range(4))
+    made = [(3, copied, "h"), (None, copied, "h"), (None, alone, "h"), (5, copied, "h"), (5, second, "h"), (None, twin, "h"), (None, twin, "h")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()]
+    assert Counter(kept) == Counter([(3, copied), (None, alone), (5, second), (None, twin)])
+    made = [(None, alone, "h"), (None, "too short", "h"), (5, second, "h"), (5, "short too", "h")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    assert Counter(r["text"] for r in quality.apply_quality(df).collect()) == Counter([alone, second])
+
+
 def test_empty_tables(spark):
     df = empty(spark)
     for made in (
