@@ -91,11 +91,11 @@ def measured_lines(docs: DataFrame, id_col: str, host_col: str, text_col: str) -
     return chosen.mapInArrow(rows, schema)
 
 
-def frequent_lines(lines: DataFrame, least_documents: int, share: float) -> DataFrame:
-    """``(host, line)`` of the lines that stand in more than ``share`` of a host's different documents.
+def frequent_lines(lines: DataFrame, least_documents: int, share: float, most_documents: int) -> DataFrame:
+    """``(host, line)`` of the lines that stand in more than ``share`` of a host's different documents, or in over ``most_documents``.
 
     Documents with the same lines count once, so a text that is copied as a whole does not make its own
-    lines frequent. Limits below ``least_documents`` are raised to it.
+    lines frequent. Limits below ``least_documents`` are raised to it: fewer documents tell nothing of a share.
     """
     different = lines.groupBy("host", "text_key").agg(F.min("line_keys").alias("line_keys"))
     totals = different.groupBy(F.col("host").alias("of_host")).agg(F.count(F.lit(1)).alias("documents"))
@@ -105,7 +105,8 @@ def frequent_lines(lines: DataFrame, least_documents: int, share: float) -> Data
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > least_documents)
     )
-    return counts.join(totals, counts["host"].eqNullSafe(totals["of_host"])).where(F.col("n") > share * F.col("documents")).select("host", "line")
+    many = (F.col("n") > share * F.col("documents")) | (F.col("n") > most_documents)
+    return counts.join(totals, counts["host"].eqNullSafe(totals["of_host"])).where(many).select("host", "line")
 
 
 def quality_rules(
@@ -115,8 +116,9 @@ def quality_rules(
     text_col: str = "text",
     least_words: int = 20,
     most_repeated: int = 30,
-    least_documents: int = 50,
+    least_documents: int = 3,
     share: float = 0.1,
+    most_documents: int = 10_000,
     least_left: float = 0.3,
 ) -> DataFrame:
     """Judge every row of ``docs``.
@@ -130,7 +132,7 @@ def quality_rules(
     row by their own text, an empty table gives no rows, other columns are not looked at.
     """
     lines = store(measured_lines(docs, id_col, host_col, text_col), "lines")
-    often = frequent_lines(lines, least_documents, share)
+    often = frequent_lines(lines, least_documents, share, most_documents)
     found = (
         lines.select("doc_id", F.col("host").alias("in_host"), "ref", F.explode(F.array_distinct("line_keys")).alias("key"))
         .join(often, F.col("in_host").eqNullSafe(F.col("host")) & (F.col("key") == F.col("line")), "left_semi")

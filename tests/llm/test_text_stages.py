@@ -72,6 +72,20 @@ def test_frequent_lines(spark):
     assert quality.apply_quality(df).columns == df.columns
 
 
+def test_frequent_lines_of_small_and_large_hosts(spark):
+    rng = random.Random(16)
+    line = "all rights reserved by the owners of this site"
+    made = [(i, f"{words(rng, 30)}\n{line}", "small") for i in range(12)]
+    made += [(100 + i, f"{words(rng, 30)}\n{line}" if i < 9 else words(rng, 30), "large") for i in range(120)]
+    made += [(300 + i, f"{words(rng, 30)}\n{line}" if i < 3 else words(rng, 30), "rare") for i in range(12)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["text"] for r in rows(quality.apply_quality(df))}
+    assert len(kept) == len(made)
+    assert {k for k, t in kept.items() if line in t} == set(range(100, 109)) | {300, 301, 302}  # 7.5 %, and three documents
+    kept = {r["doc_id"]: r["text"] for r in rows(quality.apply_quality(df, most_documents=8))}
+    assert {k for k, t in kept.items() if line in t} == {300, 301, 302}
+
+
 def slow_fingerprint(text):
     found = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not found:
