@@ -185,8 +185,8 @@ def bucket_links(rows: DataFrame, limit: int) -> DataFrame:
     return met.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(links, "a long, b long").distinct()
 
 
-def linked_prints(nodes: DataFrame, limit: int) -> DataFrame:
-    """``(of_fp, root)`` for every fingerprint in the column ``fp`` of ``nodes``: one root for all that links reach."""
+def with_roots(nodes: DataFrame, limit: int) -> DataFrame:
+    """``(fp, first, root)`` for the ``(fp, first)`` of ``nodes``: one root for all fingerprints that links reach."""
     masks = plan_masks(nodes, limit)
     if masks:
         probes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)]))
@@ -194,7 +194,7 @@ def linked_prints(nodes: DataFrame, limit: int) -> DataFrame:
         found = components(bucket_links(rows, limit))
     else:
         found = nodes.sparkSession.createDataFrame([], "node long, root long")
-    return nodes.join(found, nodes["fp"] == found["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("root", "fp").alias("root"))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = store(fingerprints(docs, id_col, text_col), "prints")
     nodes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    rooted = nodes.join(linked_prints(nodes, limit), F.col("fp") == F.col("of_fp")).select("fp", "first", "root")
+    rooted = with_roots(nodes, limit)
     least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("component_id"))
     named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
@@ -229,9 +229,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = store(marked, "prints")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref")
     nodes = store(prints.groupBy("fp").agg(F.min(place).alias("first")), "nodes")
-    rooted = nodes.join(linked_prints(nodes, limit), F.col("fp") == F.col("of_fp")).select("of_fp", "first", "root")
+    rooted = with_roots(nodes, limit)
     least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("least"))
-    named = rooted.join(least, F.col("root") == F.col("of_root")).select("of_fp", "least")
+    named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "least")
     stays = place.eqNullSafe(F.col("least"))
     found = prints.join(named, F.col("fp") == F.col("of_fp")).select(F.col("doc_id").alias("_id"), F.col("ref").alias("_ref"), stays.alias("stays"))
     found = store(found.groupBy("_id", "_ref", "stays").agg(F.count(F.lit(1)).alias("n")), "found")  # equal rows share their verdict
