@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import store, text_bytes
 
-RARE = 100  # not used by the operator: every shared run leads to a partner
 BLOCK_WORDS = 20
 PRIME = (1 << 127) - 1
 BASE = 0x2545F4914F6CDD1D9E3779B97F4A7C15 % PRIME
@@ -252,7 +251,8 @@ def without_lines(texts: pd.Series, found: pd.Series) -> pd.Series:
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` without the lines that :func:`common_lines` finds; every row stays, its text may become empty."""
     found = common_lines(docs, id_col, text_col, **settings).where(F.size("removed") > 0)
-    by_id = found.groupBy(F.col("doc_id").alias("_of_id")).agg(F.collect_set(F.struct("seq", "removed")).alias("_found"))
-    joined = docs.join(by_id, docs[id_col].eqNullSafe(by_id["_of_id"]), "left")
-    text = F.when(F.col("_found").isNull(), docs[text_col]).otherwise(F.pandas_udf(without_lines, "string")(docs[text_col], F.col("_found")))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    by_id = found.groupBy("doc_id").agg(F.collect_set(F.struct("seq", "removed")).alias("found"))
+    joined = docs.alias("d").join(by_id.alias("f"), docs[id_col].eqNullSafe(by_id["doc_id"]), "left")
+    own, choices = F.col(f"d.`{text_col}`"), F.col("f.found")
+    text = F.when(choices.isNull(), own).otherwise(F.pandas_udf(without_lines, "string")(own, choices))
+    return joined.select(*[(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

@@ -13,6 +13,7 @@ from batchloom.operators.positions import range_positions
 
 EPOCHS = 3
 BUCKET_BITS = 14  # a source is cut into so many hash ranges, of which one is sorted
+SALTS = 64  # tasks that the rows of one source are dealt over
 
 
 def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -55,7 +56,7 @@ def water_fill(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least(most, F.lit(float(level)) * F.col("weight")))
 
 
-def mix(
+def planned(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -64,14 +65,14 @@ def mix(
     epochs: int = EPOCHS,
     seed: int = 42,
 ) -> DataFrame:
-    """``(doc_id, size, source_size, target, times, taken)`` for every row: how often the mix takes it.
+    """``(doc_id, source, size, source_size, target, times, taken)`` for every row: how often the mix takes it.
 
     ``weights`` has ``(source, weight)``, or weights rotate through 1, 2, 3. Each document is taken ``target div source_size`` times.
     For the rest of the target, documents follow in the order of a seeded hash of their ids until their words come nearest
     to it; so a source misses its target by half a document at most.
 
-    Null sources are one source, null texts have size 0, rows with equal or null ids fall on the same side of the cut,
-    sources without words have target 0 and are not taken, an empty table gives no rows.
+    Null sources are one source, null texts have size 0, very long texts are counted whole, rows of one source with equal or null
+    ids fall on the same side of the cut, sources without words have target 0 and are not taken, an empty table gives no rows.
     """
     sized = store(sizes(docs, id_col, source_col, text_col), "sizes").withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id")))
     sized = sized.withColumn("bucket", F.shiftrightunsigned("hash", 64 - BUCKET_BITS))
@@ -112,16 +113,25 @@ def mix(
         F.col("source").alias("p_source"), "source_size", "target", "whole", "c_bucket", "c_last"
     )
     extra = F.coalesce((F.col("bucket") < F.col("c_bucket")) | ((F.col("bucket") == F.col("c_bucket")) & (signless <= F.col("c_last"))), F.lit(False))
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    # the rows of a source are dealt over SALTS tasks, each with a copy of the source's one row
+    copies = plan.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = sized.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")).join(
+        copies, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("salt") == F.col("p_salt"))
+    )
     times = F.col("whole") + extra.cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Rows of an id that repeats are taken alike."""
-    times = (
-        mix(docs, id_col, **settings).groupBy(F.col("doc_id").alias("_of_id")).agg(F.max("times").cast("int").alias("_times"))
-    )
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_of_id"])).where("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+def mix(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The plan of :func:`planned` without the sources: ``(doc_id, size, source_size, target, times, taken)``."""
+    return planned(docs, id_col, **settings).drop("source")
+
 
+def take_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Rows that share id and source are taken alike, as they share a hash."""
+    plan = planned(docs, id_col, source_col, **settings)
+    times = plan.groupBy("doc_id", "source").agg(F.first("times").cast("int").alias("times")).where("times > 0")
+    match = docs[id_col].eqNullSafe(times["doc_id"]) & docs[source_col].cast("string").eqNullSafe(times["source"])
+    joined = docs.alias("d").join(times.alias("t"), match)
+    copies = joined.select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("copy"))
+    return copies.select("row.*")

@@ -168,15 +168,13 @@ def apply_quality(docs: DataFrame, **settings) -> DataFrame:
     id_col, host_col, text_col = (settings.get(k, d) for k, d in (("id_col", "doc_id"), ("host_col", "source"), ("text_col", "text")))
     judged = store(quality_rules(docs, **settings), "judged")
     # rows that share id, host and text have one verdict
-    verdict = judged.groupBy(F.col("doc_id").alias("_v_id"), F.col("host").alias("_v_host"), F.col("ref").alias("_v_ref")).agg(
-        F.first("kept").alias("_v_kept"), F.first("frequent").alias("_v_frequent")
-    )
-    touched = verdict.where(~F.col("_v_kept") | (F.size("_v_frequent") > 0))
-    match = docs[id_col].eqNullSafe(touched["_v_id"]) & docs[host_col].cast("string").eqNullSafe(touched["_v_host"])
-    match &= text_ref(docs[text_col]) == touched["_v_ref"]
-    kept = docs.join(touched, match, "left").where(F.coalesce("_v_kept", F.lit(True)))
-    without = drop_lines(F.col(text_col), F.col("_v_frequent"))
-    return kept.select(*[(without if c == text_col else docs[c]).alias(c) for c in docs.columns])
+    verdict = judged.groupBy("doc_id", "host", "ref").agg(F.first("kept").alias("kept"), F.first("frequent").alias("frequent"))
+    touched = verdict.where(~F.col("kept") | (F.size("frequent") > 0))
+    match = docs[id_col].eqNullSafe(touched["doc_id"]) & docs[host_col].cast("string").eqNullSafe(touched["host"])
+    match &= text_ref(docs[text_col]) == touched["ref"]
+    kept = docs.alias("d").join(touched.alias("v"), match, "left").where(F.coalesce("v.kept", F.lit(True)))
+    without = drop_lines(F.col(f"d.`{text_col}`"), F.col("v.frequent"))
+    return kept.select(*[(without if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_lines(text, keys):

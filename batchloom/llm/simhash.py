@@ -233,12 +233,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("least"))
     named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "least")
     stays = place.eqNullSafe(F.col("least"))
-    found = prints.join(named, F.col("fp") == F.col("of_fp")).select(F.col("doc_id").alias("_id"), F.col("ref").alias("_ref"), stays.alias("stays"))
-    found = store(found.groupBy("_id", "_ref", "stays").agg(F.count(F.lit(1)).alias("n")), "found")  # equal rows share their verdict
-    match = docs[id_col].eqNullSafe(F.col("_id")) & (text_ref(docs[text_col]) == F.col("_ref"))
-    kept = docs.join(found.where(~F.col("stays")).select("_id", "_ref"), match, "left_anti")
-    repeated = found.where("stays and n > 1").select("_id", "_ref")
-    if repeated.isEmpty():  # else the texts would move again only to find that nothing repeats
-        return kept
-    again = kept.join(repeated, match, "left_semi").withColumn("_ref", text_ref(F.col(text_col)))
-    return kept.join(repeated, match, "left_anti").unionByName(again.dropDuplicates([id_col, "_ref"]).drop("_ref"))
+    found = prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "ref", stays.alias("stays"))
+    found = store(found.groupBy("doc_id", "ref", "stays").agg(F.count(F.lit(1)).alias("n")), "found")  # equal rows share their verdict
+    touched = found.where("not stays or n > 1")
+    match = docs[id_col].eqNullSafe(touched["doc_id"]) & (text_ref(docs[text_col]) == touched["ref"])
+    kept = docs.alias("d").join(touched.alias("t"), match, "left").where(F.coalesce("t.stays", F.lit(True)))
+    rows_kept = kept.select(F.struct("d.*").alias("row"), F.col("t.doc_id").alias("id"), F.col("t.ref").alias("ref"))
+    once = rows_kept.where("ref is null").select("row.*")
+    return once.unionByName(rows_kept.where("ref is not null").dropDuplicates(["id", "ref"]).select("row.*"))

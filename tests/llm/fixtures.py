@@ -6,7 +6,10 @@ import random
 
 from pyspark.sql import DataFrame, SparkSession
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, a long, fp long, key string, size long"
+COLUMNS = (
+    "doc_id long, text string, lang string, source string, n_chars long, n_words string, a long, fp long, key string, size long, "
+    "_id long, _times long, _found string, _v_kept boolean, row long, copy long, ref string, kept boolean, stays boolean, times int"
+)
 
 
 def words(rng: random.Random, n: int) -> str:
@@ -34,7 +37,7 @@ def awkward(spark: SparkSession) -> DataFrame:
         (11, "the same word " * 40, "en", "s1"),
         (12, "x" * 30000, "de", "s1"),
     ]
-    return spark.createDataFrame([(*r, None, "n", 1, None, "k", None) for r in rows], COLUMNS)
+    return spark.createDataFrame([(*r, None, "n", 1, None, "k", None, 7, 0, "f", False, 8, 9, "r", False, False, 0) for r in rows], COLUMNS)
 
 
 def empty(spark: SparkSession) -> DataFrame:

@@ -176,30 +176,24 @@ def test_patience():
     assert linededup.patience(a, a) == [(i, i) for i in range(len(a))]
 
 
-def slow_lines(docs_by_id, rare=linededup.RARE, least=linededup.BLOCK_WORDS):
+def plain_blocks(docs_by_id, least=linededup.BLOCK_WORDS):
+    """Lines in runs of ``least`` words that an earlier document has somewhere, without partners or alignment."""
     lines = {k: [x.strip(" \t\n\r\x0b\x0c") for x in (t or "").split("\n")] for k, t in docs_by_id.items()}
-    first = {}
-    for k in sorted(lines):
-        first.setdefault(tuple(lines[k]), k)
-    holders = defaultdict(list)
-    for k in sorted(first.values()):
-        for x in set(lines[k]):
-            holders[x].append(k)
-    out = {}
-    for k, own in lines.items():
+    first, held, out = {}, set(), {}
+    for k, own in sorted(lines.items()):
         count = [len(WORD.findall(x)) for x in own]
-        if first[tuple(own)] != k:
+        if tuple(own) in first:
             out[k] = list(range(len(own))) if sum(count) >= least else []
             continue
-        shared = {x: holders[x] for x in own if holders[x][0] < k}
-        lowest = min(map(len, shared.values()), default=0)
-        partners = {h[0] for h in shared.values() if len(h) <= rare or len(h) == lowest}
-        out[k] = sorted({j for p in partners for j in linededup.common_blocks(lines[p], own, count, least)})
+        first[tuple(own)] = k
+        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(count[i:j]) >= least]
+        out[k] = sorted({x for i, j in runs if tuple(own[i:j]) in held for x in range(i, j)})
+        held |= {tuple(own[i:j]) for i, j in runs}
     return out
 
 
 def test_line_dedup(spark, docs):
-    want = slow_lines(texts(docs))
+    want = plain_blocks(texts(docs))
     got = {r["doc_id"]: [int(x) for x in r["removed"].split(",") if x] for r in rows(QUERIES["op1_line_dedup"](spark, SF))}
     assert got == want and any(want.values())
     cut = texts(linededup.drop_common_lines(docs))
@@ -216,22 +210,6 @@ def test_line_blocks_go_from_the_later(spark):
     assert got == {4: [], 5: [], 9: [1, 2, 3, 4, 5]}
 
 
-def plain_blocks(docs_by_id, least=linededup.BLOCK_WORDS):
-    """Lines in runs of ``least`` words that an earlier document has somewhere, without partners or alignment."""
-    lines = {k: [x.strip(" \t\n\r\x0b\x0c") for x in (t or "").split("\n")] for k, t in docs_by_id.items()}
-    first, held, out = {}, set(), {}
-    for k, own in sorted(lines.items()):
-        count = [len(WORD.findall(x)) for x in own]
-        if tuple(own) in first:
-            out[k] = list(range(len(own))) if sum(count) >= least else []
-            continue
-        first[tuple(own)] = k
-        runs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(count[i:j]) >= least]
-        out[k] = sorted({x for i, j in runs if tuple(own[i:j]) in held for x in range(i, j)})
-        held |= {tuple(own[i:j]) for i, j in runs}
-    return out
-
-
 def removed_lines(spark, made):
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     return {r["doc_id"]: r["removed"] for r in rows(linededup.common_lines(df))}
@@ -334,6 +312,20 @@ def test_mixing_clamps_small_sources(spark):
     assert Counter(r["doc_id"] for r in rows(mixing.take_mix(df))) == Counter({k: n for k, n in times.items() if n})
 
 
+def test_mix_tells_sources_of_an_id_apart(spark):
+    rng = random.Random(21)
+    made = [(i, words(rng, 20), rng.choice("xy")) for i in range(60)] + [(None, words(rng, 6), "x"), (None, words(rng, 9), "y")]
+    made += [(7, words(rng, 5), s) for s in ("x", "y")] + [(200 + i, words(rng, 3), "z") for i in range(3)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    plan = Counter()
+    for r in rows(mixing.planned(df)):
+        plan[r["source"]] += r["taken"]
+    took = Counter()
+    for r in rows(mixing.take_mix(df)):
+        took[r["source"]] += len(r["text"].split())
+    assert took == plan
+
+
 def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -458,7 +450,7 @@ def test_pipeline(spark, docs):
             verdict = {r["doc_id"]: r["kept"] for r in rows(QUERIES["op8_quality_rules"](spark, SF))}
             assert {r["doc_id"] for r in rows(out)} == {k for k, v in verdict.items() if v}
         elif name == "line_dedup":
-            want = slow_lines(texts(df))
+            want = plain_blocks(texts(df))
             assert texts(out) == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(want[k])) for k, t in texts(df).items()}
         elif name == "simhash_near_dedup":
             prints = {k: slow_fingerprint(t) for k, t in texts(df).items()}
