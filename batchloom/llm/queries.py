@@ -16,6 +16,7 @@ from batchloom.llm.quality import quality_rules
 from batchloom.llm.recompression import drop_repeated_words
 from batchloom.llm.secrets import find_secrets, joined, labelled_tokens, train
 from batchloom.llm.simhash import near_duplicates
+from batchloom.llm.tokencounts import count_tokens
 from batchloom.session import table
 
 
@@ -77,6 +78,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
