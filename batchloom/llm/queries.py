@@ -12,6 +12,7 @@ from batchloom.llm.linededup import common_lines
 from batchloom.llm.metricjoin import near_vectors
 from batchloom.llm.mixing import mix
 from batchloom.llm.packing import best_fit_packing
+from batchloom.llm.phrases import mine_phrases
 from batchloom.llm.quality import quality_rules
 from batchloom.llm.recompression import drop_repeated_words
 from batchloom.llm.secrets import find_secrets, joined, labelled_tokens, train
@@ -82,6 +83,29 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+  g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k)),
+  f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+  c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+  p AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+  s AS (SELECT p.lang, p.phrase, a, x.f AS l, y.f AS r, j, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM p
+    JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(ws[1:j], ' ') JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(ws[j + 1:], ' ')),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+  z AS (SELECT lang, a, ws, k, unnest(range(2, k)) AS m FROM c WHERE k > 2),
+  q AS (SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS i FROM z),
+  h AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM q GROUP BY ALL),
+  o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score FROM b
+    LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
@@ -95,8 +119,9 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
     "op12_token_counts": op12_token_counts,
+    "op13_phrases": op13_phrases,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_phrases": PHRASES}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

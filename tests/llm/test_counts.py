@@ -2,12 +2,13 @@
 
 import os
 import random
+import re
 from collections import Counter
 
 import pytest
 from fixtures import awkward, empty, texts, words
 
-from batchloom.llm import tokencounts
+from batchloom.llm import phrases, tokencounts
 from batchloom.llm.queries import QUERIES
 from batchloom.session import scratch, table
 
@@ -68,3 +69,94 @@ def test_awkward_counts(spark):
     got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows(tokencounts.count_tokens(df)))
     assert got == Counter((r["doc_id"], len((r["text"] or "").encode()), slow_count(r["text"])) for r in df.collect())
     assert rows(tokencounts.count_tokens(empty(spark))) == []
+
+
+def pieces(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [re.findall("[^ \t]+", p) for p in re.split("[.,;:!?\n-\r]", low)]
+
+
+def slow_phrases(table_rows, least, top=2000):
+    """``{(lang, rank): (phrase, a, l, r, n, score)}`` from plain counts of all phrases."""
+    seen, total = Counter(), Counter()
+    for lang, text in table_rows:
+        for own in pieces(text):
+            total[lang or "und"] += len(own)
+            seen.update((lang or "und", tuple(own[i : i + k])) for k in range(1, 5) for i in range(len(own) - k + 1))
+    often = {p: a for p, a in seen.items() if a >= least and len(p[1]) > 1}
+    covered = Counter()
+    for (lang, p), a in often.items():
+        for k in range(2, len(p)):
+            for i in range(len(p) - k + 1):
+                covered[lang, p[i : i + k]] = max(covered[lang, p[i : i + k]], a)
+    scored = {}
+    for (lang, p), a in often.items():
+        if 100 * covered[lang, p] >= 80 * a:
+            continue
+        score, cut = min((2000000 * a // (seen[lang, p[:k]] + seen[lang, p[k:]]), k) for k in range(1, len(p)))
+        scored.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), seen[lang, p[:cut]], seen[lang, p[cut:]]))
+    return {
+        (lang, rank): (phrase.decode(), -a, left, right, total[lang], -score)
+        for lang, own in scored.items()
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(own)[:top], 1)
+    }
+
+
+def mined(df, **settings):
+    return {(r["lang"], r["rank"]): (r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in rows(phrases.mine_phrases(df, **settings))}
+
+
+def test_phrases(spark, docs):
+    held = [(r["lang"], r["text"]) for r in docs.collect()]
+    got = {(r["lang"], r["rank"]): (r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in rows(QUERIES["op13_phrases"](spark, SF))}
+    assert got == slow_phrases(held, 30) and len(got) > 20
+
+
+@pytest.mark.parametrize("sampled, proposed", [(1, 3), (3, 1), (1 << 40, 1)])
+def test_passes_close_whatever_was_proposed(spark, sampled, proposed):
+    """The whole table as sample, a third, and none at all: then each pass adds a word to the longest known phrases."""
+    rng = random.Random(6)
+    pool = ["a", "B", "c", "Dé", "e\x00", "▁", "ü"]
+    glue = [" ", "  ", "\t", " \t ", ". ", ",", "\n", "\x0b", " ", " ", " "]
+    made = [(rng.choice(["x", "y", "und", None]), "".join(rng.choice(pool) + rng.choice(glue) for _ in range(rng.randint(0, 60)))) for _ in range(120)]
+    made += [("x", "one two three four five " * 9), ("z", "only a few"), ("x", None)]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "doc_id long, lang string, text string")
+    want = slow_phrases(made, 8, 60)
+    assert mined(df, least=8, top=60, sampled=sampled, proposed=proposed) == want and len(want) > 100
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bb", "ccc", "d" * 40]) + rng.choice([" ", " ", "  ", "\t", ". ", "\n"]) for _ in range(rng.randint(0, 60)))
+        want, got = Counter(), Counter()
+        for own in pieces(text):
+            want.update(tuple(own[i : i + k]) for k in range(1, 5) for i in range(len(own) - k + 1))
+        for part in phrases.segments(text.encode().translate(phrases.LOWER), 4, 25):
+            words_of = phrases.Words("x", [part])
+            names = [w.decode() for w in words_of.words.to_pylist()]
+            for k in range(1, 5):
+                for i in range(len(words_of.codes) - k + 1):
+                    if words_of.starts[i] and words_of.inside(k)[i]:
+                        got[tuple(names[c] for c in words_of.codes[i : i + k])] += 1
+        assert got == want
+
+
+def test_filters_know_what_they_were_given(spark):
+    rng = random.Random(8)
+    values = [rng.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    for bits in (16, 22):
+        made = phrases.filled(spark.createDataFrame([(v,) for v in values], "hash long"), bits)
+        import numpy as np
+
+        assert made.has(np.array(values, np.int64).view(np.uint64)).all()
+        other = np.array([rng.getrandbits(64) for _ in range(5000)], np.uint64)
+        assert made.has(other).mean() < (0.1 if bits == 16 else 0.001)
+
+
+def test_awkward_phrases(spark):
+    df = awkward(spark)
+    held = [(r["lang"], r["text"]) for r in df.collect()]
+    want = slow_phrases(held, 3)
+    assert mined(df, least=3) == want and ("und", 1) in want
+    assert rows(phrases.mine_phrases(empty(spark))) == []
