@@ -32,7 +32,7 @@ TOP_SALTS = 32  # tasks that the candidates of one language are dealt over
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 WORD_OR_END = re.compile(rb"[^ \n]+|\n")
 SPACE = re.compile(rb"[ \n]")
-COUNT = "lang string, phrase string, k int, n long"
+ROWS = 1 << 16  # rows in a batch that a task gives
 
 
 def segments(data: bytes, longest: int, most: int = CHUNK) -> Iterator[bytes]:
@@ -92,7 +92,7 @@ class Words:
         n = max(0, len(self.codes) - k + 1)
         return self.piece[:n] == self.piece[k - 1 :]
 
-    def counted(self, at: np.ndarray, k: int) -> pa.RecordBatch:
+    def counted(self, at: np.ndarray, k: int) -> pa.Table:
         """How often each phrase of k words starts at the places ``at``; equal phrases are told by their words, not by hashes."""
         pairs = self.codes[:-1] * len(self.words) + self.codes[1:] if k > 1 else self.codes
         columns = [pairs[at + j] for j in range(0, k - 1, 2)] + ([self.codes[at + k - 1]] if k % 2 else [])
@@ -105,7 +105,12 @@ class Words:
         where = at[order[first]]
         words = [self.words.take(pa.array(self.codes[where + j])) for j in range(k)]
         phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", self.words.type))
-        return rows_of(self.lang, phrase.cast(pa.binary()).cast(pa.string()), k, np.diff(np.append(first, len(at))))
+        return self.rows(phrase, np.diff(np.append(first, len(at))))
+
+    def rows(self, phrase: pa.Array, n: np.ndarray) -> pa.Table:
+        """``(key, n)``: one column for language and phrase, as one string is grouped by faster than two; words hold no line feed."""
+        key = pc.binary_join_element_wise(pa.scalar(self.lang.encode(), self.words.type), phrase, pa.scalar(b"\n", self.words.type))
+        return pa.table({"key": key.cast(pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64())})
 
 
 def longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -113,13 +118,6 @@ def longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def rows_of(lang: str, phrase: pa.Array, k: int, n: np.ndarray) -> pa.RecordBatch:
-    size = len(phrase)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * size, pa.string()), phrase, pa.array(np.full(size, k, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "k", "n"]
-    )
-
-
 def chunks(batches: Iterable[pa.RecordBatch], longest: int) -> Iterator[Words]:
     """The words of the rows ``(lang, text)``, some megabytes at a time."""
     held: dict[str, list[bytes]] = {}
@@ -210,20 +208,29 @@ def counts(texts: DataFrame, proposed: Filter, before: Filter | None, least: int
     context = texts.sparkSession.sparkContext
     new, old = context.broadcast(proposed), context.broadcast(before)
 
+    def found(words: Words) -> Iterator[pa.Table]:
+        if old.value is None:
+            at = np.flatnonzero(words.starts)
+            yield words.rows(pa.array([b""], words.words.type), np.array([len(at)]))
+            yield words.counted(at, 1)
+        for k, hashes in enumerate(words.hashes(longest - 1), 2):
+            here = words.inside(k) & words.starts[: max(0, len(words.codes) - k + 1)] & new.value.admits(hashes)
+            if old.value is not None:
+                here &= ~old.value.admits(hashes)
+            yield words.counted(np.flatnonzero(here), k)
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in chunks(batches, longest):
-            if old.value is None:
-                at = np.flatnonzero(words.starts)
-                yield rows_of(words.lang, pa.array([""]), 0, np.array([len(at)]))
-                yield words.counted(at, 1)
-            for k, hashes in enumerate(words.hashes(longest - 1), 2):
-                here = words.inside(k) & words.starts[: max(0, len(words.codes) - k + 1)] & new.value.admits(hashes)
-                if old.value is not None:
-                    here &= ~old.value.admits(hashes)
-                yield words.counted(np.flatnonzero(here), k)
-
-    partial = texts.mapInArrow(rows, COUNT)
-    return partial.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least))
+            for counted in found(words):
+                yield from counted.to_batches(max_chunksize=ROWS)
+
+    # most phrases stand once in a task's chunks, which are counts already: a second count before the shuffle would only cost memory
+    partial = texts.mapInArrow(rows, "key string, n long").repartition("key")
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)")
+    k = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.translate(phrase, " ", "")) + 1)
+    often = partial.groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.endswith("key", F.lit("\n")))
+    return often.select(lang.alias("lang"), phrase.alias("phrase"), k.alias("k"), "n")
 
 
 def phrase_hashes(frequent: DataFrame, known: Filter) -> DataFrame:
