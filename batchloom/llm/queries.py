@@ -18,6 +18,7 @@ from batchloom.llm.recompression import drop_repeated_words
 from batchloom.llm.secrets import find_secrets, joined, labelled_tokens, train
 from batchloom.llm.simhash import near_duplicates
 from batchloom.llm.tokencounts import count_tokens
+from batchloom.llm.whitening import whiten
 from batchloom.session import table
 
 
@@ -79,6 +80,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
     "op12_token_counts": op12_token_counts,
     "op13_phrases": op13_phrases,
 }

@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from fixtures import awkward, empty, texts, words
 
-from batchloom.llm import phrases, tokencounts
+from batchloom.llm import phrases, tokencounts, whitening
 from batchloom.llm.queries import QUERIES
 from batchloom.session import scratch, table
 
@@ -147,8 +148,6 @@ def test_filters_know_what_they_were_given(spark):
     values = [rng.getrandbits(64) - (1 << 63) for _ in range(5000)]
     for bits in (16, 22):
         made = phrases.filled(spark.createDataFrame([(v,) for v in values], "hash long"), bits)
-        import numpy as np
-
         assert made.has(np.array(values, np.int64).view(np.uint64)).all()
         other = np.array([rng.getrandbits(64) for _ in range(5000)], np.uint64)
         assert made.has(other).mean() < (0.1 if bits == 16 else 0.001)
@@ -160,3 +159,63 @@ def test_awkward_phrases(spark):
     want = slow_phrases(held, 3)
     assert mined(df, least=3) == want and ("und", 1) in want
     assert rows(phrases.mine_phrases(empty(spark))) == []
+
+
+def slow_whitening(vectors, wanted=4):
+    """``{vec_id: (n, deviation)}``, eigenvalues, eigenvectors, mean and trace from a full decomposition."""
+    usable = {k: v for k, v in vectors.items() if v is not None and all(c is not None and np.isfinite(c) for c in v)}
+    width = max(map(len, usable.values()))
+    x = {k: np.floor(256 * np.array(list(v) + [0] * (width - len(v)), float)).astype(np.int64) for k, v in usable.items()}
+    fit = np.unique(np.array(list(x.values())), axis=0)
+    n, total = len(fit), fit.sum(axis=0)
+    values, vecs = np.linalg.eigh(np.cov(fit.T.astype(float), bias=True).reshape(width, width))
+    exact = {k: (n, sum((n * int(a) - int(s)) ** 2 for a, s in zip(v, total))) for k, v in x.items()}
+    return exact, x, values[::-1][:wanted], vecs[:, ::-1][:, :wanted], total / n, values.sum()
+
+
+def check_whitening(got, vectors, close=1e-9):
+    exact, x, values, vecs, mean, trace = slow_whitening(vectors)
+    found = {}
+    for r in got:
+        assert (r["n"], r["deviation"]) == exact[r["vec_id"]]
+        assert r["identity_error"] <= 1e-9 and r["explained"] == pytest.approx(values[r["component"] - 1] / trace, rel=1e-10)
+        found[r["vec_id"], r["component"]] = r["whitened"]
+    components = sum(values > 1e-9 * values[0])
+    assert set(found) == {(k, c + 1) for k in x for c in range(components)}
+    for c in range(components):
+        want = {k: (v - mean) @ vecs[:, c] / np.sqrt(values[c]) for k, v in x.items()}
+        sign = np.sign(sum(want[k] * found[k, c + 1] for k in x))
+        assert all(abs(sign * found[k, c + 1] - w) <= close for k, w in want.items())
+
+
+def test_whitening(spark):
+    vectors = {r["vec_id"]: r["embedding"] for r in table(spark, SF, "embeddings").collect()}
+    check_whitening(rows(QUERIES["op11_whitening"](spark, SF)), vectors)
+
+
+def test_components_of_spectra():
+    """Close, equal, fast falling and missing eigenvalues; every pass is one product."""
+    rng = np.random.default_rng(11)
+    for width, values in ((80, 1000 - 0.5 * np.arange(80)), (80, np.exp(-np.arange(80.0))), (60, np.repeat([9.0, 4.0], 30)), (50, np.r_[3.0, 2.0, np.zeros(48)]), (3, np.r_[5.0, 4.0, 1.0])):
+        turn = np.linalg.qr(rng.standard_normal((width, width)))[0]
+        v, passes = (turn * values) @ turn.T, []
+        found, block = whitening.leading_components(lambda q: passes.append(1) or v @ q, width, min(4, width))
+        assert np.allclose(found, values[: len(found)], rtol=0, atol=1e-12 * values[0] * width) and len(passes) < 400
+        assert np.linalg.norm(v @ block - block * found, axis=0).max() <= 1e-11 * values[0]
+        assert np.abs(block.T @ block - np.eye(block.shape[1])).max() < 1e-12
+
+
+def test_whitening_awkward(spark):
+    rng = np.random.default_rng(12)
+    made = {i: [float(v) for v in rng.normal(3.0, 0.5, 6)] for i in range(60)}
+    made |= {100: made[3], 101: made[3], 102: None, 103: [None] + made[4][1:], 104: [float("nan")] * 6, 105: [float("inf")] + made[5][1:], 106: made[6][:4], 107: []}
+    made[108] = [-0.0] * 6
+    df = spark.createDataFrame([(k, v, 1, "c", 2.0) for k, v in made.items()], "vec_id long, embedding array<double>, n long, component string, x double")
+    check_whitening(rows(whitening.whiten(df)), made)
+    line = {i: [float(i), 2.0 * i, 0.0] for i in range(9)}  # one component only
+    check_whitening(rows(whitening.whiten(spark.createDataFrame(list(line.items()), "vec_id long, embedding array<float>"))), line)
+    for few in ([], [(1, None)], [(1, [2.0, 3.0]), (2, [2.0, 3.0])], [(1, [])]):
+        assert rows(whitening.whiten(spark.createDataFrame(few, "vec_id long, embedding array<double>"))) == []
+    wide = [(None, [1e9, 0.0]), (None, [-1e9, 1.0]), (2, [3.0, 1e12])]
+    got = rows(whitening.whiten(spark.createDataFrame(wide, "vec_id long, embedding array<double>")))
+    assert len(got) == 6 and all(r["deviation"] is None for r in got if r["vec_id"] == 2) and all(r["identity_error"] < 1e-9 for r in got)
