@@ -13,6 +13,7 @@ from batchloom.plans.registry import query
 from batchloom.plans.relations import FOLDED
 from batchloom.plans.scoring import FETCH, STUDENT, place_sum, place_sum_sql, teacher
 from batchloom.session import scratch, table
+from batchloom.sources import revisions
 from batchloom.streaming import balance, changes, leases, streams
 
 PART_DAYS = ("2024-01-11", "2024-01-21")  # where the event table is cut into the parts that arrive one by one
@@ -81,6 +82,21 @@ def watch_changes(spark, sf):
     return changes.folded_log(spark, log, ["user_id"])
 
 
+@query(f"WITH half AS (SELECT count(*) // 2 AS n FROM events), {FOLDED.replace('SELECT', 'folded AS (SELECT', 1).replace('FROM events', 'FROM (SELECT events.* FROM events, half WHERE event_id >= n)')}) SELECT * FROM folded")
+def watch_from_revision(spark, sf):
+    """The log is read by a source whose offset is the revision: from the middle on, then again from the checkpoint."""
+    log, folded, checkpoint = scratch(spark, "revision-log"), scratch(spark, "change-log"), scratch(spark, "revision-checkpoint")
+    op = F.when(F.col("event_type") == "error", "remove").otherwise("add")
+    start = table(spark, sf, "events").count() // 2
+    parts = [p.select("event_id", "user_id", "event_type", "value") for p in event_parts(spark, sf)]
+    for appended in (parts[:2], parts[2:]):
+        for part in appended:
+            revisions.append_revisions(part, log, "event_id")
+        stream = revisions.read_revisions(spark, log, "event_id bigint, user_id bigint, event_type string, value double", "event_id", start)
+        changes.watch_changes(stream, folded, ["user_id"], op, "value", "event_id", start, checkpoint)
+    return changes.folded_log(spark, folded, ["user_id"])
+
+
 VERSIONS = """WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events),
   v AS (SELECT *, sum((old IS DISTINCT FROM event_type)::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS version FROM c)
 SELECT user_id, event_id, event_type, version FROM v WHERE old IS DISTINCT FROM event_type"""
@@ -186,14 +202,9 @@ def snapshot_plus_watch(spark, sf):
         )
         return batch.select(F.col("user_id").alias("member"), kind.alias("kind"))
 
-    path = scratch(spark, "members")
-    replay(
-        spark,
-        event_parts(spark, sf),
-        "watch",
-        lambda s, checkpoint: changes.snapshot_plus_watch(spark, s, path, "member", "kind", kinds, checkpoint),
-    )
-    return spark.read.parquet(path).where(F.col("version") == streams.newest(spark, path, "version")).select("member")
+    log = scratch(spark, "members")
+    replay(spark, event_parts(spark, sf), "watch", lambda s, checkpoint: changes.snapshot_plus_watch(s, log, "member", "kind", kinds, checkpoint))
+    return changes.listed_members(spark, log, "member")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, sum(event_id)::BIGINT AS id_sum FROM events GROUP BY event_type")
@@ -282,14 +293,9 @@ def fenced_upsert(spark, sf):
     fence = F.expr("event_id div 100 + (event_id * 7919) % 40").alias("fence")
     parts = [p.select("event_id", "user_id", fence) for p in event_parts(spark, sf)]
     path = scratch(spark, "fenced")
-    replay(
-        spark,
-        parts,
-        "writes",
-        lambda s, cp: changes.fenced_upsert(spark, s, path, "user_id", "fence", "event_id", id_block("event_id"), cp),
-    )
-    sides = [spark.read.parquet(f"{path}/{n}").withColumn("accepted", F.lit(n == "accepted")) for n in ("accepted", "refused")]
-    return sides[0].unionByName(sides[1]).select("event_id", "user_id", "fence", "accepted")
+    with streams.RocksDB(spark):
+        replay(spark, parts, "writes", lambda s, cp: changes.fenced_upsert(s, path, "user_id", "fence", "event_id", cp))
+    return changes.fenced_store(spark, path).select("event_id", "user_id", "fence", "accepted")
 
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last_id, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,42 +22,67 @@ def stream_barrier_balance(
     ended: str | None = None,
     checkpoint: str | None = None,
 ) -> None:
-    """Per micro-batch: add the waiting batches; when every member has reported since the last time that something was
-    handed out, or is at its end, balance and hand out.
+    """Per micro-batch: queue the batches; when every member has reported since the last time that something was
+    handed out, or is at its end, balance and hand out all that waits.
 
     Rows in which the boolean column ``ended`` is true are end marks and hold no batch. Members that ended get batches
-    like the others. Handed batches go to ``handed``, the rest waits in ``waiting``, who reported or ended is in ``seen``, one
-    folder per micro-batch. ``batch`` is a unique integer that follows the order of the reports.
+    like the others. ``batch`` is a unique integer that follows the order of the reports.
+
+    A micro-batch appends its own reports to ``queued`` and ``seen``. When it hands out, it writes ``handed`` and, to ``left``, what is left over, fewer
+    batches than there are members. What waits is the newest of ``left`` and what was queued after it, so nothing old is written again.
     """
     expected = members.select(producer).distinct()
+    queue_schema, seen_schema = reports.select(producer, batch).schema, f"{producer} {dict(reports.dtypes)[producer]}, reported boolean, ended boolean, batch int"
 
     def each(rows: DataFrame, batch_id: int) -> None:
         mark = F.coalesce(F.col(ended), F.lit(False)) if ended else F.lit(False)
-        queue = rows.where(~mark).select(producer, batch)
+        rows.where(~mark).select(producer, batch).write.mode("overwrite").parquet(f"{path}/queued/batch={batch_id}")
         seen = rows.groupBy(producer).agg(F.bool_or(~mark).alias("reported"), F.bool_or(mark).alias("ended"))
-        if batch_id:
-            queue = queue.unionByName(spark.read.parquet(f"{path}/waiting/batch={batch_id - 1}"))
-            before = spark.read.parquet(f"{path}/seen/batch={batch_id - 1}")
-            seen = seen.unionByName(before).groupBy(producer).agg(F.bool_or("reported").alias("reported"), F.bool_or("ended").alias("ended"))
-        seen = cut(seen)
-        absent = expected.join(seen.where("reported or ended"), producer, "left_anti")
-        placed = id_positions(queue, batch, [producer], "_pos")
-        if absent.isEmpty():
-            shared = cut(balance_batches(placed, producer, "_pos", expected))
-        else:
-            shared = cut(placed.withColumn("consumer", F.lit(None).cast(expected.schema[producer].dataType)))
+        seen.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+        last = newest_left(spark, path, batch_id)
+        every = spark.read.schema(seen_schema).parquet(f"{path}/seen").where(F.col("batch") <= batch_id)
+        ready = every.where(F.col("ended") | (F.col("reported") & (F.col("batch") > last)))
+        if not expected.join(ready, producer, "left_anti").isEmpty():
+            return
+        queue = waiting_since(spark, path, last, batch_id, queue_schema)
+        shared = cut(balance_batches(id_positions(queue, batch, [producer], "_pos"), producer, "_pos", expected))
         handed = shared.where(F.col("consumer").isNotNull()).select(producer, batch, "consumer")
+        if handed.isEmpty():  # fewer batches than members
+            return
         handed.write.mode("overwrite").parquet(f"{path}/handed/batch={batch_id}")
-        waiting = shared.where(F.col("consumer").isNull()).select(producer, batch)
-        waiting.write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
-        if not handed.isEmpty():
-            seen = seen.withColumn("reported", F.lit(False))
-        seen.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+        left = shared.where(F.col("consumer").isNull()).select(producer, batch)
+        left.write.mode("overwrite").parquet(f"{path}/left/batch={batch_id}")
 
     run_batches(reports, each, "balance", checkpoint)
 
 
+def newest_left(spark: SparkSession, path: str, before: int) -> int:
+    """The last micro-batch before ``before`` that handed out, or -1. It is found by the names of files, as it may have left nothing."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/left")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+    number = F.regexp_extract("path", "/batch=([0-9]+)/", 1).cast("int")
+    return files.select(number.alias("n")).where(F.col("n") < before).agg(F.coalesce(F.max("n"), F.lit(-1))).first()[0]
+
+
+def waiting_since(spark: SparkSession, path: str, last: int, upto: int, schema) -> DataFrame:
+    """What micro-batch ``last`` left over, and what was queued after it up to ``upto``."""
+    queued = spark.read.schema(schema).option("basePath", f"{path}/queued").parquet(*[f"{path}/queued/batch={n}" for n in range(last + 1, upto + 1)])
+    if last < 0:
+        return queued.drop("batch")
+    return queued.drop("batch").unionByName(spark.read.schema(schema).parquet(f"{path}/left/batch={last}"))
+
+
 def still_waiting(spark: SparkSession, path: str) -> DataFrame:
     """The batches that wait after the newest micro-batch."""
-    waiting = f"{path}/waiting"
-    return spark.read.parquet(waiting).where(F.col("batch") == newest(spark, waiting, "batch")).drop("batch")
+    upto = newest_number(spark, f"{path}/queued")
+    last = newest_left(spark, path, upto + 1)
+    schema = spark.read.parquet(f"{path}/queued").drop("batch").schema
+    return waiting_since(spark, path, last, upto, schema)
+
+
+def newest_number(spark: SparkSession, path: str) -> int:
+    return spark.range(1).select(newest(spark, path, "batch")).first()[0]

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_previous, with_running
-from batchloom.operators.sets import apply_membership_delta, fold_changes
-from batchloom.session import cut
+from batchloom.operators.sets import fold_changes
 from batchloom.streaming.streams import run_batches
 
 
@@ -98,52 +97,90 @@ def fenced_rows(writes: DataFrame, stored: DataFrame, key: str, fence: str, orde
     return seen.join(held, key, "left").withColumn("accepted", limit.isNull() | (F.col(fence) >= limit)).drop("_top", "_held")
 
 
-def fenced_upsert(
-    spark: SparkSession, writes: DataFrame, path: str, key: str, fence: str, order: str, block: Column, checkpoint: str | None = None
-) -> None:
+def stream_fenced_rows(writes: DataFrame, key: str, fence: str, order: str) -> DataFrame:
+    """The same on a stream, by the columns ``(key, order, fence)``: state per key is its highest fence so far.
+
+    Writes of a key in one micro-batch are taken by ``order``; a source's limit for each trigger bounds how many these are.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = [key, order, fence]
+    kinds = dict(writes.dtypes)
+
+    class Fences(StatefulProcessor):
+        def init(self, handle):
+            self.top = handle.getValueState("top", "fence bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+            held = [(frame[order].to_numpy(), frame[fence].to_numpy()) for frame in rows]
+            at, fences = (np.concatenate(x) for x in zip(*held))
+            by_order = np.argsort(at, kind="stable")
+            at, fences = at[by_order], fences[by_order]
+            first = self.top.get()[0] if self.top.exists() else fences[0]
+            limit = np.maximum.accumulate(np.concatenate([[first], fences]))
+            self.top.update((int(limit[-1]),))
+            yield pd.DataFrame({names[0]: key[0], names[1]: at, names[2]: fences, "accepted": fences >= limit[:-1]})
+
+        def close(self):
+            pass
+
+    return writes.select(*names).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Fences(),
+        outputStructType=", ".join(f"`{n}` {kinds[n]}" for n in names) + ", accepted boolean",
+        outputMode="append",
+        timeMode="None",
+    )
+
+
+def fenced_upsert(writes: DataFrame, path: str, key: str, fence: str, order: str, checkpoint: str) -> None:
     """Apply a stream of fenced writes to an append-only store; refused writes go to an error table.
 
-    The highest fence per key is a table of its own, so a batch never reads the whole store.
+    The highest fence of each key is in the state store, so a micro-batch writes its own rows and no more. Needs :class:`RocksDB`.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.parquet(f"{path}/top/batch={batch_id - 1}") if batch_id else batch.select(key, fence).limit(0)
-        marked = cut(fenced_rows(batch, stored, key, fence, order, block))
-        for accepted, name in ((True, "accepted"), (False, "refused")):
-            part = marked.where(F.col("accepted") == accepted).drop("accepted")
-            part.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-        top = stored.unionByName(marked.select(key, fence)).groupBy(key).agg(F.max(fence).alias(fence))
-        top.write.mode("overwrite").parquet(f"{path}/top/batch={batch_id}")
+    def each(marked: DataFrame, batch_id: int) -> None:
+        marked.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
+
+    run_batches(stream_fenced_rows(writes, key, fence, order), each, "fenced", checkpoint)
+
 
-    run_batches(writes, each, "fenced", checkpoint)
+def fenced_store(spark: SparkSession, path: str) -> DataFrame:
+    """The accepted and the refused writes of :func:`fenced_upsert`; a filter on ``accepted`` opens the files of one kind only."""
+    return spark.read.parquet(path).withColumn("accepted", F.col("accepted").cast("boolean"))
 
 
 def snapshot_plus_watch(
-    spark: SparkSession,
     changes: DataFrame,
-    path: str,
+    log: str,
     member: str,
     kind: str,
     after_batch: Callable[[DataFrame], DataFrame],
     checkpoint: str | None = None,
 ) -> None:
-    """Keep a member table: a full list in a batch replaces it, then the batch's adds and removes apply.
+    """Follow full lists and changes of members: every micro-batch appends a row for each member that it names.
 
-    ``kind`` is ``list``, ``add`` or ``remove``. One version of the table is written per micro-batch.
+    ``kind`` is ``list``, ``add`` or ``remove``; a list replaces all members, then the batch's adds and removes apply.
+    :func:`listed_members` of the log gives the members; what a batch writes follows the batch, not the number of members.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = after_batch(batch)
-        listed = rows.where(F.col(kind) == "list")
-        if batch_id and listed.isEmpty():
-            listed = spark.read.parquet(f"{path}/version={batch_id - 1}")
-        added, removed = rows.where(F.col(kind) == "add"), rows.where(F.col(kind) == "remove")
-        current = apply_membership_delta(listed, added, removed, [member])
-        current.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        named = after_batch(batch).where(F.col(kind).isin("list", "add", "remove")).groupBy(member)
+        last = named.agg(F.bool_or(F.col(kind) == "list").alias("listed"), (~F.bool_or(F.col(kind) == "remove")).alias("present"))
+        last.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
     run_batches(changes, each, "snapshot", checkpoint)
 
 
+def listed_members(spark: SparkSession, log: str, member: str) -> DataFrame:
+    """The members after all micro-batches: the last word on each since the newest full list."""
+    rows = spark.read.parquet(log)
+    newest = rows.agg(F.coalesce(F.max(F.when(F.col("listed"), F.col("batch"))), F.lit(0))).scalar()
+    last = rows.where(F.col("batch") >= newest).groupBy(member).agg(F.max_by("present", "batch").alias("present"))
+    return last.where("present").select(member)
+
+
 def stream_dedup(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The first report of each key, however late it or its repeats come. State is one key per report that was kept."""
     return reports.dropDuplicates(list(keys))
