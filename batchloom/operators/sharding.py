@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from batchloom.operators.carry import id_block, with_latest, with_previous, with_running
 from batchloom.operators.positions import grouped_positions, id_positions, range_positions
-from batchloom.session import cut, fits
+from batchloom.session import cut
+
+SALTS = 64  # parts of a job that are looked through for its first members
 
 
 def total(df: DataFrame) -> Column:
@@ -72,13 +74,11 @@ def consistent_hash_assign(
 ) -> DataFrame:
     """The node of the first virtual node at or after the key's md5, around the ring.
 
-    The ring of up to 1000 nodes is broadcast, a larger one is joined by hash prefix.
+    Keys and arcs meet by hash prefix; Spark broadcasts the ring where its bytes allow it.
     """
     ring = hash_ring(nodes, node, virtual, digits).select(
         F.col("prefix").alias("_prefix"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("node").alias(name)
     )
-    if fits(nodes, 1000):
-        ring = F.broadcast(ring)
     hashed = keys.withColumn("_slot", F.md5(key)).withColumn("_p", F.conv(F.substring("_slot", 1, digits), 16, 10).cast("int"))
     inside = (F.col("_p") == F.col("_prefix")) & (F.col("_slot") > F.col("_lo")) & (F.col("_slot") <= F.col("_hi"))
     return hashed.join(ring, inside).drop("_slot", "_p", "_prefix", "_lo", "_hi")
@@ -172,10 +172,11 @@ def rank_members(members: DataFrame, job: str, member: str, leaders: DataFrame,
         F.coalesce(F.max(F.col(member) == F.col(leader)), F.lit(False)).alias("leader_found"),
     )
     heads = counts.join(known, "_job", "left").withColumnRenamed("_job", job)
-    order = Window.partitionBy(job).orderBy(F.col(member) != F.col(leader), member)
-    numbered = members.join(heads, job).withColumn("_n", F.row_number().over(order))
-    # the limit on the row number is applied in every map task before rows of a job meet
-    ranked = numbered.where(F.col("_n") <= max_nodes)
+    ranked = members.join(heads, job).withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(SALTS)))
+    # the first members of a job are among the first of each of its salts, so a hot job is sorted in many tasks
+    for group in ([job, "_salt"], [job]):
+        order = Window.partitionBy(*group).orderBy(F.col(member) != F.col(leader), member)
+        ranked = ranked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_nodes)
     rank = F.when(F.col("leader_found"), F.col("_n") - 1).cast("bigint")
     return ranked.select(job, member, rank.alias("rank"), "enough", "leader_found")
 

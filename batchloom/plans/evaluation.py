@@ -192,18 +192,18 @@ BOW_WEIGHTS = [[((c * 31 + d * 17) % 13 - 6) / 10.0 for d in range(64)] for c in
 
 
 @query(f"""WITH tk AS (SELECT d.doc_id, unnest({WORDS}) AS w FROM documents d),
-  ids AS (SELECT doc_id, CASE WHEN length(w) > 3 THEN length(w) * 7 % 199 ELSE 0 END AS id FROM tk),
+  ids AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS id FROM tk),
   e AS (SELECT ids.doc_id, unnest(range(64)) AS d, embedding FROM ids JOIN embeddings ON ids.id = vec_id WHERE ids.id <> 0),
   s AS (SELECT doc_id, d, sum(embedding[d + 1]::DOUBLE) AS x FROM e GROUP BY ALL),
   f AS (SELECT doc_id, d, x / (1 + abs(x)) AS y FROM s)
 SELECT t.doc_id, round(coalesce(sum(y * (((0 * 31 + d * 17) % 13) - 6) / 10.0), 0), 6) + 0.0 AS logit0, round(coalesce(sum(y * (((1 * 31 + d * 17) % 13) - 6) / 10.0), 0), 6) + 0.0 AS logit1
 FROM (SELECT DISTINCT doc_id FROM tk) t LEFT JOIN f ON t.doc_id = f.doc_id GROUP BY t.doc_id""")
 def bag_of_words_pool(spark, sf):
-    length = F.length("w")
-    ids = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(words(F.col("text"))).alias("w")).select(
-        "doc_id", F.when(length > 3, length * 7 % 199).otherwise(0).cast("bigint").alias("id")
-    )
+    """Words go to any of the vectors by their hash; the vector 0 stands for padding."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    hashed = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint")
+    tokens = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    ids = tokens.select("doc_id", F.pmod(hashed, vectors.agg(F.count(F.lit(1))).scalar()).alias("id"))
     pooled = metrics.bag_of_words_pool(ids, "doc_id", "id", vectors, 64, BOW_WEIGHTS)
     return pooled.select("doc_id", rounded(F.col("logits")[0]).alias("logit0"), rounded(F.col("logits")[1]).alias("logit1"))
 

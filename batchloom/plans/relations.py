@@ -60,9 +60,12 @@ def processed_ranges(spark, sf):
     )
 
 
-@query(f"WITH {RANGES} SELECT l_suppkey, begin_no, end_no FROM merged")
+@query(f"WITH {RANGES.replace(' WHERE l_linenumber >= 6', '')} SELECT l_suppkey, begin_no, end_no FROM merged")
 def merge_ranges(spark, sf):
-    merged = ranges.merge_ranges(processed_ranges(spark, sf), "l_suppkey", "begin", "end")
+    """The ranges of all line items."""
+    rows = table(spark, sf, "lineitem")
+    every = rows.select("l_suppkey", F.col("l_orderkey").alias("begin"), (F.col("l_orderkey") + F.col("l_linenumber") * 20).alias("end"))
+    merged = ranges.merge_ranges(every, "l_suppkey", "begin", "end")
     return merged.select("l_suppkey", F.col("begin").alias("begin_no"), F.col("end").alias("end_no"))
 
 
@@ -250,14 +253,19 @@ def month_customers(spark, sf, first, after):
     return table(spark, sf, "orders").where((day >= F.lit(first).cast("date")) & (day < F.lit(after).cast("date"))).select(F.col("o_custkey").alias("member"))
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1997-01'),
-  b AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1997-02')
-SELECT coalesce(a.m, b.m) AS member, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'kept' END AS change
-FROM a FULL JOIN b ON a.m = b.m""")
+@query("""WITH m AS (SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS month, o_custkey AS member FROM orders),
+  e AS (SELECT min(month) AS lo, max(month) AS hi FROM m),
+  a AS (SELECT month + 1 AS month, member FROM m, e WHERE month < hi), b AS (SELECT month, member FROM m, e WHERE month > lo)
+SELECT coalesce(a.month, b.month)::INT AS month, coalesce(a.member, b.member) AS member,
+  CASE WHEN a.member IS NULL THEN 'added' WHEN b.member IS NULL THEN 'removed' ELSE 'kept' END AS change
+FROM a FULL JOIN b ON a.month = b.month AND a.member = b.member""")
 def membership_diff(spark, sf):
-    return sets.membership_diff(
-        month_customers(spark, sf, "1997-01-01", "1997-02-01"), month_customers(spark, sf, "1997-02-01", "1997-03-01"), ["member"]
-    )
+    """The customers of every month against those of the month before."""
+    day = F.col("o_orderdate")
+    months = table(spark, sf, "orders").select((F.year(day) * 12 + F.month(day) - 1).alias("month"), F.col("o_custkey").alias("member"))
+    ends = months.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    before = months.where(F.col("month") < ends.select("hi").scalar()).withColumn("month", F.col("month") + 1)
+    return sets.membership_diff(before, months.where(F.col("month") > ends.select("lo").scalar()), ["month", "member"])
 
 
 @query("""SELECT DISTINCT user_id AS server FROM events WHERE ts < '2024-01-02' OR event_type = 'signup'

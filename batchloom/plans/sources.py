@@ -246,15 +246,16 @@ def read_chunk_files(spark, sf):
     )
 
 
-@query(rf"""WITH v AS (
-  SELECT doc_id // 256 AS bucket, row_number() OVER (PARTITION BY doc_id // 256 ORDER BY doc_id) - 1 AS idx,
-         split_part(trim(regexp_replace(text, '{WS}+', ' ', 'g')), ' ', 1) AS word FROM documents)
+@query(rf"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '{WS}+', ' ', 'g')), ' ') AS ws FROM documents),
+  t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+  v AS (SELECT doc_id // 16 AS bucket, row_number() OVER (PARTITION BY doc_id // 16 ORDER BY doc_id, pos) - 1 AS idx, word FROM t WHERE word <> '')
 SELECT bucket, word, max(idx) AS idx FROM v GROUP BY bucket, word""")
 def read_vocabulary(spark, sf):
+    """Vocabulary files that hold every word of 16 documents, in the order of the texts."""
     path = scratch(spark, "vocabulary")
-    first = F.split_part(text.one_line(F.col("text")), F.lit(" "), F.lit(1))
-    docs = table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 256").alias("bucket"), first.alias("value"))
-    text.write_lines(docs, path, "bucket", ["doc_id"], "value")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    words = docs.select("doc_id", F.expr("doc_id div 16").alias("bucket"), F.posexplode(text.words(F.col("text"))).alias("pos", "value"))
+    text.write_lines(words.where("value <> ''"), path, "bucket", ["doc_id", "pos"], "value")
     words = text.read_vocabulary(spark, path)
     return words.select(F.col("bucket").cast("bigint").alias("bucket"), "word", "idx")
 

@@ -14,7 +14,7 @@ from batchloom.plans.relations import FOLDED
 from batchloom.plans.scoring import FETCH, STUDENT, place_sum, place_sum_sql, teacher
 from batchloom.session import scratch, table
 from batchloom.sources import revisions
-from batchloom.streaming import balance, changes, leases, streams
+from batchloom.streaming import balance, changes, ending, leases, streams
 
 PART_DAYS = ("2024-01-11", "2024-01-21")  # where the event table is cut into the parts that arrive one by one
 
@@ -275,6 +275,26 @@ def end_of_data(spark, sf):
     return counts.join(flags, "user_id")
 
 
+CLOSED = f"""e AS (SELECT event_id, user_id % 8 AS part, event_type = 'error' AND ts >= (CASE WHEN user_id % 8 = 3 THEN '{PART_DAYS[1]}' ELSE '{PART_DAYS[0]}' END)::TIMESTAMP AS mark,
+    CASE WHEN ts < '{PART_DAYS[0]}' AND event_id % 7 <> 0 THEN 0 WHEN ts >= '{PART_DAYS[0]}' AND ts < '{PART_DAYS[1]}' THEN 1 ELSE 2 END AS round FROM events),
+  m AS (SELECT part, round, min(event_id) AS ending FROM e WHERE mark GROUP BY part, round QUALIFY row_number() OVER (PARTITION BY part ORDER BY round) = 1)"""
+
+
+@query(f"""WITH {CLOSED}
+SELECT event_id, e.part, CASE WHEN ending IS NULL OR e.round < m.round THEN 'row' WHEN e.round > m.round OR event_id > ending THEN 'late'
+  WHEN event_id = ending THEN 'marker' ELSE 'row' END AS kind FROM e LEFT JOIN m ON e.part = m.part
+UNION ALL SELECT NULL, NULL, 'end' FROM m HAVING count(*) = (SELECT count(DISTINCT part) FROM e)""")
+def close_parts(spark, sf):
+    """Each of eight parts ends at its first error event of the second or third arrival; older rows that arrive after that are late."""
+    kinds = F.when(F.col("user_id") % 8 == 3, PART_DAYS[1]).otherwise(PART_DAYS[0]).cast("timestamp_ntz")
+    mark = (F.col("event_type") == "error") & (F.col("ts").cast("timestamp_ntz") >= kinds)
+    parts = [p.select("event_id", (F.col("user_id") % 8).alias("part"), mark.alias("mark")) for p in arriving_late(spark, sf)]
+    expected = table(spark, sf, "events").select((F.col("user_id") % 8).alias("part"))
+    path = scratch(spark, "closed")
+    replay(spark, parts, "parts", lambda s, cp: ending.close_parts(spark, s, path, "part", "event_id", F.col("mark"), expected, cp))
+    return ending.closed_rows(spark, path).select("event_id", "part", "kind")
+
+
 @query("SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def watch_model_drops(spark, sf):
     """The event file is picked up from its folder as a stream."""

@@ -54,11 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Does the frame have at most ``rows`` rows? Reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than cores over all cores; a large scan stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

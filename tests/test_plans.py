@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import lookups, positions
-from batchloom.plans import QUERIES
+from batchloom.operators import lookups, positions, sets, sharding
+from batchloom.plans import QUERIES, relations
 from batchloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,8 @@ def test_all_teachers_answer_in_one_pass(spark):
 
 
 def test_date_filter_is_pushed(spark):
-    plan = plan_of(QUERIES["membership_diff"](spark, SF))
+    months = [relations.month_customers(spark, SF, *m) for m in (("1997-01-01", "1997-02-01"), ("1997-02-01", "1997-03-01"))]
+    plan = plan_of(sets.membership_diff(*months, ["member"]))
     assert len(re.findall(r"PushedFilters: \[.*?GreaterThanOrEqual\(o_orderdate", plan)) == 2
 
 
@@ -50,3 +51,23 @@ def test_lookups_have_one_plan_with_salts(spark):
     rows = spark.range(1000).select((F.col("id") % 10).alias("k"))
     values = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
     assert "_salt" in plan_of(lookups.skewed_lookup(rows, values, "k"))
+
+
+def test_ring_of_any_size_has_one_plan(spark):
+    keys = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    plans = []
+    for n in (3, 1001):
+        nodes = spark.range(n).select(F.format_string("n%d", "id").alias("node"))
+        found = sharding.consistent_hash_assign(keys, F.col("k"), nodes, "node", virtual=5)
+        assert found.count() == 500
+        plans.append([line.split("[")[0] for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n")])
+    assert [x.split("(")[0].strip(" +-:") for x in plans[0]] == [x.split("(")[0].strip(" +-:") for x in plans[1]]
+
+
+def test_ranks_of_a_hot_job_are_found_in_many_tasks(spark):
+    members = spark.range(6000).select(F.lit("j").alias("job"), F.col("id").alias("m"))
+    leaders = spark.createDataFrame([("j", 5900)], "job string, l bigint")
+    ranked = sharding.rank_members(members, "job", "m", leaders, "l", 3, 5000)
+    assert plan_of(ranked).count("Window [") >= 2
+    found = {r["m"]: r["rank"] for r in ranked.collect()}
+    assert found == {5900: 0} | {m: m + 1 for m in range(4999)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from batchloom.session import scratch
 from batchloom.sources import revisions
-from batchloom.streaming import balance, changes, streams
+from batchloom.streaming import balance, changes, ending, streams
 
 SCHEMA = "revision bigint, key string"
 
@@ -132,3 +132,27 @@ def test_waiting_batches_are_written_once(spark):
     assert sorted([(r["m"], r["n"]) for r in handed] + [(r["m"], r["n"]) for r in waiting]) == sorted(every)
     counts = {m: [sum(r["consumer"] == m and r["batch"] == b for r in handed) for b in (3, 4)] for m in "ab"}
     assert counts["a"] == counts["b"] == [10_001, 1] and len(waiting) == len(every) - 2 * 10_002
+
+
+def test_parts_close_at_their_markers(spark):
+    """A marker in the middle, one that comes late, rows of a closed part, a part without an end, and the end of all."""
+    parts = [
+        [("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 4, False), ("c", 5, False)],
+        [("a", 0, False), ("b", 7, True), ("b", 6, False), ("b", 8, True), (None, 9, False)],
+        [("b", 10, False), ("c", 11, False)],
+        [("c", 12, True), ("a", 13, True)],
+        [("c", 14, False)],
+    ]
+    path, ends = scratch(spark, "closed"), []
+    expected = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "p string")
+
+    def run(stream, checkpoint):
+        ending.close_parts(spark, stream, path, "p", "n", F.col("mark"), expected, checkpoint)
+        ends.append(ending.closed_rows(spark, path).where("kind = 'end'").count())
+
+    small_batches(spark, parts, "p string, n bigint, mark boolean", run)
+    kinds = {}
+    for r in ending.closed_rows(spark, path).where("kind <> 'end'").collect():
+        kinds.setdefault(r["kind"], set()).add(r["n"])
+    assert kinds == {"row": {1, 4, 5, 6, 9, 11}, "marker": {2, 7, 12}, "late": {0, 3, 8, 10, 13, 14}}
+    assert ends == [0, 0, 0, 1, 1]
