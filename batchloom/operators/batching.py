@@ -43,6 +43,18 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int, name: str = "pos") ->
     return hash_positions(df, F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")), [id_col], name)
 
 
+def buffered_shuffle(df: DataFrame, id_col: str, seed: int, buffer: int, name: str = "pos") -> DataFrame:
+    """Positions of a shuffle inside a buffer: rows are taken ``buffer`` at a time in the order of their ids and each lot is shuffled.
+
+    So a row moves fewer than ``buffer`` places, and reading ahead by one buffer gives the new order. It depends on seed and ids only.
+    """
+    placed = id_positions(df, id_col, name="_at").withColumn("_lot", F.expr(f"_at div {buffer}"))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    inside = F.row_number().over(Window.partitionBy("_lot").orderBy("_drawn", id_col)) - 1
+    shuffled = placed.withColumn("_drawn", drawn).withColumn(name, F.col("_lot") * buffer + inside)
+    return shuffled.drop("_at", "_lot", "_drawn")
+
+
 def rebatch_lists(df: DataFrame, list_id: str, item: str, size: int) -> DataFrame:
     """Cut each list into tasks that never span two lists; ``task_id`` is dense over all lists.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -193,6 +193,19 @@ def audit_counts(fed: DataFrame, predicted: DataFrame, task: str) -> DataFrame:
     return counts.withColumn("matches", F.col("feed_count") == F.col("predict_count"))
 
 
+def audited_write(fed: DataFrame, score: Callable[[DataFrame], DataFrame], path: str) -> dict[str, int | bool]:
+    """Write ``score(fed)`` to ``path`` and tell how many rows went into it and came out of it.
+
+    Both counts are observed while the one job runs, so nothing is read twice and nothing is joined. They are sums over all tasks; :func:`audit_counts`
+    tells which task lost a row. The file is there only if the job ended, and so are the counts.
+    """
+    before, after = Observation(), Observation()
+    scored = score(fed.observe(before, F.count(F.lit(1)).alias("n"))).observe(after, F.count(F.lit(1)).alias("n"))
+    scored.write.parquet(path)
+    counts = {"feed_count": before.get["n"], "predict_count": after.get["n"]}
+    return counts | {"matches": counts["feed_count"] == counts["predict_count"]}
+
+
 def map_records(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a mapper of frames to the records, in parallel and in no order."""
 

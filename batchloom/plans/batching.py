@@ -220,3 +220,10 @@ JOB_TABLES = ["customer", "documents", "embeddings", "events", "lineitem", "orde
 def plan_steps(spark, sf):
     counts = [table(spark, sf, t).agg(F.lit(t).alias("job"), F.count(F.lit(1)).alias("images")) for t in JOB_TABLES]
     return batching.plan_steps(reduce(lambda a, b: a.unionByName(b), counts), "images", 256, 8)
+
+
+@query("""WITH p AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 500 AS lot FROM events)
+SELECT event_id, lot * 500 + row_number() OVER (PARTITION BY lot ORDER BY md5('7|' || event_id), event_id) - 1 AS pos FROM p""")
+def buffered_shuffle(spark, sf):
+    """Events shuffled inside a buffer of 500."""
+    return batching.buffered_shuffle(table(spark, sf, "events").select("event_id"), "event_id", 7, 500)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from batchloom.functions import losses
 from batchloom.operators import batching, filters, metrics, scoring, windows
 from batchloom.plans.registry import query
-from batchloom.session import table
+from batchloom.session import scratch, table
 
 CLASSES, DIM, TEACHER_BATCH = 10, 64, 16
 FETCH = {"prediction": "array<double>"}
@@ -138,6 +138,19 @@ def audit_counts(spark, sf):
     return scoring.audit_counts(fed, answered, "task_id")
 
 
+@query("""SELECT vec_id, count(*) OVER () AS feed_count, (SELECT count(*) FROM embeddings WHERE vec_id % 37 <> 5) AS predict_count,
+  (SELECT count(*) FROM embeddings WHERE vec_id % 37 = 5) = 0 AS matches FROM embeddings QUALIFY vec_id % 37 <> 5""")
+def audited_write(spark, sf):
+    """What a teacher answers that loses some rows, with the counts that its one job observed."""
+    path = scratch(spark, "answers")
+
+    def score(rows):
+        return scoring.score_with_teacher(rows, teacher(), {"img": "embedding"}, FETCH, TEACHER_BATCH, keep=["vec_id"]).where("vec_id % 37 <> 5")
+
+    counts = scoring.audited_write(table(spark, sf, "embeddings").select("vec_id", "embedding"), score, path)
+    return spark.read.parquet(path).select("vec_id", *[F.lit(v).alias(n) for n, v in counts.items()])
+
+
 @query("""SELECT vec_id, label + 1 AS label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""")
 def map_records(spark, sf):
     def mapper(frame):

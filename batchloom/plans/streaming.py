@@ -14,7 +14,7 @@ from batchloom.plans.relations import FOLDED
 from batchloom.plans.scoring import FETCH, STUDENT, place_sum, place_sum_sql, teacher
 from batchloom.session import scratch, table
 from batchloom.sources import revisions
-from batchloom.streaming import balance, changes, ending, leases, streams
+from batchloom.streaming import balance, changes, ending, eventtime, leases, streams
 
 PART_DAYS = ("2024-01-11", "2024-01-21")  # where the event table is cut into the parts that arrive one by one
 
@@ -275,6 +275,42 @@ def end_of_data(spark, sf):
     return counts.join(flags, "user_id")
 
 
+ARRIVED = f"""a AS (SELECT event_id, user_id, event_type, round(value * 1000)::BIGINT AS cents, epoch_us(ts) AS us,
+    CASE WHEN ts < '{PART_DAYS[0]}' AND event_id % 7 <> 0 THEN 0 WHEN ts >= '{PART_DAYS[0]}' AND ts < '{PART_DAYS[1]}' THEN 1 ELSE 2 END AS round FROM events),
+  newest AS (SELECT r.round, (SELECT max(us) FROM a WHERE a.round < r.round) - 432000000000 AS w FROM (SELECT DISTINCT round FROM a) r)"""
+FIVE_DAYS = 5 * 86400
+
+
+@query(f"""WITH {ARRIVED}, t AS (SELECT a.*, w IS NOT NULL AND us // 21600000000 * 21600000000 + 86400000000 <= w AS late FROM a JOIN newest ON a.round = newest.round),
+  s AS (SELECT us // 21600000000 * 21600000000 - 21600000000 * unnest(range(4)) AS start_us, event_type, cents FROM t WHERE NOT late)
+SELECT start_us, start_us + 86400000000 AS end_us, event_type, count(*) AS n, sum(cents)::BIGINT AS cents, NULL::BIGINT AS late_id FROM s GROUP BY start_us, event_type
+UNION ALL SELECT NULL, NULL, event_type, NULL, NULL, event_id FROM t WHERE late""")
+def sliding_windows(spark, sf):
+    """Days that start every six hours, per kind of event, and the events that came over five days late."""
+    path, sums = scratch(spark, "sliding"), {"n": F.lit(1).cast("bigint"), "cents": F.round(F.col("value") * 1000).cast("bigint")}
+    replay(
+        spark,
+        arriving_late(spark, sf),
+        "arrivals",
+        lambda s, cp: eventtime.sliding_sums(spark, s, path, "ts", ["event_type"], sums, 86400, 21600, FIVE_DAYS, cp),
+    )
+    late = eventtime.late_rows(spark, path).select("event_type", F.col("event_id").alias("late_id"))
+    return eventtime.windows_now(spark, path, ["event_type"], list(sums)).unionByName(late, allowMissingColumns=True)
+
+
+@query(f"""WITH {ARRIVED}, t AS (SELECT a.*, w IS NOT NULL AND us + 21600000000 <= w AS late FROM a JOIN newest ON a.round = newest.round),
+  b AS (SELECT user_id, us, lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS before, event_id FROM t WHERE NOT late),
+  g AS (SELECT *, sum(CASE WHEN before IS NULL OR us - before > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM b)
+SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS beats, NULL::BIGINT AS late_id FROM g GROUP BY user_id, k
+UNION ALL SELECT user_id, NULL, NULL, NULL, event_id FROM t WHERE late""")
+def session_windows(spark, sf):
+    """Sessions of users with gaps of six hours, and the events that came over five days late."""
+    path = scratch(spark, "sessions")
+    replay(spark, arriving_late(spark, sf), "arrivals", lambda s, cp: eventtime.sessions(spark, s, path, "ts", "user_id", TTL, FIVE_DAYS, cp))
+    late = eventtime.late_rows(spark, path).select("user_id", F.col("event_id").alias("late_id"))
+    return eventtime.sessions_now(spark, path, "user_id").drop("closed").unionByName(late, allowMissingColumns=True)
+
+
 CLOSED = f"""e AS (SELECT event_id, user_id % 8 AS part, event_type = 'error' AND ts >= (CASE WHEN user_id % 8 = 3 THEN '{PART_DAYS[1]}' ELSE '{PART_DAYS[0]}' END)::TIMESTAMP AS mark,
     CASE WHEN ts < '{PART_DAYS[0]}' AND event_id % 7 <> 0 THEN 0 WHEN ts >= '{PART_DAYS[0]}' AND ts < '{PART_DAYS[1]}' THEN 1 ELSE 2 END AS round FROM events),
   m AS (SELECT part, round, min(event_id) AS ending FROM e WHERE mark GROUP BY part, round QUALIFY row_number() OVER (PARTITION BY part ORDER BY round) = 1)"""

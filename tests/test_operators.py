@@ -498,3 +498,26 @@ def test_features_come_in_windows(spark):
     df = spark.createDataFrame([(1, list(range(1, 8))), (2, []), (3, None)], "id long, ids array<long>")
     got = {(r["id"], r["window_no"]): (r["input_ids"], sum(r["input_mask"])) for r in model_features(df, "ids", 3).collect()}
     assert got == {(1, 0): ([1, 2, 3], 3), (1, 1): ([4, 5, 6], 3), (1, 2): ([7, 0, 0], 1), (2, 0): ([0, 0, 0], 0), (3, 0): ([0, 0, 0], 0)}
+
+
+def test_buffered_shuffle_moves_rows_less_than_a_buffer(spark):
+    ids = sorted(rng.sample(range(-5000, 5000), 1203))
+    df = spark.createDataFrame([(n, "x") for n in ids], "id bigint, pos string")
+    found = {r["id"]: r["at"] for r in batching.buffered_shuffle(df, "id", 3, 100, "at").collect()}
+    assert sorted(found.values()) == list(range(len(ids)))
+    assert all(at // 100 == n // 100 for n, at in zip(range(len(ids)), (found[i] for i in ids)))
+    assert sum(at == n for n, at in zip(range(len(ids)), (found[i] for i in ids))) < 50
+    again = {r["id"]: r["at"] for r in batching.buffered_shuffle(df.repartition(7), "id", 3, 100, "at").collect()}
+    assert again == found
+    assert batching.buffered_shuffle(df.limit(0), "id", 3, 100, "at").collect() == []
+
+
+def test_observed_counts_tell_of_lost_rows(spark):
+    df = spark.range(500)
+    kept = scoring.audited_write(df, lambda rows: rows.withColumn("y", F.col("id") * 2), scratch(spark, "answers"))
+    assert kept == {"feed_count": 500, "predict_count": 500, "matches": True}
+    path = scratch(spark, "answers")
+    lost = scoring.audited_write(df.repartition(5), lambda rows: rows.where("id <> 77"), path)
+    assert lost == {"feed_count": 500, "predict_count": 499, "matches": False} and spark.read.parquet(path).count() == 499
+    none = scoring.audited_write(df.limit(0), lambda rows: rows, scratch(spark, "answers"))
+    assert none == {"feed_count": 0, "predict_count": 0, "matches": True}

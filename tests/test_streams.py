@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from batchloom.session import scratch
 from batchloom.sources import revisions
-from batchloom.streaming import balance, changes, ending, streams
+from batchloom.streaming import balance, changes, ending, eventtime, streams
 
 SCHEMA = "revision bigint, key string"
 
@@ -156,3 +156,28 @@ def test_parts_close_at_their_markers(spark):
         kinds.setdefault(r["kind"], set()).add(r["n"])
     assert kinds == {"row": {1, 4, 5, 6, 9, 11}, "marker": {2, 7, 12}, "late": {0, 3, 8, 10, 13, 14}}
     assert ends == [0, 0, 0, 1, 1]
+
+
+def test_windows_and_late_rows(spark):
+    """A row that is late for one window but not for a later one still counts; one behind all its windows is set aside, once."""
+    minute = 60
+    parts = [[(0, 10), (1, 125), (2, 600)], [(3, 130), (4, 290), (5, 9), (6, None)], [(7, 9), (8, 700)], [(9, 121)]]
+    paths = [scratch(spark, n) for n in ("sliding", "sessions")]
+
+    def run(stream, checkpoint):
+        timed = stream.select("n", F.timestamp_seconds("s").alias("t"), F.lit("k").alias("k"))
+        eventtime.sliding_sums(spark, timed, paths[0], "t", ["k"], {"n": F.lit(1)}, 4 * minute, 2 * minute, 5 * minute, f"{checkpoint}-a")
+        eventtime.sessions(spark, timed, paths[1], "t", "k", 2 * minute, 5 * minute, f"{checkpoint}-b")
+
+    small_batches(spark, parts, "n bigint, s bigint", run)
+    # watermarks: none, 600 - 300, 600 - 300, 700 - 300
+    late = {5, 7, 9}  # 9 s: in windows that end at 240 at most; 121 s: at 360
+    assert sorted(r["n"] for r in eventtime.late_rows(spark, paths[0]).collect()) == sorted(late)
+    want = {}
+    for n, s in (x for part in parts for x in part if x[0] not in late and x[1] is not None):
+        for start in range(s // 120 * 120 - 120, s // 120 * 120 + 1, 120):
+            want[start] = want.get(start, 0) + 1
+    assert {r["start_us"] // 1000000: r["n"] for r in eventtime.windows_now(spark, paths[0], ["k"], ["n"]).collect()} == want
+    assert sorted(r["n"] for r in eventtime.late_rows(spark, paths[1]).collect()) == [3, 5, 7, 9]
+    spans = sorted((r["start_us"] // 1000000, r["end_us"] // 1000000, r["beats"]) for r in eventtime.sessions_now(spark, paths[1], "k").collect())
+    assert spans == [(10, 245, 2), (290, 410, 1), (600, 820, 2)]
