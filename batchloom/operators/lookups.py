@@ -14,10 +14,14 @@ from batchloom.session import cut
 HOT_ROWS = 100_000  # a key with more rows may be dealt to several tasks
 
 
-def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS, most: int = 1000) -> DataFrame:
-    """The most frequent keys with more than ``least`` rows, ``most`` of them at most; so no other holds more than one row in ``most``."""
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > least).orderBy(F.desc("_n"), key).limit(most).select(key)
+SAMPLE = 0.01
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS, most: int = 1000) -> list:
+    """The most frequent keys of a sample that stand for more than ``least`` rows, ``most`` of them at most."""
+    counts = rows.where(F.col(key).isNotNull()).select(key).sample(SAMPLE, seed=1).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    often = counts.where(F.col("_n") > least * SAMPLE).orderBy(F.desc("_n"), key).limit(most)
+    return [r[0] for r in often.select(key).collect()]
 
 
 def skewed_lookup(
@@ -26,16 +30,15 @@ def skewed_lookup(
     """Look up ``table``, which has one row per key, for rows in which some keys are very frequent.
 
     The rows of hot keys and of the null key are dealt to ``salts`` tasks, and only the hot entries of the table are
-    repeated that often. ``salts`` and ``hot_rows`` change the spreading alone. Spark broadcasts the table if its bytes allow it.
+    repeated that often. Hot keys are those of a sample, as a list that both sides read, so neither is joined once more. What is in the list, ``salts``
+    and ``hot_rows`` change the spreading alone. Spark broadcasts the table if its bytes allow it.
     """
-    hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("_hot", F.lit(True)))  # at most 1000 keys
-    none = F.lit(0).cast("bigint")
-    deal = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(none)
-    dealt = rows.join(hot, key, "left").withColumn("_salt", deal).drop("_hot")
+    hot, none = hot_keys(rows, key, hot_rows), F.lit(0).cast("bigint")
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    deal = F.when(is_hot | F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(none)
     every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
-    copies = F.when(F.col("_hot"), every).otherwise(F.array(none))
-    spread = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+    spread = table.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(none))))
+    return rows.withColumn("_salt", deal).join(spread, [key, "_salt"], how).drop("_salt")
 
 
 def vocab_lookup(docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame, unknown: str = "[UNK]", **spreading) -> DataFrame:
