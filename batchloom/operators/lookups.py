@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_latest
 from batchloom.operators.pooling import pooled_sums
-from batchloom.session import cut
+from batchloom.session import cut, scratch
 
 HOT_ROWS = 100_000  # a key with more rows may be dealt to several tasks
 
@@ -100,6 +100,30 @@ def skip_processed_records(records: DataFrame, processed: DataFrame, file: str,
     return placed.where(F.coalesce(F.col(record) > F.col("_range.end"), F.lit(True))).drop("_range")
 
 
+def unfinished_files(manifest: DataFrame, processed: DataFrame, file: str) -> DataFrame:
+    """``(file, first, last, reach)`` of each file of the manifest ``(file, first, last)``: records up to ``reach`` are processed.
+
+    ``processed`` has merged ranges, so only the first range of a file can cover all of it. ``reach`` is before ``first`` if
+    the first record is still to come. Files with ``reach`` at or past ``last`` are finished, and so are files without records.
+    """
+    earliest = processed.groupBy(file).agg(F.min(F.struct("begin", "end")).alias("_range"))
+    reach = F.when(F.col("_range.begin") <= F.col("first"), F.col("_range.end"))
+    return manifest.join(earliest, file, "left").select(file, "first", "last", F.coalesce(reach, F.col("first") - 1).alias("reach"))
+
+
+def skip_finished_files(records: DataFrame, manifest: DataFrame, processed: DataFrame, file: str, record: str) -> DataFrame:
+    """As :func:`skip_processed_records`, for records in folders by ``file``: files whose records are all processed are not opened.
+
+    The state of the files is written first, so Spark knows its size; while the open files fit a broadcast they prune the folders
+    of ``records`` when the job runs, past that they are joined. No list of files passes the driver's program.
+    """
+    spark, path = records.sparkSession, scratch(records.sparkSession, "progress")
+    state = unfinished_files(manifest, processed, file)
+    state.write.parquet(path)
+    files = spark.read.schema(state.schema).parquet(path).where(F.col("reach") < F.col("last")).select(file)
+    return skip_processed_records(records.join(files, file), processed.join(files, file, "left_semi"), file, record)
+
+
 def record_range_lookup(records: DataFrame, chunks: DataFrame, file: str, record: str, width: int = 1024) -> DataFrame:
     """Records of each requested chunk ``(file, begin, end, ...)``, bounds inclusive; chunks may overlap.
 

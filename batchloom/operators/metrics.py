@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +150,9 @@ def macro_f1_accuracy(df: DataFrame, label: Column, predicted: Column) -> DataFr
     )
 
 
-def score_buckets(df: DataFrame, score: Column, positive: Column, thresholds: int, group: Sequence[str] = ()) -> DataFrame:
+def score_buckets(
+    df: DataFrame, score: Column, positive: Column, thresholds: int, group: Sequence[str | Column] = ()
+) -> DataFrame:
     """Positive and negative rows per score bucket."""
     return df.groupBy(*group, F.floor(score * thresholds).cast("int").alias("bucket")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
@@ -174,13 +178,42 @@ def auc_histogram(df: DataFrame, score: Column, positive: Column, thresholds: in
 
 
 def sliding_auc(df: DataFrame, step: str, score: Column, positive: Column, steps: int = 20, thresholds: int = 4096) -> DataFrame:
-    """AUC at each step over the rows of the last ``steps`` steps, from bucket counts."""
-    buckets = score_buckets(df, score, positive, thresholds, [step])
-    last = df.agg(F.max(step)).scalar()
-    ends = F.sequence(F.col(step), F.least(F.col(step) + (steps - 1), last))
-    spread = buckets.withColumn(step, F.explode(ends)).groupBy(step, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    seen = df.select(step).distinct()
-    return auc_of_buckets(spread.join(seen, step, "left_semi"), [step])
+    """AUC at each step over the rows of the last ``steps`` steps, from running bucket counts.
+
+    Steps come in blocks of ``4 * steps``. A block also gets the ``steps - 1`` steps before it, so a count is copied once at most;
+    what enters a step is added to the running counts and what leaves it is taken off. A task holds the counts of ``5 * steps`` steps.
+    """
+    width = 4 * steps
+    buckets = score_buckets(df, score, positive, thresholds, [F.col(step).cast("bigint").alias("step")])
+    blocks = F.array_distinct(F.array(F.floor(F.col("step") / width), F.floor((F.col("step") + (steps - 1)) / width)))
+    lowest = F.coalesce("bucket", F.lit(-(1 << 31)))  # rows without a score
+    placed = buckets.select(F.explode(blocks).alias("block"), "step", lowest.alias("bucket"), "pos", "neg")
+
+    def slide(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("step")
+        at, pos, neg = (rows[c].to_numpy() for c in ("step", "pos", "neg"))
+        values, place = np.unique(rows["bucket"].to_numpy(), return_inverse=True)
+        running, found = np.zeros((2, len(values)), np.int64), []
+        present, starts = np.unique(at, return_index=True)
+        ends, oldest = [*starts[1:], len(at)], 0
+        for now, start, end in zip(present.tolist(), starts, ends):
+            running[:, place[start:end]] += (pos[start:end], neg[start:end])
+            while present[oldest] <= now - steps:
+                gone = slice(starts[oldest], ends[oldest])
+                running[:, place[gone]] -= (pos[gone], neg[gone])
+                oldest += 1
+            if now // width != rows["block"][0].as_py():
+                continue
+            n_pos, n_neg = running.sum(axis=1).tolist()
+            above = n_pos - np.cumsum(running[0])
+            area = float(running[1] @ above) + float(running[1] @ running[0]) / 2
+            found.append((now, n_pos, n_neg, area / (n_pos * n_neg) if n_pos * n_neg else None))
+        columns = list(zip(*found)) or [(), (), (), ()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["step", "n_pos", "n_neg", "auc"])
+
+    found = placed.groupBy("block").applyInArrow(slide, "step bigint, n_pos bigint, n_neg bigint, auc double")
+    return found.select(F.col("step").cast(dict(df.dtypes)[step]).alias(step), "n_pos", "n_neg", "auc")
 
 
 def epoch_means(df: DataFrame, epoch: Column, batch: Column, values: Sequence[str]) -> DataFrame:

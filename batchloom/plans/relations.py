@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from batchloom.operators import batching, filters, lookups, metrics, ranges, sets, sharding
+from batchloom.operators import batching, colocated, filters, lookups, metrics, ranges, sets, sharding
 
 from batchloom.plans.batching import QUEUED, WORDS, array_sum, supplier_batch_data
 from batchloom.plans.registry import query
 from batchloom.plans.sharding import supplier_batches
 from batchloom.plans.sources import DOC_LINES, PLACE_SUM, place_sum
 from batchloom.operators.positions import id_positions
-from batchloom.session import spread, table
+from batchloom.session import scratch, spread, table
 from batchloom.sources.text import drop_blank_records as drop_blank
 from batchloom.sources.text import words
 
@@ -78,6 +80,30 @@ def skip_processed_records(spark, sf):
     return lookups.skip_processed_records(records, merged, "l_suppkey", "l_orderkey")
 
 
+def numbered_line_items(spark, sf):
+    """Line items with a file for each 1000 orders and a record number that grows with the order."""
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("record")
+    return table(spark, sf, "lineitem").select(F.expr("l_orderkey div 1000").alias("file"), number, "l_partkey")
+
+
+@query("""WITH r AS (SELECT l_orderkey // 1000 AS file, l_orderkey * 8 + l_linenumber AS record, l_partkey FROM lineitem),
+  m AS (SELECT file, min(record) AS first, max(record) AS last FROM r GROUP BY file)
+SELECT r.* FROM r JOIN m ON r.file = m.file WHERE r.file % 3 = 2 OR r.file % 3 = 1 AND record > first + (last - first) // 2""")
+def skip_finished_files(spark, sf):
+    """One file of three is processed in two parts that touch, one up to its middle, one not at all."""
+    path = scratch(spark, "records")
+    rows = numbered_line_items(spark, sf)
+    rows.repartition("file").write.partitionBy("file").parquet(path)
+    manifest = rows.groupBy("file").agg(F.min("record").alias("first"), F.max("record").alias("last"))
+    middle = F.expr("first + (last - first) div 2")
+    early = F.struct(F.col("first").alias("begin"), middle.alias("end"))
+    late = F.struct((middle + 1).alias("begin"), F.col("last").alias("end"))
+    done = F.when(F.col("file") % 3 == 0, F.array(early, late)).when(F.col("file") % 3 == 1, F.array(early))
+    merged = ranges.merge_ranges(manifest.select("file", F.inline(done)), "file", "begin", "end")
+    records = spark.read.schema("record bigint, l_partkey bigint, file bigint").parquet(path)
+    return lookups.skip_finished_files(records, manifest, merged, "file", "record").select("file", "record", "l_partkey")
+
+
 @query("""WITH c AS (SELECT s_suppkey AS l_suppkey, (s_suppkey * 37) % 9000 AS b, (s_suppkey * 37) % 9000 + 400 AS e, 0 AS chunk FROM supplier
   UNION ALL SELECT s_suppkey, (s_suppkey * 37) % 9000 + 300, (s_suppkey * 37) % 9000 + 2500, 1 FROM supplier)
 SELECT l.l_suppkey, chunk, l_orderkey, l_linenumber, l_partkey FROM lineitem l JOIN c ON l.l_suppkey = c.l_suppkey AND l_orderkey BETWEEN b AND e""")
@@ -231,6 +257,16 @@ def kv_multi_get(spark, sf):
     return lookups.kv_multi_get(keys, values, "key").select("o_orderkey", "key", "label", "first_value")
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey AS key, p_brand, p_retailprice FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
+def bucketed_multi_get(spark, sf):
+    """The part of each line item, from a table of parts in 16 buckets."""
+    name = f"parts_{uuid.uuid4().hex}"
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_brand", "p_retailprice")
+    colocated.save_bucketed(parts, "key", 16, name, scratch(spark, "buckets"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("key"))
+    return colocated.bucketed_multi_get(items, name, "key")
+
+
 @query("""WITH j AS (SELECT c_custkey AS job, (c_custkey * 13) % 20011 AS leader FROM customer)
 SELECT job, leader, o_orderstatus AS status, o_orderkey IS NOT NULL AS found FROM j LEFT JOIN orders ON leader = o_orderkey""")
 def leader_lookup(spark, sf):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchloom.sources.pairs import PairSource, qualified
+
 BYTES_CLASS = "org.apache.hadoop.io.BytesWritable"
 
 
@@ -60,89 +60,22 @@ def read_sequence_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pairs.map(lambda p: (bytes(p[0]), bytes(p[1]))), "key binary, value binary")
 
 
-def file_system(uri: str):
-    """File system and path of a qualified path, as Hadoop spells it; raises for a store that it can't open."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
+def write_raw_kv(df: DataFrame, path: str, rows_per_file: int = 100_000, block_bytes: int = 1 << 27, mode: str = "append") -> None:
+    """Write length-prefixed pairs, several files per task; a job that fails leaves none, see :class:`PairSource`.
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme of its store."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    ``path`` is a folder of any store that the executors reach, with or without its scheme. Null keys or values fail the job.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(PairSource)
+    pairs = df.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    options = {"folder": qualified(spark, path), "rows": rows_per_file, "block": block_bytes}
+    pairs.write.format(PairSource.name()).mode(mode).options(**options).save()
 
 
-def write_raw_kv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
-    """Write length-prefixed pairs, several files per task, each put in place only when complete.
+def read_raw_kv(spark: SparkSession, path: str, split_bytes: int = 1 << 25) -> DataFrame:
+    """Length-prefixed pairs as binary columns, from all committed files of the folder, or all its files if none has an index.
 
-    ``path`` is a folder of any store that the executors reach, with or without its scheme.
-    """
-    uri = qualified(df.sparkSession, path)
-
-    def write_part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import struct
-
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        store, folder = file_system(uri)
-        store.create_dir(folder)
-        part, rows, out, names = 0, 0, None, []
-
-        def names_of(n):
-            name = f"part-{context.partitionId():05d}-{n:04d}.kv"
-            # readers skip names that begin with a dot
-            return f"{folder}/.{name}.{context.taskAttemptId()}.tmp", f"{folder}/{name}"
-
-        for frame in frames:
-            for key, value in zip(frame["key"], frame["value"]):
-                if out is None:
-                    out = store.open_output_stream(names_of(part)[0])
-                out.write(struct.pack("=I", len(key)) + key + struct.pack("=I", len(value)) + value)
-                rows += 1
-                if rows == rows_per_file:
-                    out.close()
-                    store.move(*names_of(part))
-                    names.append((names_of(part)[1], rows))
-                    part, rows, out = part + 1, 0, None
-        if out is not None:
-            out.close()
-            store.move(*names_of(part))
-            names.append((names_of(part)[1], rows))
-        yield pd.DataFrame(names, columns=["file", "rows"])
-
-    df.select("key", "value").mapInPandas(write_part, "file string, rows bigint").agg(F.sum("rows")).collect()
-
-
-def read_raw_kv(spark: SparkSession, path: str) -> DataFrame:
-    """Length-prefixed pairs as binary columns, from all files of the folder; one file is one unit of work.
-
-    A file that ends inside a pair fails the job with its name.
+    Blocks of the index are dealt to tasks of about ``split_bytes``. A file that ends inside a pair fails the job with its name.
     """
-
-    def frames_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import struct
-
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                at, pairs = 0, []
-                while at < len(content):
-                    pair = []
-                    for _ in range(2):
-                        size = struct.unpack_from("=I", content, at)[0] if at + 4 <= len(content) else len(content)
-                        if at + 4 + size > len(content):
-                            raise ValueError(f"{name} is cut inside the pair at byte {at}")
-                        pair.append(content[at + 4 : at + 4 + size])
-                        at += 4 + size
-                    pairs.append(pair)
-                    if len(pairs) == 10_000:
-                        yield pd.DataFrame(pairs, columns=["key", "value"])
-                        pairs = []
-                if pairs:
-                    yield pd.DataFrame(pairs, columns=["key", "value"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(frames_of, "key binary, value binary")
+    spark.dataSource.register(PairSource)
+    return spark.read.format(PairSource.name()).option("folder", qualified(spark, path)).option("split", split_bytes).load()

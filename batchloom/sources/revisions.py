@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.sources.binary import file_system, qualified
+from batchloom.sources.pairs import file_system, qualified
 
 FOLDER = re.compile(r"revisions=(-?\d+)\.\.(-?\d+)$")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 
-from batchloom.sources.binary import file_system
+from batchloom.sources.pairs import file_system
 
 
 def line_splitter() -> Callable[[str], Iterator[tuple[int, str]]]:

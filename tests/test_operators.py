@@ -521,3 +521,105 @@ def test_observed_counts_tell_of_lost_rows(spark):
     assert lost == {"feed_count": 500, "predict_count": 499, "matches": False} and spark.read.parquet(path).count() == 499
     none = scoring.audited_write(df.limit(0), lambda rows: rows, scratch(spark, "answers"))
     assert none == {"feed_count": 0, "predict_count": 0, "matches": True}
+
+
+def test_sliding_auc_by_pairs_of_rows(spark):
+    rows = [(rng.choice([-70, -3, 0, 1, 2, 5, 6, 40, 41, 79, 80, 81, 200]), rng.choice([None, 0.0, 0.1, 0.1, 0.5, 0.9, 1.0]), rng.random() < 0.4) for _ in range(400)]
+    df = spark.createDataFrame(rows, "s int, p double, y boolean")
+    found = {r["s"]: (r["n_pos"], r["n_neg"], r["auc"]) for r in metrics.sliding_auc(df, "s", F.col("p"), F.col("y"), steps=4, thresholds=10).collect()}
+    for s in {r[0] for r in rows}:
+        held = [(-1 if p is None else int(p * 10), y) for t, p, y in rows if s - 4 < t <= s]
+        pos, neg = [p for p, y in held if y], [p for p, y in held if not y]
+        wins = sum((a > b) + (a == b) / 2 for a in pos for b in neg)
+        assert found[s][:2] == (len(pos), len(neg))
+        assert found[s][2] == (pytest.approx(wins / (len(pos) * len(neg))) if pos and neg else None)
+    assert len(found) == len({r[0] for r in rows})
+    assert metrics.sliding_auc(df.limit(0), "s", F.col("p"), F.col("y")).collect() == []
+
+
+def test_sliding_auc_copies_a_count_once_at_most(spark):
+    df = spark.range(10_000).select(F.col("id").alias("s"), F.lit(0.5).alias("p"), (F.col("id") % 2 == 0).alias("y"))
+    plan = metrics.sliding_auc(df, "s", F.col("p"), F.col("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "array_distinct" in plan
+
+
+def pair_rows(spark, n, width=5):
+    value = F.expr(f"cast(repeat(cast(id % 10 as string), cast(id % {width} as int)) as binary)")
+    return spark.range(n).select(F.col("id").cast("string").cast("binary").alias("key"), value.alias("value"))
+
+
+def test_pair_files_are_read_by_block(spark, tmp_path):
+    from batchloom.sources import binary
+
+    path = str(tmp_path / "kv")
+    df = pair_rows(spark, 5000).repartition(2)
+    binary.write_raw_kv(df, path, rows_per_file=2000, block_bytes=1000)
+    back = binary.read_raw_kv(spark, path, split_bytes=4000)
+    assert back.rdd.getNumPartitions() > 3  # more than the files
+    assert pairs(back) == pairs(df)
+    binary.write_raw_kv(pair_rows(spark, 7), path)
+    assert binary.read_raw_kv(spark, path).count() == 5007
+    binary.write_raw_kv(pair_rows(spark, 3), path, mode="overwrite")
+    assert pairs(binary.read_raw_kv(spark, path)) == pairs(pair_rows(spark, 3))
+    assert len(list((tmp_path / "kv").glob("*.json"))) == 1
+    binary.write_raw_kv(pair_rows(spark, 0), str(tmp_path / "none"))
+    assert binary.read_raw_kv(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_large_pair_file_has_many_tasks(spark, tmp_path):
+    from batchloom.sources import binary
+
+    path = str(tmp_path / "kv")
+    wide = spark.range(100, numPartitions=1).select(F.col("id").cast("string").cast("binary").alias("key"), F.expr("cast(repeat('x', 1000000 + cast(id as int)) as binary)").alias("value"))
+    binary.write_raw_kv(wide, path, block_bytes=1 << 23)
+    assert len(list((tmp_path / "kv").glob("*.kv"))) == 1
+    back = binary.read_raw_kv(spark, path, split_bytes=1 << 24)
+    assert back.rdd.getNumPartitions() >= 4
+    assert pairs(back.select(F.col("key").cast("string"), F.length("value"))) == sorted((str(n), 1000000 + n) for n in range(100))
+
+
+def test_failed_pair_job_leaves_nothing(spark, tmp_path):
+    from batchloom.sources import binary
+
+    path = str(tmp_path / "kv")
+    bad = pair_rows(spark, 400).withColumn("value", F.when(F.col("key") != F.lit("399").cast("binary"), F.col("value"))).repartitionByRange(4, "key")
+    with pytest.raises(Exception, match="no key or no value"):
+        binary.write_raw_kv(bad, path, rows_per_file=10)
+    left = [p for p in (tmp_path / "kv").rglob("*") if not p.name.endswith(".crc")]
+    assert not [p for p in left if p.name.startswith("_index")]
+    binary.write_raw_kv(pair_rows(spark, 40), path)
+    assert pairs(binary.read_raw_kv(spark, path)) == pairs(pair_rows(spark, 40))
+    cut_file = next((tmp_path / "kv").glob("*.kv"))
+    cut_file.write_bytes(cut_file.read_bytes()[:-1])
+    with pytest.raises(Exception, match=f"{cut_file.name} is cut inside the pair"):
+        binary.read_raw_kv(spark, path).collect()
+
+
+def test_bucketed_lookup_with_hot_and_null_keys(spark, tmp_path):
+    from batchloom.operators import colocated
+
+    values = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    colocated.save_bucketed(values, "k", 4, "bucket_test", str(tmp_path / "b"))
+    keys = [None] * 20 + [7] * 3000 + [rng.randrange(600) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "n int, k bigint")
+    found = {r["n"]: r["v"] for r in colocated.bucketed_multi_get(rows, "bucket_test", "k", hot_rows=100).collect()}
+    assert found == {n: k * 3 if k is not None and k < 500 else None for n, k in enumerate(keys)}
+    assert pairs(colocated.bucketed_get(spark, "bucket_test", "k", [3, 499, 600]).select("k", "v")) == [(3, 9), (499, 1497)]
+    assert colocated.bucketed_multi_get(rows.limit(0), "bucket_test", "k").collect() == []
+
+
+def test_finished_files_are_not_opened(spark, tmp_path):
+    rows = [(f, n) for f in (1, 2, 3, 4) for n in range(10 * f, 10 * f + 8)]
+    path = tmp_path / "records"
+    spark.createDataFrame(rows, "f bigint, n bigint").repartition("f").write.partitionBy("f").parquet(str(path))
+    for part in (path / "f=1").glob("*.parquet"):
+        part.write_bytes(b"no parquet")  # whoever opens it fails
+    for crc in (path / "f=1").glob(".*.crc"):
+        crc.unlink()
+    records = spark.read.schema("n bigint, f bigint").parquet(str(path))
+    manifest = spark.createDataFrame([(f, 10 * f, 10 * f + 7) for f in (1, 2, 3, 4)], "f bigint, first bigint, last bigint")
+    done = spark.createDataFrame([(1, 5, 99), (2, 20, 22), (2, 24, 27), (3, 31, 37)], "f bigint, begin bigint, end bigint")
+    found = lookups.skip_finished_files(records, manifest, done, "f", "n")
+    assert pairs(found.select("f", "n")) == [(2, 23), (3, 30), *[(4, n) for n in range(40, 48)]]
+    with pytest.raises(Exception):
+        lookups.skip_processed_records(records, done, "f", "n").collect()

@@ -71,3 +71,25 @@ def test_ranks_of_a_hot_job_are_found_in_many_tasks(spark):
     assert plan_of(ranked).count("Window [") >= 2
     found = {r["m"]: r["rank"] for r in ranked.collect()}
     assert found == {5900: 0} | {m: m + 1 for m in range(4999)}
+
+
+def test_bucketed_table_stays_in_place(spark, tmp_path):
+    from batchloom.operators import colocated
+
+    values = spark.range(2000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    colocated.save_bucketed(values, "k", 16, "plan_test", str(tmp_path / "b"))
+    assert len(list((tmp_path / "b").glob("*.parquet"))) == 16
+    rows = spark.range(100_000).select((F.col("id") % 3000).alias("k"))
+    plan = plan_of(colocated.bucketed_multi_get(rows, "plan_test", "k"))
+    table_side = plan[plan.index("SortMergeJoin"):]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(k" in table_side
+    scan = table_side[table_side.index("FileScan"):]
+    assert "Bucketed: true" in scan and "SelectedBucketsCount: 16 out of 16" in scan
+    held = {r["f"] for r in spark.table("plan_test").where("k in (5, 6)").select(F.col("_metadata.file_name").alias("f")).collect()}
+    for part in (tmp_path / "b").glob("*.parquet"):
+        if part.name not in held:
+            part.write_bytes(b"no parquet")  # whoever opens it fails
+    for crc in (tmp_path / "b").glob(".*.crc"):
+        crc.unlink()
+    assert 1 <= len(held) <= 2
+    assert sorted(r["v"] for r in colocated.bucketed_get(spark, "plan_test", "k", [5, 6]).collect()) == [5, 6]
