@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import components, forest, shuffle_partitions, store, text_bytes, text_ref, whole_groups
+from batchloom.llm.common import components, forest, shuffle_partitions, store, text_bytes, whole_groups
 
 SHINGLE = 3
 SAMPLE = 2048  # fingerprints from which correlations and candidate counts are estimated; results don't depend on it
@@ -79,7 +79,9 @@ def bit_groups(sample: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(sample: np.ndarray, groups: list[list[int]], rows: int, limit: int) -> tuple[float, list[int]]:
+def allocate(
+    sample: np.ndarray, groups: list[list[int]], rows: int, limit: int, row_cost: int = ROW_COST
+) -> tuple[float, list[int]]:
     """Thresholds of the groups, -1 (not probed) and up, that sum to ``limit - parts + 1`` at the least estimated cost.
 
     Two fingerprints within ``limit`` bits differ by at most its threshold in one group at least. The candidates of a
@@ -96,7 +98,7 @@ def allocate(sample: np.ndarray, groups: list[list[int]], rows: int, limit: int)
         cost = {-1: 0.0}
         for t in range(min(limit, width) + 1):
             pairs = sum((near[d] + 0.5 / (1 << min(60, width))) * comb(width - d, t - d) for d in range(t + 1))
-            cost[t] = ROW_COST * rows * comb(width, t) + pairs * scale
+            cost[t] = row_cost * rows * comb(width, t) + pairs * scale
         costs.append(cost)
     best = {0: (0.0, [])}
     for cost in costs:
@@ -126,7 +128,7 @@ def probe_masks(groups: list[list[int]], thresholds: list[int]) -> list[int]:
     return masks
 
 
-def plan_masks(prints: DataFrame, limit: int) -> list[int]:
+def plan_masks(prints: DataFrame, limit: int, row_cost: int = ROW_COST) -> list[int]:
     rows = prints.count()
     sampled = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     if rows < 2:
@@ -134,7 +136,7 @@ def plan_masks(prints: DataFrame, limit: int) -> list[int]:
     plans = []
     for parts in range(2, limit + 2):
         groups = bit_groups(sampled, parts)
-        cost, thresholds = allocate(sampled, groups, rows, limit)
+        cost, thresholds = allocate(sampled, groups, rows, limit, row_cost)
         plans.append((cost, parts, groups, thresholds))
     _, _, groups, thresholds = min(plans, key=lambda p: p[:2])
     return probe_masks(groups, thresholds)
@@ -210,34 +212,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("component_id"))
     named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
-    """One row of ``docs`` of each component: the one with the smallest id, and of rows with that id the first by a hash of the text.
-
-    Rows without an id come after all others. Rows are told apart by id and text; of rows that repeat both one stays.
-    """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(texts.dtypes)["doc_id"]
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([fingerprint(x) for x in text_bytes(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ref"), pa.array(values)], names=["doc_id", "ref", "fp"])
-
-    marked = texts.withColumn("ref", text_ref(F.col("text"))).mapInArrow(rows, f"doc_id {kind}, ref binary, fp long")
-    prints = store(marked, "prints")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref")
-    nodes = store(prints.groupBy("fp").agg(F.min(place).alias("first")), "nodes")
-    rooted = with_roots(nodes, limit)
-    least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("least"))
-    named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("fp").alias("of_fp"), "least")
-    stays = place.eqNullSafe(F.col("least"))
-    found = prints.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "ref", stays.alias("stays"))
-    found = store(found.groupBy("doc_id", "ref", "stays").agg(F.count(F.lit(1)).alias("n")), "found")  # equal rows share their verdict
-    touched = found.where("not stays or n > 1")
-    match = docs[id_col].eqNullSafe(touched["doc_id"]) & (text_ref(docs[text_col]) == touched["ref"])
-    kept = docs.alias("d").join(touched.alias("t"), match, "left").where(F.coalesce("t.stays", F.lit(True)))
-    rows_kept = kept.select(F.struct("d.*").alias("row"), F.col("t.doc_id").alias("id"), F.col("t.ref").alias("ref"))
-    once = rows_kept.where("ref is null").select("row.*")
-    return once.unionByName(rows_kept.where("ref is not null").dropDuplicates(["id", "ref"]).select("row.*"))

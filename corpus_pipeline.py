@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from batchloom.llm.common import store
 from batchloom.llm.linededup import drop_common_lines
 from batchloom.llm.mixing import take_mix
+from batchloom.llm.nearcopies import drop_near_copies
 from batchloom.llm.packing import best_fit_packing
 from batchloom.llm.quality import apply_quality
-from batchloom.llm.simhash import drop_near_duplicates
 from batchloom.session import table
 
 
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

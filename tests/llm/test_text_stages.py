@@ -11,7 +11,7 @@ import xxhash
 from fixtures import awkward, empty, texts, words
 
 import corpus_pipeline
-from batchloom.llm import linededup, mixing, packing, quality, simhash
+from batchloom.llm import linededup, mixing, nearcopies, packing, quality, simhash
 from batchloom.llm.common import components, forest
 from batchloom.llm.queries import QUERIES
 from batchloom.session import table
@@ -144,6 +144,64 @@ def test_pigeonhole_finds_all_links(spark, limit):
     assert {v: got.get(v, v) for v in values} == want
 
 
+def slow_shingle_print(text):
+    """Four 64-bit fingerprints of the different five-word shingles, each of hashes mixed in its own way."""
+    found = (text or "").encode().lower().split()
+    shingles = {b" ".join(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+    whole, prints = 2**64, []
+    for stream in range(4):
+        counts = [0] * 64
+        for shingle in shingles:
+            z = (xxhash.xxh64_intdigest(shingle, 42) + 0x9E3779B97F4A7C15 * (stream + 1)) % whole
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % whole
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % whole
+            z ^= z >> 31
+            for bit in range(64):
+                counts[bit] += z >> bit & 1
+        prints.append(sum(1 << bit for bit in range(64) if counts[bit] * 2 > len(shingles)))
+    return prints
+
+
+def slow_copies(one, other):
+    """Fingerprints within 3 bits, or within 9 and 43 of the 256 bits of the second ones."""
+    first = (one[0] ^ other[0]).bit_count()
+    return first <= 3 or first <= 9 and sum((a ^ b).bit_count() for a, b in zip(one[1], other[1])) <= 43
+
+
+def edited(rng, text, changes):
+    found = text.split()
+    for at in rng.sample(range(len(found)), changes):
+        found[at] = "changed" + str(rng.randrange(1000))
+    return " ".join(found)
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_near_copies_by_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "HELD", 50)
+    rng = random.Random(31)
+    made = [words(rng, rng.randint(1, 200)) for _ in range(40)]
+    made += [edited(rng, t, rng.randint(1, 6)) for t in made if len(t.split()) > 60 for _ in range(6)]
+    made += [edited(rng, max(made, key=len), 1) for _ in range(60)] + ["", None, " "]
+    docs = {i: t for i, t in enumerate(made)}
+    prints = {i: (slow_fingerprint(t), slow_shingle_print(t)) for i, t in docs.items()}
+    links = [(a, b) for a in docs for b in docs if a < b and slow_copies(prints[a], prints[b])]
+    want = slow_components(docs, links)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in rows(nearcopies.drop_near_copies(df))} == {k for k, v in want.items() if k == v}
+    assert any((prints[a][0] ^ prints[b][0]).bit_count() > 3 for a, b in links)
+
+
+def test_near_copies_of_a_similarity_are_found(spark):
+    """Texts with one word in about 60 changed share 0.8 or more of their five-word shingles; others stay."""
+    rng = random.Random(32)
+    alone = [words(rng, 300) for _ in range(150)]
+    copies = [edited(rng, t, 4) for t in alone]
+    df = spark.createDataFrame(list(enumerate(alone + copies)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in rows(nearcopies.drop_near_copies(df))}
+    assert kept >= set(range(150)) and len(kept) <= 150 + 15
+
+
 def test_allocation_covers_the_limit():
     sample = np.random.default_rng(0).integers(0, 2**63, 200).astype(np.uint64)
     for parts in (2, 3, 4):
@@ -405,7 +463,7 @@ def test_awkward_rows(spark):
     near = rows(simhash.near_duplicates(df))
     assert len(near) == n and {r["component_id"] for r in near if r["doc_id"] in (5, 6)} == {5}
     assert {r["component_id"] for r in near if r["doc_id"] in (1, 2, 9)} == {1}
-    kept = simhash.drop_near_duplicates(df)
+    kept = nearcopies.drop_near_copies(df)
     assert Counter(r["doc_id"] for r in kept.collect())[5] == 1 and kept.columns == df.columns
     mixed = rows(mixing.mix(df))
     assert len(mixed) == n and all(r["taken"] <= 3 * r["size"] for r in mixed)
@@ -419,7 +477,7 @@ def test_rows_without_id_or_with_two_texts(spark):
     copied, alone, second, twin = (words(rng, 60) for _ in range(4))
     made = [(3, copied, "h"), (None, copied, "h"), (None, alone, "h"), (5, copied, "h"), (5, second, "h"), (None, twin, "h"), (None, twin, "h")]
     df = spark.createDataFrame(made, "doc_id long, text string, source string")
-    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()]
+    kept = [(r["doc_id"], r["text"]) for r in nearcopies.drop_near_copies(df).collect()]
     assert Counter(kept) == Counter([(3, copied), (None, alone), (5, second), (None, twin)])
     made = [(None, alone, "h"), (None, "too short", "h"), (5, second, "h"), (5, "short too", "h")]
     df = spark.createDataFrame(made, "doc_id long, text string, source string")
@@ -433,7 +491,7 @@ def test_empty_tables(spark):
         quality.apply_quality(df),
         linededup.drop_common_lines(df),
         simhash.near_duplicates(df),
-        simhash.drop_near_duplicates(df),
+        nearcopies.drop_near_copies(df),
         mixing.mix(df),
         mixing.take_mix(df),
         packing.best_fit_packing(df),
@@ -453,9 +511,8 @@ def test_pipeline(spark, docs):
             want = plain_blocks(texts(df))
             assert texts(out) == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(want[k])) for k, t in texts(df).items()}
         elif name == "simhash_near_dedup":
-            prints = {k: slow_fingerprint(t) for k, t in texts(df).items()}
-            near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
-            want = slow_components(prints, near)
+            prints = {k: (slow_fingerprint(t), slow_shingle_print(t)) for k, t in texts(df).items()}
+            want = slow_components(prints, [(a, b) for a in prints for b in prints if a < b and slow_copies(prints[a], prints[b])])
             assert {r["doc_id"] for r in rows(out)} == {k for k, v in want.items() if k == v}
         elif name == "mix_sources":
             assert Counter(r["doc_id"] for r in rows(out)) == Counter({r["doc_id"]: r["times"] for r in rows(mixing.mix(df)) if r["times"]})
