@@ -33,11 +33,11 @@ from batchloom.llm.repeats import (
 )
 
 LENGTH = 400
-SYMBOL = 100  # bytes; suffixes are compared by symbols of so many, LENGTH of them make DEPTH symbols
+SYMBOL = 50  # bytes; suffixes are compared by symbols of so many, LENGTH of them make DEPTH symbols
 DEPTH = LENGTH // SYMBOL
 ANCHOR = 128  # bytes of an anchor
 CHUNK = 1 << 20  # bytes that are looked at together
-SHARD = 1 << 20  # bytes that are sorted at once
+SHARD = 1 << 17  # bytes that are sorted at once; merging makes one transform of all shards of a task
 TASK_BYTES = 1 << 21  # of blocks that meet in a task
 CROWD = 1000  # unlike blocks of an anchor, beyond which their windows are compared one by one, dealt by their own content
 BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
@@ -144,35 +144,35 @@ def transform(texts: list[bytes], base: int) -> tuple[Transform, np.ndarray]:
     return whole, groups
 
 
-def merge(a: Transform, b: Transform) -> tuple[Transform, np.ndarray]:
-    """Merge two transforms and group their rows by the first DEPTH symbols, without sorting suffixes again.
+def merge(shards: list[Transform]) -> tuple[Transform, np.ndarray]:
+    """Merge transforms and group their rows by the first DEPTH symbols, without sorting suffixes again.
 
-    ``from_b`` says of each merged row whose it is. In each turn every row sends its source to the place of the row before it in
+    ``source`` says of each merged row whose it is. In each turn every row sends its source to the place of the row before it in
     the text: those with a smaller symbol before them first, equal symbols in the present order. After ``t`` turns rows are
     in the order of their first ``t`` symbols, and a row starts a new group where its first ``t`` symbols are not those of the row above.
     """
-    kinds, index = np.unique(np.concatenate([a.before, b.before]), return_inverse=True)
+    numbers = np.arange(len(shards), dtype=np.uint16)  # stable sorts of 16-bit numbers are linear
+    before = np.concatenate([s.before for s in shards])
+    kinds, index = np.unique(before, return_inverse=True)
     code = index + (kinds[0] != 0)  # 0 is the start of a chain
-    code_a, code_b = code[: len(a.before)], code[len(a.before) :]
-    ends = np.concatenate([np.zeros(a.ends, bool), np.ones(b.ends, bool)])
-    from_b = np.concatenate([np.zeros(len(code_a), bool), np.ones(len(code_b), bool)])
+    ends = np.repeat(numbers, [s.ends for s in shards])
+    source = np.repeat(numbers, [len(s.before) for s in shards])
     group = np.zeros(len(code), np.int64)
     merged = np.empty(len(code), np.int64)
     for _ in range(DEPTH):
-        merged[~from_b] = code_a
-        merged[from_b] = code_b
+        merged[np.argsort(source, kind="stable")] = code
         slots = np.flatnonzero(merged)
         keys = np.sort((merged[slots] << 32) | slots)
         order = keys & 0xFFFFFFFF
         symbol, above = keys >> 32, group[order]
         new = np.ones(len(keys), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (above[1:] != above[:-1])
-        from_b = np.concatenate([ends, from_b[order]])
+        source = np.concatenate([ends, source[order]])
         group = np.concatenate([np.zeros(len(ends), np.int64), np.cumsum(new)])
-    before, row = np.empty(len(code), np.uint64), np.empty(len(code), np.int64)
-    before[~from_b], before[from_b] = a.before, b.before
-    row[~from_b], row[from_b] = a.row, b.row
-    return Transform(before, row, len(ends)), group
+    places = np.argsort(source, kind="stable")
+    whole = Transform(np.empty_like(before), np.empty(len(code), np.int64), len(ends))
+    whole.before[places], whole.row[places] = before, np.concatenate([s.row for s in shards])
+    return whole, group
 
 
 def repeated_rows(texts: list[bytes], weights: np.ndarray, shard: int = 0) -> np.ndarray:
@@ -186,10 +186,7 @@ def repeated_rows(texts: list[bytes], weights: np.ndarray, shard: int = 0) -> np
             held, base, size = [], base + size, 0
     if held:
         shards.append(transform(held, base))
-    while len(shards) > 1:
-        pairs = [merge(shards[i][0], shards[i + 1][0]) for i in range(0, len(shards) - 1, 2)]
-        shards = pairs + shards[2 * len(pairs) :]
-    whole, group = shards[0]
+    whole, group = shards[0] if len(shards) == 1 else merge([s for s, _ in shards])
     real = whole.row >= 0
     rows, group = whole.row[real], group[real]
     counts = np.bincount(group, weights[rows])
