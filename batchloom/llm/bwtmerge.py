@@ -86,62 +86,76 @@ class Transform:
     """Sorted suffixes of a shard: ends of chains first. ``before`` is the symbol before each, 0 at the start of its chain."""
 
     before: np.ndarray
-    row: np.ndarray  # place in the shard's text, -1 for ends
+    row: np.ndarray  # place in the texts, -1 for ends
     ends: int
 
 
-def chains(sizes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Chains:
     """Texts in symbols. A suffix at a byte goes on SYMBOL bytes further, so each text is SYMBOL chains of symbols.
 
-    Gives the places that begin a symbol, the place of the next symbol (-1 at the end), and the 64-bit symbols of all places.
+    By place: ``code``, the number of the symbol that begins there, 0 if less than SYMBOL bytes are left, and the bytes up to
+    the start and the end of the text. All shards number symbols alike.
     """
-    starts = np.cumsum(sizes) - sizes
-    local = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
-    room = np.repeat(sizes, sizes) - local
-    at = np.flatnonzero(room >= SYMBOL)
-    after = np.where(room[at] >= 2 * SYMBOL, at + SYMBOL, -1)
-    symbols = np.zeros(len(local), np.uint64)
-    symbols[at] = Sums(names, BASES[0]).of(at, at + SYMBOL) | np.uint64(1)  # 0 stands for no symbol
-    return at, after, symbols
 
+    code: np.ndarray
+    local: np.ndarray
+    room: np.ndarray
 
-def dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Ranks, from 1, of pairs of numbers below 2^31."""
-    return np.unique((high.astype(np.int64) << 32) | low, return_inverse=True)[1] + 1
+    def part(self, start: int, end: int) -> Chains:
+        return Chains(self.code[start:end], self.local[start:end], self.room[start:end])
 
 
-def transform(texts: list[bytes], base: int) -> tuple[Transform, np.ndarray]:
-    """The transform of a shard, by ranks of 1, 2, 4 and so on up to DEPTH symbols, and the group of each row at that depth."""
+def chains(texts: list[bytes]) -> Chains:
     sizes = np.array([len(x) for x in texts])
     names = BYTE_NAMES[np.frombuffer(b"".join(texts), np.uint8)]
-    at, _, symbols = chains(sizes, names)
-    total = int(sizes.sum())
-    room = np.repeat(sizes, sizes) - (np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    rank = np.zeros(total, np.int64)
-    rank[at] = np.unique(symbols[at], return_inverse=True)[1] + 1
-
-    def further(ranks: np.ndarray, count: int) -> np.ndarray:
-        """Rank of the suffix ``count`` symbols further, 0 beyond the end."""
-        goes = room[at] >= (count + 1) * SYMBOL
-        out = np.zeros(len(at), np.int64)
-        out[goes] = ranks[at[goes] + count * SYMBOL]
-        return out
+    local = np.arange(len(names)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    room = np.repeat(sizes, sizes) - local
+    at = np.flatnonzero(room >= SYMBOL)
+    code = np.zeros(len(names), np.int64)
+    code[at] = np.unique(Sums(names, BASES[0]).of(at, at + SYMBOL), return_inverse=True)[1] + 1
+    return Chains(code, local, room)
 
+
+def ranked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks, from 1, of less than 2**bits numbers below 2**(63-bits); their places in order, and the rank of each place."""
+    keys = (values << bits) | np.arange(len(values))
+    keys.sort()
+    place = keys & ((1 << bits) - 1)
+    keys >>= bits
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    ordered = np.cumsum(new)
+    ranks = np.empty(len(keys), np.int64)
+    ranks[place] = ordered
+    return ranks, place, ordered
+
+
+def transform(shard: Chains, base: int) -> tuple[Transform, np.ndarray]:
+    """The transform of a shard, by ranks of 1, 2, 4 and so on up to DEPTH symbols, and the group of each row at that depth.
+
+    A shard has less than 2**21 bytes, so that two ranks and a place fit in 63 bits.
+    """
+    at = np.flatnonzero(shard.code)
+    bits = len(shard.code).bit_length()
+    room = shard.room[at]
+    rank = np.zeros(len(shard.code), np.int64)
+    rank[at], place, group = ranked(shard.code[at], bits)
     known, depth = {1: rank}, 1
     while depth < DEPTH:
         step = max(d for d in known if d <= DEPTH - depth)
-        new = np.zeros(total, np.int64)
-        new[at] = dense(known[depth][at], further(known[step], depth))
+        further = np.zeros(len(at), np.int64)  # rank of the suffix ``depth`` symbols further, 0 beyond the end
+        goes = room >= (depth + 1) * SYMBOL
+        further[goes] = known[step][at[goes] + depth * SYMBOL]
+        new = np.zeros(len(shard.code), np.int64)
+        new[at], place, group = ranked((known[depth][at] << bits) | further, bits)
         depth += step
         known[depth] = new
-    order = at[np.argsort(known[DEPTH][at], kind="stable")]
-    starts = np.cumsum(sizes) - sizes
-    local = order - starts[np.searchsorted(starts, order, "right") - 1]
-    before = np.where(local >= SYMBOL, symbols[np.maximum(order - SYMBOL, 0)], np.uint64(0))
-    last = at[room[at] < 2 * SYMBOL]  # the last symbol of each chain stands before its end
-    whole = Transform(np.concatenate([symbols[last], before]), np.concatenate([np.full(len(last), -1), order + base]), len(last))
-    groups = np.concatenate([np.zeros(len(last), np.int64), known[DEPTH][order]])
-    return whole, groups
+    order = at[place]
+    before = np.where(shard.local[order] >= SYMBOL, shard.code[np.maximum(order - SYMBOL, 0)], 0)
+    last = at[room < 2 * SYMBOL]  # the last symbol of each chain stands before its end
+    whole = Transform(np.concatenate([shard.code[last], before]), np.concatenate([np.full(len(last), -1), order + base]), len(last))
+    return whole, np.concatenate([np.zeros(len(last), np.int64), group])
 
 
 def merge(shards: list[Transform]) -> tuple[Transform, np.ndarray]:
@@ -153,39 +167,35 @@ def merge(shards: list[Transform]) -> tuple[Transform, np.ndarray]:
     """
     numbers = np.arange(len(shards), dtype=np.uint16)  # stable sorts of 16-bit numbers are linear
     before = np.concatenate([s.before for s in shards])
-    kinds, index = np.unique(before, return_inverse=True)
-    code = index + (kinds[0] != 0)  # 0 is the start of a chain
     ends = np.repeat(numbers, [s.ends for s in shards])
     source = np.repeat(numbers, [len(s.before) for s in shards])
-    group = np.zeros(len(code), np.int64)
-    merged = np.empty(len(code), np.int64)
+    group = np.zeros(len(before), np.int32)
+    merged, new = np.empty(len(before), np.int64), np.ones(len(before) - len(ends), bool)
     for _ in range(DEPTH):
-        merged[np.argsort(source, kind="stable")] = code
-        slots = np.flatnonzero(merged)
-        keys = np.sort((merged[slots] << 32) | slots)
-        order = keys & 0xFFFFFFFF
-        symbol, above = keys >> 32, group[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (above[1:] != above[:-1])
-        source = np.concatenate([ends, source[order]])
-        group = np.concatenate([np.zeros(len(ends), np.int64), np.cumsum(new)])
+        merged[np.argsort(source, kind="stable")] = before
+        keys = np.flatnonzero(merged)
+        keys |= merged[keys] << 32
+        keys.sort()
+        order = keys.astype(np.uint32)  # the lower half
+        keys >>= 32
+        above = group[order]
+        new[1:] = (keys[1:] != keys[:-1]) | (above[1:] != above[:-1])
+        source[len(ends) :] = source[order]
+        source[: len(ends)] = ends
+        group[: len(ends)] = 0
+        np.cumsum(new, out=group[len(ends) :])
     places = np.argsort(source, kind="stable")
-    whole = Transform(np.empty_like(before), np.empty(len(code), np.int64), len(ends))
+    whole = Transform(np.empty_like(before), np.empty_like(before), len(ends))
     whole.before[places], whole.row[places] = before, np.concatenate([s.row for s in shards])
     return whole, group
 
 
 def repeated_rows(texts: list[bytes], weights: np.ndarray, shard: int = 0) -> np.ndarray:
     """Places in the joined texts whose next LENGTH bytes occur again. ``weights``, by place: how often the window that begins there counts."""
-    shards, held, size, base = [], [], 0, 0
-    for x in texts:
-        held.append(x)
-        size += len(x)
-        if size >= (shard or SHARD):
-            shards.append(transform(held, base))
-            held, base, size = [], base + size, 0
-    if held:
-        shards.append(transform(held, base))
+    symbols = chains(texts)
+    ends = np.cumsum([len(x) for x in texts])
+    cuts = ends[np.append(np.diff(ends // (shard or SHARD)) > 0, True)]
+    shards = [transform(symbols.part(a, b), a) for a, b in zip([0, *cuts[:-1]], cuts)]
     whole, group = shards[0] if len(shards) == 1 else merge([s for s, _ in shards])
     real = whole.row >= 0
     rows, group = whole.row[real], group[real]
