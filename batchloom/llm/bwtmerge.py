@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def chains(texts: list[bytes]) -> Chains:
     room = np.repeat(sizes, sizes) - local
     at = np.flatnonzero(room >= SYMBOL)
     code = np.zeros(len(names), np.int64)
-    code[at] = np.unique(Sums(names, BASES[0]).of(at, at + SYMBOL), return_inverse=True)[1] + 1
+    code[at] = pd.factorize(Sums(names, BASES[0]).of(at, at + SYMBOL))[0] + 1  # any order of the symbols will do, if it is one
     return Chains(code, local, room)
 
 
@@ -165,16 +166,17 @@ def merge(shards: list[Transform]) -> tuple[Transform, np.ndarray]:
     the text: those with a smaller symbol before them first, equal symbols in the present order. After ``t`` turns rows are
     in the order of their first ``t`` symbols, and a row starts a new group where its first ``t`` symbols are not those of the row above.
     """
-    numbers = np.arange(len(shards), dtype=np.uint16)  # stable sorts of 16-bit numbers are linear
-    before = np.concatenate([s.before for s in shards])
+    # stable sorts of such small numbers are linear
+    numbers = np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.uint16)
+    before = np.concatenate([s.before for s in shards]).astype(np.int32)
     ends = np.repeat(numbers, [s.ends for s in shards])
     source = np.repeat(numbers, [len(s.before) for s in shards])
     group = np.zeros(len(before), np.int32)
-    merged, new = np.empty(len(before), np.int64), np.ones(len(before) - len(ends), bool)
+    merged, new = np.empty(len(before), np.int32), np.ones(len(before) - len(ends), bool)
     for _ in range(DEPTH):
         merged[np.argsort(source, kind="stable")] = before
         keys = np.flatnonzero(merged)
-        keys |= merged[keys] << 32
+        keys |= merged[keys].astype(np.int64) << 32
         keys.sort()
         order = keys.astype(np.uint32)  # the lower half
         keys >>= 32
@@ -185,7 +187,7 @@ def merge(shards: list[Transform]) -> tuple[Transform, np.ndarray]:
         group[: len(ends)] = 0
         np.cumsum(new, out=group[len(ends) :])
     places = np.argsort(source, kind="stable")
-    whole = Transform(np.empty_like(before), np.empty_like(before), len(ends))
+    whole = Transform(np.empty_like(before), np.empty(len(before), np.int64), len(ends))
     whole.before[places], whole.row[places] = before, np.concatenate([s.row for s in shards])
     return whole, group
 
