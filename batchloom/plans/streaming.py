@@ -13,8 +13,8 @@ from batchloom.plans.registry import query
 from batchloom.plans.relations import FOLDED
 from batchloom.plans.scoring import FETCH, STUDENT, place_sum, place_sum_sql, teacher
 from batchloom.session import scratch, table
-from batchloom.sources import revisions
-from batchloom.streaming import balance, changes, ending, eventtime, leases, streams
+from batchloom.sources import files, revisions
+from batchloom.streaming import balance, changes, ending, eventtime, leases, progress, streams
 
 PART_DAYS = ("2024-01-11", "2024-01-21")  # where the event table is cut into the parts that arrive one by one
 
@@ -262,6 +262,42 @@ def stream_scoring(spark, sf):
     return scored.select("vec_id", "label", place_sum(F.col("prediction")).alias("logit_sum"))
 
 
+@query(f"""WITH {STUDENT}, p AS (SELECT *, row_number() OVER (ORDER BY vec_id % 2, vec_id) - 1 AS position FROM lg)
+SELECT vec_id, position, position // 16 AS step, position // 160 AS epoch, {place_sum_sql('s')} AS logit_sum FROM p""")
+def ordered_stream_scoring(spark, sf):
+    """The teacher sees whole steps, wherever their rows lie; positions go on from one arrival to the next."""
+    samples = table(spark, sf, "embeddings")
+    path = scratch(spark, "ordered")
+
+    def score(numbered):
+        dealt = numbered.repartition("step").sortWithinPartitions("step", "position")
+        return scoring.score_with_teacher(
+            dealt, teacher(), {"img": "embedding"}, FETCH, 16, together="step", keep=["vec_id", "position", "step", "epoch"]
+        )
+
+    parts = [samples.where("vec_id % 2 = 0"), samples.where("vec_id % 2 = 1")]
+    replay(spark, parts, "ordered-in", lambda s, cp: progress.follow_steps(spark, s, path, ["vec_id"], 16, 10, 0, cp, score))
+    rows = progress.stepped_rows(spark, path)
+    return rows.select("vec_id", "position", "step", "epoch", place_sum(F.col("prediction")).alias("logit_sum"))
+
+
+@query(f"""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts >= '{PART_DAYS[0]}', ts >= '{PART_DAYS[1]}', event_id) - 1 AS position FROM events),
+  s AS (SELECT *, position // 100 AS step FROM p)
+SELECT event_id, position, step, step // 5 AS epoch, step >= (SELECT max(step) FROM s WHERE step % 7 = 0) AS again FROM s""")
+def resume_from_state(spark, sf):
+    """Steps of 100 events, saved every seventh step. The checkpoint is lost after the first part; ``again`` marks what a restart reads again."""
+    path, states = scratch(spark, "stepped"), scratch(spark, "saved")
+    parts = event_parts(spark, sf)
+    for run, arrived in enumerate((parts[:1], parts[1:])):
+        replay(spark, arrived, "arrived", lambda s, cp: progress.follow_steps(spark, s, path, ["event_id"], 100, 5, run, cp))
+    rows = progress.stepped_rows(spark, path)
+    saved = rows.where("step % 7 = 0").select(F.lit("train").alias("name"), F.col("step").alias("version"), "epoch", "step").distinct()
+    files.save_state(saved, states)
+    again = progress.rows_from_state(spark, path, states, "train").select("position", F.lit(True).alias("again"))
+    columns = ["event_id", "position", "step", "epoch"]
+    return rows.join(again, "position", "left").select(*columns, F.coalesce("again", F.lit(False)).alias("again"))
+
+
 @query("""WITH e AS (SELECT user_id, min(event_id) FILTER (event_type = 'error') AS ending FROM events GROUP BY user_id)
 SELECT events.user_id, count(*) FILTER (ending IS NULL OR event_id < ending) AS n_before_end, bool_and(ending IS NOT NULL) AS ended FROM events JOIN e ON events.user_id = e.user_id GROUP BY events.user_id""")
 def end_of_data(spark, sf):

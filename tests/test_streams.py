@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom.session import scratch
-from batchloom.sources import revisions
-from batchloom.streaming import balance, changes, ending, eventtime, streams
+from batchloom.sources import files, revisions
+from batchloom.streaming import balance, changes, ending, eventtime, progress, streams
 
 SCHEMA = "revision bigint, key string"
 
@@ -181,3 +181,43 @@ def test_windows_and_late_rows(spark):
     assert sorted(r["n"] for r in eventtime.late_rows(spark, paths[1]).collect()) == [3, 5, 7, 9]
     spans = sorted((r["start_us"] // 1000000, r["end_us"] // 1000000, r["beats"]) for r in eventtime.sessions_now(spark, paths[1], "k").collect())
     assert spans == [(10, 245, 2), (290, 410, 1), (600, 820, 2)]
+
+
+def test_steps_go_on_over_batches_and_lost_checkpoints(spark):
+    path, folder, checkpoint = (scratch(spark, n) for n in ("steps", "in", "steps-checkpoint"))
+    schema = "at bigint, key string"
+
+    def arrive(rows, folder):
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(folder)
+
+    def run(folder, number, checkpoint):
+        stream = streams.watch_folder(spark, folder, spark.createDataFrame([], schema).schema)
+        progress.follow_steps(spark, stream, path, ["at", "key"], 4, 2, number, checkpoint)
+        rows = sorted(progress.stepped_rows(spark, path).collect(), key=lambda r: r["position"])
+        assert [r["position"] for r in rows] == list(range(len(rows)))
+        assert all(r["step"] == r["position"] // 4 and r["epoch"] == r["position"] // 8 for r in rows)
+        return [(r["at"], r["key"]) for r in rows]
+
+    first = [(3, "c"), (None, "n"), (1, "a"), (1, None), (2, "b")]
+    arrive(first, folder)
+    want = [(None, "n"), (1, None), (1, "a"), (2, "b"), (3, "c")]
+    assert run(folder, 0, checkpoint) == want
+    arrive([], folder)
+    assert run(folder, 0, checkpoint) == want
+    arrive([(0, "z")], folder)
+    want += [(0, "z")]
+    assert run(folder, 0, checkpoint) == want
+
+    later = scratch(spark, "in-again")
+    arrive([(5, "e"), (4, "d"), (6, "f")], later)
+    want += [(4, "d"), (5, "e"), (6, "f")]
+    assert run(later, 1, scratch(spark, "new")) == want
+    assert run(later, 1, scratch(spark, "new")) == want  # the micro-batch is repeated
+
+    states = scratch(spark, "states")
+    files.save_state(spark.createDataFrame([("other", 9, 2, 4)], "name string, version long, epoch long, step long"), states)
+    assert progress.rows_from_state(spark, path, states, "train").count() == 9
+    files.save_state(spark.createDataFrame([("train", 1, 0, 0), ("train", 2, 0, 1)], "name string, version long, epoch long, step long"), states)
+    again = progress.rows_from_state(spark, path, states, "train")
+    assert sorted(r["position"] for r in again.collect()) == [4, 5, 6, 7, 8]
+    assert "GreaterThanOrEqual(step,1)" in again._jdf.queryExecution().toString()
