@@ -119,43 +119,48 @@ def score_or_dead_letter(
 ) -> DataFrame:
     """Score with retries: a batch gets ``attempts`` tries, then its rows are tried one by one.
 
-    Adds ``attempts`` and ``error``; a row with an error goes to the dead letters, no row is lost.
+    Adds ``attempts`` and ``error``; a row with an error goes to the dead letters, no row is lost. Answers of another number than the rows
+    are an error, and so are fed lists that are null, or of unlike lengths in one batch; tried one by one the latter are answered.
     """
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    schema = output_schema(df, fetches, [("attempts", "int"), ("error", "string")])
+    kinds, columns = to_arrow_schema(StructType.fromDDL(schema)), list(df.columns)
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         teacher = None
 
-        def ask(rows):
-            fetched = teacher({name: np.stack(rows[column].to_list()) for name, column in feeds.items()})
-            return {name: list(fetched[name]) for name in fetches}
-
-        def settle(rows, tries):
-            error = ""
-            for n in range(1, tries + 1):
+        def settle(rows: pa.RecordBatch) -> tuple[list[pa.Array] | None, int, str | None]:
+            error = None
+            for n in range(1, attempts + 1):
                 try:
-                    return ask(rows), n, None
+                    fetched = teacher({name: as_array(rows[column]) for name, column in feeds.items()})
+                    answers = [as_column(np.asarray(fetched[name]), kinds.field(name).type) for name in fetches]
+                    if any(len(x) != rows.num_rows for x in answers):
+                        raise ValueError(f"{[len(x) for x in answers]} answers for {rows.num_rows} rows")
+                    return answers, n, None
                 except Exception as problem:
                     error = f"{type(problem).__name__}: {problem}"
-            return None, tries, error
+            return None, attempts, error
 
-        for frame in frames:
+        def told(rows: pa.RecordBatch, answers: list[pa.Array] | None, used: int, error: str | None) -> pa.RecordBatch:
+            n = rows.num_rows
+            fetched = answers or [pa.nulls(n, kinds.field(name).type) for name in fetches]
+            kept = [rows[c].cast(kinds.field(c).type) for c in columns]
+            last = [pa.array([used] * n, pa.int32()), pa.array([error] * n, pa.string())]
+            return pa.RecordBatch.from_arrays([*kept, *fetched, *last], schema=kinds)
+
+        for batch in batches:
             teacher = teacher or open_teacher()
-            for at in range(0, len(frame), batch_size):
-                rows = frame.iloc[at : at + batch_size]
-                fetched, tries, error = settle(rows, attempts)
-                groups = [(rows, fetched, tries, error)]
-                if error and len(rows) > 1:
-                    single = [rows.iloc[i : i + 1] for i in range(len(rows))]
-                    groups = [(row, *settle(row, attempts)) for row in single]
-                for part, answers, used, failure in groups:
-                    out = part.copy()
-                    for name in fetches:
-                        out[name] = answers[name] if answers else [None] * len(part)
-                    yield out.assign(attempts=used, error=failure)
-
-    return df.mapInPandas(score, output_schema(df, fetches, [("attempts", "int"), ("error", "string")]))
+            for at in range(0, batch.num_rows, batch_size):
+                rows = batch.slice(at, batch_size)
+                outcome = settle(rows)
+                if outcome[2] is None or rows.num_rows == 1:
+                    yield told(rows, *outcome)
+                else:
+                    single = [rows.slice(i, 1) for i in range(rows.num_rows)]
+                    yield from (told(row, *settle(row)) for row in single)
+
+    return df.mapInArrow(score, schema)
 
 
 def open_several(teachers: dict[str, Callable[[], Teacher]], fetch: str) -> Callable[[], Teacher]:

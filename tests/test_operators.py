@@ -299,6 +299,22 @@ def test_dead_letters_keep_every_row(spark):
     assert all(r.y == r.id * 2 for r in rows if not r.error)
 
 
+def test_dead_letters_of_odd_lists_and_lost_answers(spark):
+    def open_teacher():
+        def teach(feeds):
+            total = feeds["x"].sum(axis=1)
+            return {"y": np.stack([total, -total], axis=1)[total != 99]}
+
+        return teach
+
+    made = [(1, [1.0, 2.0]), (2, None), (3, [4.0]), (4, [99.0, 0.0]), (5, [5.0, 6.0])]
+    df = spark.createDataFrame(made, "id long, x array<double>").coalesce(1)
+    rows = {r.id: r for r in scoring.score_or_dead_letter(df, open_teacher, {"x": "x"}, {"y": "array<double>"}, 8, 2).collect()}
+    assert {k: r.y for k, r in rows.items()} == {1: [3, -3], 2: None, 3: [4, -4], 4: None, 5: [11, -11]}
+    assert sorted(k for k, r in rows.items() if r.error) == [2, 4] and all(r.x == x for r, x in zip(rows.values(), dict(made).values()))
+    assert scoring.score_or_dead_letter(df.limit(0), open_teacher, {"x": "x"}, {"y": "array<double>"}, 8).collect() == []
+
+
 def test_text_records(spark, tmp_path):
     (tmp_path / "a.txt").write_text("a0\na1\n\n  \na2\n a3 \n")
     (tmp_path / "b.txt").write_text("b0\nb1\nb2")
