@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import with_latest
-from batchloom.operators.pooling import pooled_sums
+from batchloom.operators.pooling import pooled_lists
 from batchloom.session import cut, scratch
 
 HOT_ROWS = 100_000  # a key with more rows may be dealt to several tasks
@@ -53,28 +53,15 @@ def vocab_lookup(docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame
     return docs.join(ids, doc, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 
 
-def pooled_slots(rows: DataFrame, row: str, slots: Sequence[str], table: DataFrame, dim: int, **spreading) -> DataFrame:
-    """Average embedding of the ids in each slot; a slot whose ids are all unknown gives zeros.
-
-    ``table`` has the columns ``id`` and ``vec``. One row per (row, slot number).
-    """
-    ids = F.array(*[F.struct(F.lit(n).alias("slot"), F.col(s).alias("ids")) for n, s in enumerate(slots)])
-    pairs = rows.select(row, F.explode(ids).alias("_s")).select(row, "_s.slot", F.explode_outer("_s.ids").alias("id"))
-    found = skewed_lookup(pairs, table, "id", **spreading).withColumn("_n", F.col("vec").isNotNull().cast("bigint"))
-    count = F.greatest(F.col("times"), F.lit(1))
-    return pooled_sums(found, [row, "slot"], "vec", "_n", dim).select(
-        row, "slot", F.transform("vec", lambda x: x / count).alias("pooled")
-    )
-
-
 def embedding_lookup_pool(
     rows: DataFrame, row: str, slots: Sequence[str], dense: str, table: DataFrame, dim: int, **spreading
 ) -> DataFrame:
-    """Pooled slots of each row in slot order, followed by its dense numbers."""
-    pooled = pooled_slots(rows, row, slots, table, dim, **spreading)
-    vectors = F.sort_array(F.collect_list(F.struct("slot", "pooled")))["pooled"]
-    features = pooled.groupBy(row).agg(F.flatten(vectors).alias("_f"))
-    return rows.join(features, row).withColumn("features", F.concat("_f", F.col(dense).cast("array<double>"))).drop("_f")
+    """Average embedding of the ids in each slot, in slot order, followed by the row's dense numbers.
+
+    ``table`` has the columns ``id`` and ``vec``. A slot whose ids are all unknown gives zeros; rows without a key are left out.
+    """
+    pooled = pooled_lists(rows.where(F.col(row).isNotNull()), row, slots, table, dim, "_f", **spreading)
+    return pooled.withColumn("features", F.concat("_f", F.col(dense).cast("array<double>"))).drop("_f")
 
 
 def kv_multi_get(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:

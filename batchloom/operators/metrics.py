@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.functions.scalars import cpu_quantity, epoch_micros
+from batchloom.operators.pooling import pooled_lists
 from batchloom.operators.positions import grouped_positions, range_positions
+from batchloom.session import scratch
 
 ROLES = ("master", "pserver", "trainer")  # fixed values: the roles of a job's pods
 
@@ -262,16 +264,14 @@ def build_vocabulary(docs: DataFrame, words: Column, min_count: int = 1) -> Data
 def bag_of_words_pool(ids: DataFrame, doc: str, id_col: str, table: DataFrame, dim: int, weights: Sequence[Sequence[float]]) -> DataFrame:
     """Sum of the embeddings of a document's ids (0 is padding), softsign, then a linear layer to logits.
 
-    Ids are counted per document first, so a frequent id is looked up once per document.
+    The ids of a document become one list, written once; a document without a key has none.
     """
-    from batchloom.operators.lookups import skewed_lookup
-    from batchloom.operators.pooling import pooled_sums
-
-    counted = ids.where(F.col(id_col) != 0).groupBy(doc, F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    found = skewed_lookup(counted, table, "id", "inner")
-    pooled = ids.select(doc).distinct().join(pooled_sums(found, [doc], "vec", "_n", dim), doc, "left")
-    total = F.coalesce("vec", F.array_repeat(F.lit(0.0), dim))
-    soft = F.transform(total, lambda x: x / (1 + F.abs(x)))
+    spark, path = ids.sparkSession, scratch(ids.sparkSession, "bags")
+    real = F.when((F.col(id_col) != 0) & F.col(doc).isNotNull(), F.col(id_col))
+    bags = ids.groupBy(doc).agg(F.collect_list(real).alias("_ids"))
+    bags.write.parquet(path)
+    pooled = pooled_lists(spark.read.schema(bags.schema).parquet(path), doc, ["_ids"], table, dim, "vec", mean=False)
+    soft = F.transform("vec", lambda x: x / (1 + F.abs(x)))
     lit = [F.array(*[F.lit(float(w)) for w in row]) for row in weights]
     layers = [F.aggregate(F.zip_with("_soft", row, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) for row in lit]
     return pooled.withColumn("_soft", soft).select(doc, F.array(*layers).alias("logits"))

@@ -214,6 +214,27 @@ def test_pooled_slots(spark):
         assert np.allclose(r.features, [*mean(r.a), *mean(r.b), *mean(r.c), *r.d])
 
 
+def test_pooled_slots_shuffle_no_sums(spark):
+    df = spark.createDataFrame([(1, [1, 2], [0.5]), (1, [3], [1.5]), (2, [9, None], [2.5]), (None, [1], [3.5])], "n bigint, a array<bigint>, d array<double>")
+    table = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (2, None), (3, [5.0, 0.0]), (3, [7.0, 2.0])], "id bigint, vec array<float>")
+    found = lookups.embedding_lookup_pool(df, "n", ["a"], "d", table, 2)
+    # rows of one key share their ids, a repeated vector counts twice, a null one not at all
+    assert pairs(found.select("n", "features")) == [(1, [4.0, 2.0, 0.5]), (1, [4.0, 2.0, 1.5]), (2, [0.0, 0.0, 2.5])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+
+
+def test_bag_of_words_asks_once_for_each_block(spark):
+    rows = [(1, 1), (1, 1), (1, 0), (2, 0), (3, None), (None, 1), (4, 2), (4, 9)]
+    ids = spark.createDataFrame(rows, "d bigint, id bigint")
+    table = spark.createDataFrame([(0, [9.0, 9.0]), (1, [1.0, 0.5]), (2, [-3.0, 1.0]), (2, [0.0, 0.0])], "id bigint, vec array<float>")
+    found = metrics.bag_of_words_pool(ids, "d", "id", table, 2, [[1, 0], [0, 1]])
+    soft = {r.d: r.logits for r in found.collect()}
+    assert soft == {1: [2 / 3, 0.5], 2: [0.0, 0.0], 3: [0.0, 0.0], None: [0.0, 0.0], 4: [-0.75, 0.5]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+
+
 def test_chunks_of_any_width(spark):
     records = [(f, n) for f in (0, 1) for n in range(0, 5000, 7)]
     chunks = [(0, 0, 6, "a"), (0, 10, 4999, "b"), (1, 100, 100_000_000_000, "c"), (1, 105, 105, "d"), (1, 50, 49, "e")]
