@@ -41,9 +41,12 @@ def _number_blocks(df: DataFrame, group: Sequence[str], order: Sequence, name: s
 
 
 def id_positions(
-    df: DataFrame, id_col: str, group: Sequence[str] = (), name: str = "pos", base: int = 0, width: int = 1 << 18
+    df: DataFrame, id_col: str, group: Sequence[str] = (), name: str = "pos", base: int = 0, width: int = 1 << 12
 ) -> DataFrame:
-    """Positions in the order of a unique integer column, per ``group``; a block holds at most ``width`` ids."""
+    """Positions in the order of a unique integer column, per ``group``; a block holds at most ``width`` ids.
+
+    A task sorts whole blocks, so ``width`` is small enough for rows with texts.
+    """
     blocks = df.withColumn("_block", F.expr(f"`{id_col}` div {width}"))
     return _number_blocks(blocks, group, [id_col], name, base)
 

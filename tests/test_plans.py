@@ -93,3 +93,8 @@ def test_bucketed_table_stays_in_place(spark, tmp_path):
         crc.unlink()
     assert 1 <= len(held) <= 2
     assert sorted(r["v"] for r in colocated.bucketed_get(spark, "plan_test", "k", [5, 6]).collect()) == [5, 6]
+
+
+def test_batches_of_texts_are_numbered_in_small_blocks(spark):
+    plan = plan_of(QUERIES["columnar_batches"](spark, SF))
+    assert max(int(n) for n in re.findall(r"doc_id#\d+L? div (\d+)", plan)) <= 4096
