@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.operators.carry import over_earlier
-from batchloom.session import cut
+from batchloom.session import cut, scratch
 
 ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -40,6 +40,29 @@ def _number_blocks(df: DataFrame, group: Sequence[str], order: Sequence, name: s
     )
 
 
+def line_positions(lines: DataFrame, name: str, base: int = 0) -> DataFrame:
+    """Positions per file of the rows of text files, from ``file_path``, ``_block`` (where the split starts) and ``_line``.
+
+    ``_line`` is an increasing id that was given after all filters. A task reads a split from start to end, so the place in it is the id
+    less the first one of the split, and no line is shuffled or sorted. The splits are written first, so Spark knows their
+    size: it broadcasts them while they are small, past that they are joined.
+    """
+    spark, path = lines.sparkSession, scratch(lines.sparkSession, "splits")
+    counts = lines.groupBy("file_path", "_block").agg(F.count(F.lit(1)).alias("_total"), F.min("_line").alias("_first"))
+    firsts = cut(counts)
+    before = over_earlier(firsts.select("file_path", "_block", "_total"), ["file_path"]).select(
+        F.col("file_path").alias("_b_file"), F.col("_block").alias("_b_block"), F.coalesce("_carry", F.lit(0)).alias("_before")
+    )
+    match = (F.col("file_path") == F.col("_b_file")) & (F.col("_block") == F.col("_b_block"))
+    splits = firsts.join(before, match).select("_b_file", "_b_block", (F.col("_before") - F.col("_first")).alias("_shift"))
+    splits.write.option("compression", "zstd").parquet(path)
+    return (
+        lines.join(spark.read.schema(splits.schema).parquet(path), match)
+        .withColumn(name, (F.col("_line") + F.col("_shift") + F.lit(base)).cast("bigint"))
+        .drop("_line", "_shift", "_block", "_b_file", "_b_block")
+    )
+
+
 def id_positions(
     df: DataFrame, id_col: str, group: Sequence[str] = (), name: str = "pos", base: int = 0, width: int = 1 << 12
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from batchloom.plans.registry import query
@@ -253,9 +254,14 @@ SELECT bucket, word, max(idx) AS idx FROM v GROUP BY bucket, word""")
 def read_vocabulary(spark, sf):
     """Vocabulary files that hold every word of 16 documents, in the order of the texts."""
     path = scratch(spark, "vocabulary")
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    words = docs.select("doc_id", F.expr("doc_id div 16").alias("bucket"), F.posexplode(text.words(F.col("text"))).alias("pos", "value"))
-    text.write_lines(words.where("value <> ''"), path, "bucket", ["doc_id", "pos"], "value")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("bucket", F.expr("doc_id div 16"))
+    # the words of a text go out as one value of many lines; those of texts that share a number or have none take turns by place
+    alone = (F.count(F.lit(1)).over(Window.partitionBy("bucket", "doc_id")) == 1) & F.col("doc_id").isNotNull()
+    whole = F.array(F.struct(F.lit(0).alias("pos"), F.array_join("words", "\n").alias("value")))
+    single = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("value")))
+    found = docs.withColumn("_alone", alone).withColumn("words", text.words(F.col("text"))).where(F.size("words") > 0)
+    lines = found.select("doc_id", "bucket", F.inline(F.when(F.col("_alone"), whole).otherwise(single)))
+    text.write_lines(lines, path, "bucket", ["doc_id", "pos"], "value")
     words = text.read_vocabulary(spark, path)
     return words.select(F.col("bucket").cast("bigint").alias("bucket"), "word", "idx")
 

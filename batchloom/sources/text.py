@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.operators.positions import _number_blocks
+from batchloom.operators.positions import line_positions
 
 # The white space that a text strip removes, as a regular expression class.
 SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
@@ -23,6 +23,11 @@ def words(column: Column) -> Column:
     return F.regexp_extract_all(column, F.lit(f"[^{SPACE[1:-1]}]+"), F.lit(0))
 
 
+def has_words(column: Column) -> Column:
+    """Whether there is anything but white space; stops at the first such character."""
+    return column.rlike(f"[^{SPACE[1:-1]}]")
+
+
 def one_line(column: Column) -> Column:
     """Text on one line: runs of white space become one blank."""
     return F.array_join(words(column), " ")
@@ -30,22 +35,23 @@ def one_line(column: Column) -> Column:
 
 def drop_blank_records(df: DataFrame, column: str) -> DataFrame:
     """Strip the column and skip the rows that are empty then."""
-    return df.withColumn(column, strip(F.col(column))).where(F.length(column) > 0)
+    return df.where(has_words(F.col(column))).withColumn(column, strip(F.col(column)))
+
+
+def split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """All lines with their file and the start of the split they are read in."""
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    return lines.withColumn("file_path", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
 
 
 def read_text_records(spark: SparkSession, paths: str | Sequence[str], name: str = "record_no", base: int = 1) -> DataFrame:
     """Non-blank stripped lines with their number per file.
 
-    Large files are read in splits: lines are counted per split and numbered inside it.
+    Large files are read in splits: lines are counted per split, and their place in it comes from the order in which they are read.
     """
-    lines = (
-        spark.read.option("lineSep", "\n")
-        .text(paths)
-        .withColumn("file_path", F.col("_metadata.file_path"))
-        .withColumn("_block", F.col("_metadata.file_block_start"))
-        .withColumn("_line", F.monotonically_increasing_id())
-    )
-    return _number_blocks(drop_blank_records(lines, "value"), ["file_path"], ["_line"], name, base).drop("_line")
+    lines = split_lines(spark, paths)
+    kept = drop_blank_records(lines, "value").withColumn("_line", F.monotonically_increasing_id())
+    return line_positions(kept, name, base)
 
 
 def read_file_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -55,22 +61,17 @@ def read_file_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 def read_tsv_records(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Samples ``text<tab>segmented<tab>label``: numbered good rows, and the rows with another field count."""
-    lines = (
-        spark.read.option("lineSep", "\n")
-        .text(paths)
-        .withColumn("file_path", F.col("_metadata.file_path"))
-        .withColumn("_block", F.col("_metadata.file_block_start"))
-        .withColumn("_line", F.monotonically_increasing_id())
-    )
+    lines = split_lines(spark, paths)
     fields = drop_blank_records(lines, "value").withColumn("_f", F.split("value", "\t"))
-    good = _number_blocks(fields.where(F.size("_f") == 3), ["file_path"], ["_line"], "guid", 0).select(
-        *[c for c in lines.columns if c not in ("value", "_block", "_line")],
+    three = fields.where(F.size("_f") == 3).withColumn("_line", F.monotonically_increasing_id())
+    good = line_positions(three, "guid").select(
+        *[c for c in lines.columns if c not in ("value", "_block")],
         "guid",
         F.col("_f")[0].alias("text"),
         F.col("_f")[1].alias("segmented"),
         F.col("_f")[2].alias("label"),
     )
-    bad = fields.where(F.size("_f") != 3).withColumn("n_fields", F.size("_f")).drop("_f", "_block", "_line")
+    bad = fields.where(F.size("_f") != 3).withColumn("n_fields", F.size("_f")).drop("_f", "_block")
     return good, bad
 
 
@@ -106,15 +107,9 @@ def read_ctr_records(spark: SparkSession, paths: str | Sequence[str], dense: int
 
 def read_vocabulary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Word and line number (from 0, blank lines count too); the last of equal words wins."""
-    lines = (
-        spark.read.option("lineSep", "\n")
-        .text(paths)
-        .withColumn("file_path", F.col("_metadata.file_path"))
-        .withColumn("_block", F.col("_metadata.file_block_start"))
-        .withColumn("_line", F.monotonically_increasing_id())
-    )
-    numbered = _number_blocks(lines, ["file_path"], ["_line"], "idx", 0)
-    keys = [c for c in lines.columns if c not in ("value", "_block", "_line")]
+    lines = split_lines(spark, paths)
+    numbered = line_positions(lines.withColumn("_line", F.monotonically_increasing_id()), "idx")
+    keys = [c for c in lines.columns if c not in ("value", "_block")]
     return numbered.groupBy(*keys, strip(F.col("value")).alias("word")).agg(F.max("idx").alias("idx"))
 
 

@@ -95,6 +95,22 @@ def test_bucketed_table_stays_in_place(spark, tmp_path):
     assert sorted(r["v"] for r in colocated.bucketed_get(spark, "plan_test", "k", [5, 6]).collect()) == [5, 6]
 
 
+def test_lines_of_files_are_numbered_without_a_shuffle(spark, tmp_path):
+    from batchloom.sources import text
+
+    (tmp_path / "a.txt").write_text("x\ty\t1\n\nx\ty\nx\tz\t0\n")
+    good, _ = text.read_tsv_records(spark, str(tmp_path))
+    for lines in (text.read_text_records(spark, str(tmp_path)), good):
+        plan = plan_of(lines)
+        assert "hashpartitioning" not in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    assert sorted((r.guid, r.segmented) for r in good.collect()) == [(0, "y"), (1, "z")]
+
+
+def test_vocabulary_moves_whole_texts_and_shuffles_words_once(spark):
+    plan = plan_of(QUERIES["read_vocabulary"](spark, SF))
+    assert plan.count("hashpartitioning") == 1 and "Window" not in plan
+
+
 def test_batches_of_texts_are_numbered_in_small_blocks(spark):
     plan = plan_of(QUERIES["columnar_batches"](spark, SF))
     assert max(int(n) for n in re.findall(r"doc_id#\d+L? div (\d+)", plan)) <= 4096
