@@ -74,10 +74,8 @@ TSV = rf"""
 def sample_tsv(spark, sf):
     """Samples as tab-separated lines; documents without a label give rows of two fields."""
     path = scratch(spark, "tsv")
-    clean = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn(
-        "line", text.one_line(F.col("text"))
-    )
-    rows = clean.where(F.length("line") > 0).select(
+    docs = table(spark, sf, "documents").where(text.has_words(F.col("text")))
+    rows = docs.join(table(spark, sf, "labels"), "doc_id", "left").withColumn("line", text.one_line(F.col("text"))).select(
         "doc_id",
         F.expr("doc_id div 256").alias("bucket"),
         F.concat_ws("\t", "line", F.lower("line"), F.col("quality").cast("string")).alias("value"),
