@@ -108,6 +108,25 @@ def test_bytes(spark, seed, monkeypatch):
     check(bwtmerge.drop_repeated_bytes(df, digest=True), made, BYTES, want)
 
 
+def test_a_crowd_gives_few_rows_for_each_block(spark, monkeypatch):
+    """Unlike texts around one passage: 8 parts a block at most, not one row for each window; the repeats are those of all windows."""
+    rng = random.Random(8)
+    common = words(rng, 68)[:300]
+    texts = [f"{words(rng, 60)[:350]} {common} {words(rng, 60)[:350]}" for _ in range(30)]
+    texts += [texts[3][200:700], texts[5][:500], "z" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {k[0]: v for k, v in slow_bytes(distinct_rows(docs)).items()}
+    for crowd in (1, 4):
+        monkeypatch.setattr(bwtmerge, "CROWD", crowd)
+        found = bwtmerge.drop_repeated_bytes(docs, digest=True)
+        assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == want
+    data = [x.encode() for x in texts]
+    k, g, doc, pos, n = bwtmerge.byte_blocks(data)
+    blocks = [(a, b, 1, m, data[d][p : p + m + 399]) for a, b, d, p, m in zip(k.view("int64").tolist(), g.view("int64").tolist(), doc.tolist(), pos.tolist(), n.tolist())]
+    parts = bwtmerge.block_parts(spark.createDataFrame(blocks, "k long, g long, weight long, n long, bytes binary"))
+    assert parts.count() <= 8 * len(blocks) < sum(n.tolist()) and parts.agg({"n": "sum"}).first()[0] == n.sum()
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_words(spark, seed, monkeypatch):
     monkeypatch.setattr(recompression, "CHUNK", [50, 500, 10**6][seed - 1])  # long documents are looked at in pieces
