@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import store, text_bytes
+from batchloom.llm.common import slices, store, text_bytes
 
 BLOCK_WORDS = 20
 PRIME = (1 << 127) - 1
@@ -152,7 +152,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data = text_bytes(batch)
             keys = [line_keys(x) for x in data]
             words = [[len(line.split()) for line in x.split(b"\n")] for x in data]
@@ -172,7 +172,7 @@ def with_runs(each: DataFrame, least_words: int) -> DataFrame:
     """``(id, seq, runs)``: the different hashes of each document's shortest runs of ``least_words`` words."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = zip(batch.column("keys").to_pylist(), batch.column("words").to_pylist())
             runs = [list(dict.fromkeys(run_keys(keys, spans(words, least_words)))) for keys, words in pairs]
             columns = [batch.column("id"), batch.column("seq"), pa.array(runs, pa.list_(pa.binary()))]
@@ -213,7 +213,7 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = partners.join(later, "seq").join(earlier, "with").select("seq", "a", "b", "words")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("a", "b", "words")]
             gone = [common_blocks(a, b, w, least_words) for a, b, w in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array(gone, pa.list_(pa.int32()))], names=["seq", "gone"])

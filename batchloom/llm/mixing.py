@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import store, text_bytes
+from batchloom.llm.common import slices, store, text_bytes
 from batchloom.operators.positions import range_positions
 
 EPOCHS = 3
@@ -21,7 +21,7 @@ def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataF
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = pa.array([len(x.split()) for x in text_bytes(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), counts], names=["doc_id", "source", "size"])
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import components, forest, shuffle_partitions, store, text_bytes, text_ref, whole_groups
+from batchloom.llm.common import components, forest, shuffle_partitions, slices, store, text_bytes, text_ref, whole_groups
 from batchloom.llm.simhash import fingerprint, majority, plan_masks
 
 WIDTH = 5
@@ -141,7 +141,7 @@ def drop_near_copies(
     kind = dict(texts.dtypes)["doc_id"]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data = text_bytes(batch)
             values = pa.array(np.array([fingerprint(x) for x in data], np.uint64).view(np.int64))
             wide = pa.array([shingle_print(x) for x in data], pa.binary())

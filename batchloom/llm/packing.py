@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import store
+from batchloom.llm.common import slices, store
 
 CAPACITY = 1024
 END = 2
-CACHED = 400_000  # units whose ids a Python worker remembers
+CACHED = 400_000  # units whose ids a Python worker remembers, for one task
 TASK_BINS = 100_000  # underfull bins that meet in one task
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -85,23 +85,11 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def pieces(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    capacity: int = CAPACITY,
-    vocabulary: str = "byte_bpe_50k.json",
-    ranks: str = "byte_bpe_50k.tiktoken",
-    keep_ids: bool = False,
-) -> DataFrame:
-    """The tokenised pieces of every row, with a CRC-32 of their ids, and the ids themselves if asked for."""
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = PIECE.format(kind=dict(chosen.dtypes)["doc_id"]) + (", ids array<int>" if keep_ids else "")
+def encoded(batches: Iterable[pa.RecordBatch], model: ByteBpe, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces of the rows ``(doc_id, text)``."""
     end = np.array([END], "<u4").tobytes()
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = byte_bpe(vocabulary, ranks)
-        for batch in batches:
+    try:
+        for batch in slices(batches):
             own: list[list] = [[] for _ in range(6)]
             for at, text in enumerate(batch.column("text").to_pylist()):
                 ids = (model.ids(text) if text else b"") + end
@@ -116,6 +104,25 @@ def pieces(
                 columns.append(pa.array([np.frombuffer(x, "<i4") for x in own[5]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+    finally:
+        model.units.clear()  # the worker lives on, and later tasks of any kind need the memory
+
+
+def pieces(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = CAPACITY,
+    vocabulary: str = "byte_bpe_50k.json",
+    ranks: str = "byte_bpe_50k.tiktoken",
+    keep_ids: bool = False,
+) -> DataFrame:
+    """The tokenised pieces of every row, with a CRC-32 of their ids, and the ids themselves if asked for."""
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = PIECE.format(kind=dict(chosen.dtypes)["doc_id"]) + (", ids array<int>" if keep_ids else "")
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return encoded(batches, byte_bpe(vocabulary, ranks), capacity, keep_ids)
 
     return chosen.mapInArrow(rows, schema)
 

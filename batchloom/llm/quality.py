@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import store, text_bytes, text_ref
+from batchloom.llm.common import slices, store, text_bytes, text_ref
 
 SYMBOLS = b"#*$%&|<>"
 NOT_COUNTED = b" \t\n\r\x0b\x0c" + bytes(range(0x80, 0xC0))  # white space, and bytes inside a code point
@@ -76,7 +76,7 @@ def measured_lines(docs: DataFrame, id_col: str, host_col: str, text_col: str) -
     schema = f"doc_id {kind}, host string, ref binary, {MEASURES}, text_key long, line_keys array<long>, line_words array<int>"
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data = text_bytes(batch)
             made = [measure(x) for x in data]
             lines = [[x for x in d.split(b"\n") if x.strip()] for d in data]

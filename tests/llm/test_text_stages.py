@@ -6,13 +6,14 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from fixtures import awkward, empty, texts, words
 
 import corpus_pipeline
 from batchloom.llm import linededup, mixing, nearcopies, packing, quality, simhash
-from batchloom.llm.common import components, forest
+from batchloom.llm.common import components, forest, slices
 from batchloom.llm.queries import QUERIES
 from batchloom.session import table
 
@@ -428,6 +429,43 @@ def test_ids_equal_the_tokenizer(text):
     assert got == tokenizer().encode(text, add_special_tokens=False).ids
 
 
+def test_slices_hold_few_rows_and_give_memory_back(monkeypatch):
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(True)
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(k))}) for k in (0, 1, 1100)]
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    cut = list(slices(batches, 500))
+    assert [b.num_rows for b in cut] == [1, 500, 500, 100]
+    assert [x for b in cut for x in b.column("x").to_pylist()] == [0, *range(1100)]
+    assert given == [True]
+    assert next(slices(batches, 500)).num_rows == 1
+    assert given == [True, True]  # also if the task ends early
+
+
+def test_many_rows_in_one_batch(spark):
+    made = [(i, f"s{i % 3}", "\n".join(f"w{i * k % 7919} common line {k}" for k in range(i % 9))) for i in range(1300)]
+    table = spark.createDataFrame(made, "doc_id long, source string, text string").coalesce(1)
+    measured = {r["doc_id"]: (r["n_words"], r["n_dup_lines"]) for r in quality.measured_lines(table, "doc_id", "source", "text").collect()}
+    assert measured == {i: slow_measures(t)[::3] for i, _, t in made}
+    assert {r["doc_id"]: r["size"] for r in mixing.sizes(table, "doc_id", "source", "text").collect()} == {i: len(t.split()) for i, _, t in made}
+    assert {r["doc_id"]: len(r["keys"]) for r in linededup.sequences(table, "doc_id", "text").collect()} == {i: t.count("\n") + 1 for i, _, t in made}
+    model = packing.byte_bpe("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    assert {r["doc_id"]: r["length"] for r in packing.pieces(table).collect()} == {i: len(model.ids(t)) // 4 + 1 for i, _, t in made}
+    model.units.clear()
+
+
+def test_no_units_are_kept_after_a_task():
+    model = packing.byte_bpe("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1100)), "text": [f"some words of text {i}" for i in range(1100)]})
+    task = packing.encoded([batch], model, 1024, False)
+    assert next(task).num_rows and model.units
+    assert sum(b.num_rows for b in task) and not model.units
+
+
 def test_packing_in_rounds(spark):
     rng = random.Random(8)
     lengths = [rng.randint(1, 1024) for _ in range(3000)]
