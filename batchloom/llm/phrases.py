@@ -296,12 +296,15 @@ def words_from(column: Column, start, length) -> Column:
 
 
 def with_part(cuts: DataFrame, frequent: DataFrame, part: str, name: str) -> DataFrame:
-    """Add the count of the phrase in column ``part``. Phrases that share a very common part are dealt over some tasks."""
+    """Add the count of the phrase in column ``part``. Phrases that share a very common part are dealt over some tasks.
+
+    The counts are never broadcast: Spark sizes them by their compressed files and does not see that the salts repeat them.
+    """
     salted = frequent.select(
         F.col("lang").alias("p_lang"), F.col("phrase").alias("p_phrase"), F.col("n").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("p_salt")
     )
     match = (F.col("lang") == F.col("p_lang")) & (F.col(part) == F.col("p_phrase")) & (F.pmod(F.xxhash64("phrase"), F.lit(SALTS)) == F.col("p_salt"))
-    return cuts.join(salted, match).drop("p_lang", "p_phrase", "p_salt")
+    return cuts.join(salted.hint("merge"), match).drop("p_lang", "p_phrase", "p_salt")
 
 
 def mine_phrases(docs: DataFrame, top: int = 2000, covered: int = 80, scale: int = 2_000_000, **settings) -> DataFrame:
@@ -326,11 +329,11 @@ def mine_phrases(docs: DataFrame, top: int = 2000, covered: int = 80, scale: int
     longer_ones = candidates.where("k > 2").select("lang", "words", "k", "a", F.explode(F.expr("sequence(2, k - 1)")).alias("size"))
     inside = longer_ones.select("lang", "words", "a", "size", F.explode(F.expr("sequence(1, k - size + 1)")).alias("start"))
     holders = inside.groupBy(F.col("lang").alias("h_lang"), words_from(F.col("words"), F.col("start"), F.col("size")).alias("h_phrase")).agg(F.max("a").alias("most"))
-    both = scored.join(holders, (F.col("lang") == F.col("h_lang")) & (F.col("phrase") == F.col("h_phrase")), "left")
+    both = scored.join(holders.hint("merge"), (F.col("lang") == F.col("h_lang")) & (F.col("phrase") == F.col("h_phrase")), "left")
     kept = both.where(F.expr(f"most is null or 100 * cast(most as {wide}) < {covered} * cast(a as {wide})")).select("lang", "phrase", "a", "low.l", "low.r", "low.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(TOP_SALTS)))
     best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = best.drop("salt").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     totals = every.where("k = 0").select(F.col("lang").alias("t_lang"), F.col("n"))
-    return ranked.join(totals, F.col("lang") == F.col("t_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    return ranked.join(totals.hint("merge"), F.col("lang") == F.col("t_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))

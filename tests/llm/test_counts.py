@@ -161,6 +161,15 @@ def test_awkward_phrases(spark):
     assert rows(phrases.mine_phrases(empty(spark))) == []
 
 
+def test_phrase_counts_are_not_broadcast(spark):
+    """Their files may be small and they still fill a driver: the explode by salts is not seen in their size."""
+    df = spark.createDataFrame([(i, "x", "one two three four five " * 9) for i in range(9)], "doc_id long, lang string, text string")
+    mined_df = phrases.mine_phrases(df, least=3)
+    plan = mined_df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
+    assert mined_df.count() > 3
+
+
 def slow_whitening(vectors, wanted=4):
     """``{vec_id: (n, deviation)}``, eigenvalues, eigenvectors, mean and trace from a full decomposition."""
     usable = {k: v for k, v in vectors.items() if v is not None and all(c is not None and np.isfinite(c) for c in v)}
